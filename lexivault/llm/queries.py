@@ -24,6 +24,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_join
+
+    return jaccard_join(_table(spark, sf_dir, "documents"), words=5)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -64,5 +70,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op5_substring_dedup, op7_byte_bpe, op9_language_id, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_jaccard_join, op5_substring_dedup, op7_byte_bpe, op9_language_id, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}
