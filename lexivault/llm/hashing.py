@@ -88,8 +88,16 @@ def windows(values: np.ndarray, length: int) -> np.ndarray:
     return mix(h)
 
 
-def words(buf: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of all words (runs without ASCII white space) of a buffer.
+@functools.lru_cache(1)
+def punctuation_table() -> np.ndarray:
+    """White space, control characters and ASCII punctuation."""
+    t = np.ones(256, bool)
+    t[128:] = t[48:58] = t[65:91] = t[97:123] = False
+    return t
+
+
+def words(buf: np.ndarray, lower: bool = False, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of all words of a buffer: runs without ASCII white space, or without the bytes of breaks.
 
     Works in chunks that end at white space, so memory follows the chunk and the number of words.
     """
@@ -97,7 +105,7 @@ def words(buf: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray,
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     edge = np.ones(n + 2, bool)
-    edge[1:-1] = space_table()[buf]
+    edge[1:-1] = (space_table() if breaks is None else breaks)[buf]
     start = np.flatnonzero(edge[:-2] & ~edge[1:-1])
     end = np.flatnonzero(~edge[1:-1] & edge[2:]) + 1
     table, out, i = lower_values() if lower else byte_values(), np.empty(len(start), np.uint64), 0

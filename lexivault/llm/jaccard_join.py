@@ -266,6 +266,7 @@ def linked(sets: DataFrame) -> DataFrame:
     found = shared.written(_run(placed.withColumn("label", F.col("doc")).select(*cols), ["group", "block"], _inside), "inside")
     stars = found.select("a", "b").where("a <> b")
     if many.isEmpty():
+        shared.remove(placed)
         return stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
     # Representatives of the blocks' components, against each other.
     wide = placed.where("blocks > 1")
@@ -292,6 +293,8 @@ def jaccard_join(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
     """(doc_id, n_shingles, component_id) of each row: links at a Jaccard similarity of 0.75 or more, followed through."""
     sets = jaccard_sets(docs, words, id_col, text_col, part_bytes)
     labels = shared.written(linked(sets), "components")
-    out = sets.select("doc", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left")
+    sizes = shared.written(sets.select("doc", "n", "rep"), "sizes")
+    shared.remove(sets)
+    out = sizes.join(labels, F.col("rep") == F.col("node"), "left")
     known = lambda c: F.when(c < F.lit(int(parts.LAST)), c)  # noqa: E731  the stand-in for a null id
     return out.select(known(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.coalesce("label", "rep")).alias("component_id"))

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[int, str] = {}
+_paths: dict[int, str] = {}
+_kept: list[DataFrame] = []  # so ids stay unique
 
 
 def folder(spark: SparkSession) -> str:
@@ -23,7 +25,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    _kept.append(out)
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -32,9 +37,9 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def remove(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table from written()."""
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+def remove(*tables: DataFrame) -> None:
+    """Deletes the files of tables from written() that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths.pop(id(df)))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
