@@ -43,7 +43,7 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     spark = docs.sparkSession
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text_col)))).first()
     tasks = partitions(spark)
-    want = max(-(-int(size or 0) // part_bytes), min(2 * tasks, n // 16 + 1))
+    want = max(-(-int(size or 0) // part_bytes), min(tasks, n // 16 + 1))
     cuts: list[int] = []
     if want > 1:
         at = [i / want for i in range(1, want)]
@@ -60,7 +60,7 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"), rest.alias("rest"))
     part = part_of(F.coalesce("id", F.lit(int(LAST)))) if len(edges) else F.lit(0)
     rows = rows.withColumn("part", part)
-    return rows.repartition(tasks, "part"), max(4 * tasks, -(-int(size or 0) // BUCKET_BYTES))
+    return rows.repartition(tasks, "part"), max(tasks, -(-int(size or 0) // BUCKET_BYTES))
 
 
 def pack(keys: np.ndarray) -> bytes:
