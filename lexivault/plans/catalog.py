@@ -1,4 +1,364 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the driver's tables, each with its DuckDB SQL where SQL can express it.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Documents stand for files: path = /source/lang/id.pdf, collection = source, content = text. Conversations stand for
+documents with pages: page = turn + 1. Word boxes lie on the grid of ``positions.grid_boxes``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions import text as T
+from ..operators import jobs as J
+from ..operators import positions as P
+from ..operators import words as W
+from . import lower, search
+from . import query as Q
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# ---- inputs ----
+
+_TOKENS = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}\p{{S}}]+'), lambda w: lower(w))"
+_D = "d AS (SELECT doc_id, source AS collection_id, '/' || source || '/' || lang || '/' || doc_id || '.pdf' AS path, text AS content FROM documents)"
+_TOK = _D + ", tok AS (SELECT *, " + _TOKENS.format("content") + " AS toks FROM d)"
+_POST = _TOK + ", post AS (SELECT doc_id, collection_id, path, len(toks) AS dl, unnest(toks) AS term, CAST(generate_subscripts(toks, 1) - 1 AS INTEGER) AS pos FROM tok)"
+_CONV = "cw AS (SELECT conv_id AS doc_id, turn + 1 AS page, unnest(t) AS word_text, generate_subscripts(t, 1) AS i FROM (SELECT *, " + _TOKENS.format("text") + " AS t FROM conversations)), pos AS (SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, i) - 1 AS INTEGER) AS word_offset, word_text FROM cw)"
+_GRID = _POST + ", grid AS (SELECT doc_id, pos AS word_offset, CAST(1 + pos // 250 AS INTEGER) AS page, CAST(50 + 70 * (pos % 250 % 8) AS DOUBLE) AS x_min, CAST(750 - 15 * (pos % 250 // 8) AS DOUBLE) AS y_min, term AS word_text FROM post)"
+_JOBS = (
+    _D
+    + """, j AS (SELECT d.doc_id + 1 AS id, path, sha256(content) AS checksum, CASE doc_id % 5 WHEN 4 THEN 'error' WHEN 3 THEN 'pending' ELSE 'done' END AS status,
+    n_chars < 300 AS ocr_flag, CASE WHEN doc_id % 5 = 4 THEN 'unreadable' END AS error, CAST(doc_id % 3 AS INTEGER) AS ocr_attempts, doc_id * 10 AS file_modified, n_chars AS file_size
+    FROM d JOIN documents USING (doc_id) WHERE doc_id % 10 <> 0),
+ l AS (SELECT path, doc_id * 10 + CAST(doc_id % 7 = 0 AS INTEGER) AS file_modified, n_chars AS file_size FROM d JOIN documents USING (doc_id) WHERE doc_id % 17 <> 0)"""
+)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("collection_id"), path.alias("path"), F.col("text").alias("content"))
+
+
+def conversation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), "text")
+    return P.word_offsets(pages)
+
+
+def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = documents(spark, sf_dir).select("doc_id", F.posexplode(T.tokens(F.col("content"))).alias("word_offset", "word_text"))
+    return P.grid_boxes(words)
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known files: all but every tenth document."""
+    i = F.col("doc_id")
+    rows = documents(spark, sf_dir).withColumn("n_chars", F.length("content").cast("long")).where(i % 10 != 0)
+    status = F.when(i % 5 == 4, "error").when(i % 5 == 3, "pending").otherwise("done")
+    null = F.lit(None)
+    return rows.select(
+        (i + 1).alias("id"), "path", F.sha2("content", 256).alias("checksum"), status.alias("status"), (F.col("n_chars") < 300).alias("ocr_flag"), F.when(i % 5 == 4, "unreadable").alias("error"), (i % 3).cast("int").alias("ocr_attempts"),
+        null.cast("string").alias("ocr_error"), null.cast("timestamp").alias("failed_ocr"), null.cast("string").alias("language"), (i * 10).alias("file_modified"), F.col("n_chars").alias("file_size"), null.cast("long").alias("duplicate_of"),
+    )
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files on disk: all but every seventeenth document; every seventh has been touched."""
+    i = F.col("doc_id")
+    rows = documents(spark, sf_dir).where(i % 17 != 0)
+    return rows.select("path", (i * 10 + (i % 7 == 0).cast("int")).alias("file_modified"), F.length("content").cast("long").alias("file_size"))
+
+
+def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+# ---- tokens and vocabulary ----
+
+_add("tokenize_counts", lambda s, d: documents(s, d).select("doc_id", T.tokens(F.col("content")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms")), f"WITH {_TOK} SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens, CAST(len(list_distinct(toks)) AS BIGINT) AS n_terms FROM tok")
+_add("vocabulary_df", lambda s, d: lower.postings(documents(s, d)).groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("total_freq")), f"WITH {_POST} SELECT term, count(DISTINCT doc_id) AS doc_freq, count(*) AS total_freq FROM post GROUP BY term")
+_add("corpus_statistics", lambda s, d: lower.corpus_stats(documents(s, d)).select("collection_id", "n_docs", F.round("avg_length", 6).alias("avg_length")), f"WITH {_TOK} SELECT collection_id, count(*) AS n_docs, round(avg(len(toks)), 6) AS avg_length FROM tok GROUP BY collection_id")
+_add("term_offsets", lambda s, d: P.term_offsets(documents(s, d), "license"), f"WITH {_POST} SELECT doc_id, pos AS word_offset FROM post WHERE term = 'license'")
+_add("clean_words", lambda s, d: documents(s, d).select("doc_id", F.sha2(T.clean_word(F.col("content")), 256).alias("clean_sha256")), rf"WITH {_D} SELECT doc_id, sha256(array_to_string(regexp_extract_all(content, '[\p{{L}}\p{{N}}\p{{S}}]+'), ' ')) AS clean_sha256 FROM d")
+_add("single_token_words", lambda s, d: documents(s, d).select(F.explode(F.split("content", r"[ \n]+")).alias("word")).where(F.col("word") != "").groupBy(T.is_token(F.col("word")).alias("is_token")).agg(F.count(F.lit(1)).alias("n_words")), rf"WITH {_D}, w AS (SELECT unnest(regexp_split_to_array(content, '[ \n]+')) AS word FROM d) SELECT regexp_matches(word, '^[\p{{L}}\p{{N}}\p{{S}}]+$') AS is_token, count(*) AS n_words FROM w WHERE word <> '' GROUP BY 1")
+_add("content_checksums", lambda s, d: documents(s, d).select("doc_id", T.checksum(F.col("content")).alias("checksum"), F.crc32(F.col("content").cast("binary")).alias("crc")).select("doc_id", "checksum"), f"WITH {_D} SELECT doc_id, sha256(content) AS checksum FROM d")
+_add("file_names", lambda s, d: documents(s, d).select("doc_id", T.file_name(F.col("path")).alias("file_name"), T.folder(F.col("path")).alias("folder")), rf"WITH {_D} SELECT doc_id, regexp_extract(path, '([^/]+)$', 1) AS file_name, regexp_replace(path, '/?[^/]*$', '') AS folder FROM d")
+_add("page_counts", lambda s, d: documents(s, d).select("doc_id", T.page_count(F.concat(F.lit("Title: x\nPages:   "), F.col("doc_id") % 9, F.lit("\nSize: 1"))).alias("n_pages")), "SELECT doc_id, CAST(greatest(doc_id % 9, 1) AS INTEGER) AS n_pages FROM documents")
+_add("analysers", lambda s, d: table(s, d, "documents").select(F.concat("lang", F.lit("")).alias("lang")).union(s.createDataFrame([("jpn",), ("th",), ("cmn",), ("kor",)], "lang string")).groupBy(T.analyser_for(F.col("lang")).alias("analyser")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN lang IN ('ja', 'jpn') THEN 'ja' WHEN lang IN ('zh', 'cmn') THEN 'zh' WHEN lang IN ('ko', 'kor') THEN 'ko' WHEN lang IN ('th', 'tha') THEN 'th' ELSE 'multilang' END AS analyser, count(*) AS n FROM (SELECT lang FROM documents UNION ALL VALUES ('jpn'), ('th'), ('cmn'), ('kor')) GROUP BY 1")
+_add("normalize_text", lambda s, d: documents(s, d).select("doc_id", T.normalize_text("content").alias("normalized")))
+_add("detect_language", lambda s, d: documents(s, d).select("doc_id", T.detect_language("content").alias("language")))
+_add("page_texts", lambda s, d: table(s, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text")))
+
+# ---- search ----
+
+
+def _leaf_sql(leaf) -> str:
+    if isinstance(leaf, Q.Term):
+        return f"len(list_filter(toks, lambda w: w = '{leaf.text}'))"
+    if isinstance(leaf, Q.Phrase):
+        test = " AND ".join(f"toks[i + {k + 1}] = '{t}'" for k, t in enumerate(leaf.terms))
+        return f"len(list_filter(range(len(toks) - {len(leaf.terms) - 1}), lambda i: {test}))"
+    if isinstance(leaf, Q.Fuzzy):
+        return f"len(list_filter(toks, lambda w: damerau_levenshtein(w, '{leaf.text}') <= {leaf.distance}))"
+    return f"len(list_filter(toks, lambda w: regexp_full_match(w, '{leaf.pattern}')))"
+
+
+def _match_sql(q, names) -> str:
+    if isinstance(q, Q.All):
+        return "true"
+    if isinstance(q, Q.Nothing):
+        return "false"
+    if isinstance(q, Q.Boost):
+        return _match_sql(q.query, names)
+    if isinstance(q, Q.Bool):
+        main = " AND ".join(_match_sql(x, names) for x in q.must) if q.must else " OR ".join(_match_sql(x, names) for x in q.should) or "true"
+        return "((" + main + ")" + "".join(f" AND NOT {_match_sql(x, names)}" for x in q.must_not) + ")"
+    return f"({names[q]} > 0)"
+
+
+def search_sql(q, path: str | None = None, per_collection: bool = False, source: str = _TOK) -> str:
+    """CTEs and a final ``hits(collection_id, doc_id, path, score)`` of a query tree."""
+    names = {x: f"f{i}" for i, x in enumerate(dict.fromkeys(Q.all_leaves(q)))}
+    terms = sorted({t for x, _ in Q.leaves(q) if isinstance(x, (Q.Term, Q.Phrase)) for t in ([x.text] if isinstance(x, Q.Term) else x.terms)})
+    group = "GROUP BY collection_id" if per_collection else ""
+    key = "collection_id, " if per_collection else ""
+    dfs = "".join(f", sum(CAST(list_contains(toks, '{t}') AS INTEGER)) AS df{i}" for i, t in enumerate(terms))
+    idf = lambda t: f"ln(1 + (n - df{terms.index(t)} + 0.5) / (df{terms.index(t)} + 0.5))"
+    parts = []
+    for x, w in Q.leaves(q):
+        if isinstance(x, (Q.Term, Q.Phrase)):
+            own = [x.text] if isinstance(x, Q.Term) else x.terms
+            parts.append(f"{w} * ({' + '.join(map(idf, own))}) * {names[x]} * 2.2 / ({names[x]} + 1.2 * (0.25 + 0.75 * dl / avgdl))")
+        else:
+            parts.append(f"CASE WHEN {names[x]} > 0 THEN {w} ELSE 0.0 END")
+    flat = "".join(f", {_leaf_sql(x)} AS {c}" for x, c in names.items())
+    join = "USING (collection_id)" if per_collection else "ON true"
+    keep = f" AND regexp_full_match(path, '{path}')" if path else ""
+    return f"""WITH {source}, m AS (SELECT collection_id, doc_id, path, len(toks) AS dl{flat} FROM tok),
+ st AS (SELECT {key}count(*) AS n, avg(len(toks)) AS avgdl{dfs} FROM tok {group}),
+ hits AS (SELECT m.collection_id, doc_id, path, CAST({' + '.join(parts) or '0'} AS DOUBLE) AS score FROM m JOIN st {join} WHERE {_match_sql(q, names)}{keep})"""
+
+
+_ROW = "doc_id, path, round(score, 6) AS score"
+
+
+def _rows(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "path", F.round("score", 6).alias("score"))
+
+
+def _add_search(name: str, q, path: str | None = None, limit: int | None = None, offset: int = 0) -> None:
+    def run(s, d):
+        hits = lower.scan(documents(s, d), q, path)
+        return _rows(hits if limit is None else lower.top(hits.drop("collection_id"), limit, offset))
+
+    page = "" if limit is None else f" ORDER BY hits.score DESC, doc_id LIMIT {limit} OFFSET {offset}"
+    _add(name, run, f"{search_sql(q, path)} SELECT {_ROW} FROM hits{page}")
+
+
+_add_search("term_search_bm25_top10", Q.auto_phrase("license"), limit=10)
+_add_search("phrase_search", Q.auto_phrase('"of the"'))
+_add_search("auto_phrase", Q.auto_phrase("public license"))
+_add_search("bool_and", Q.boolean_phrase("license AND the"))
+_add_search("bool_or", Q.boolean_phrase("apache OR mit OR gnu"), limit=10)
+_add_search("bool_not", Q.boolean_phrase("license NOT apache"))
+_add_search("plus_minus", Q.boolean_phrase("+license -mit"))
+_add_search("nested_parens", Q.boolean_phrase("(apache OR mit) AND (the OR les) AND license"))
+_add_search("mixed_phrase_term", Q.boolean_phrase('released "mit license"'))
+_add_search("precedence", Q.boolean_phrase("gnu AND public OR apache AND license"))
+_add_search("standard_or", Q.by_kind("standard", "apache gnu"))
+_add_search("match_all", Q.by_kind("phrase", ""))
+_add_search("path_filter_fullmatch", Q.auto_phrase("license"), path="/src[0-4]/en/.*")
+_add_search("path_only", Q.All(), path="/src1/.*")
+_add_search("paged_search", Q.auto_phrase("the"), limit=20, offset=40)
+_add_search("structured_boolean", Q.structured([("license", "must"), ("apache", "should"), ("gnu", "must_not")]))
+_add_search("structured_json", Q.structured_json([{"term": "public license", "occur": "should"}, {"term": "apache", "occur": "should"}]))
+_add_search("boosted_clause", Q.Bool(should=(Q.Boost(Q.Term("apache"), 3.0), Q.Term("mit"))))
+_add_search("fuzzy_terms", Q.fuzzy("licanse", 1))
+_add_search("regex_terms", Q.by_kind("regex", "licens.*"))
+_add("phrase_search_postings", lambda s, d: _from_postings(s, d, Q.auto_phrase('"of the"')), f"{search_sql(Q.auto_phrase(chr(34) + 'of the' + chr(34)))} SELECT doc_id, round(score, 6) AS score FROM hits")
+_add("bool_search_postings", lambda s, d: _from_postings(s, d, Q.boolean_phrase("(apache OR mit) AND license NOT gnu")), f"{search_sql(Q.boolean_phrase('(apache OR mit) AND license NOT gnu'))} SELECT doc_id, round(score, 6) AS score FROM hits")
+_add("fuzzy_postings", lambda s, d: _from_postings(s, d, Q.fuzzy("licanse", 1)), f"{search_sql(Q.fuzzy('licanse', 1))} SELECT doc_id, round(score, 6) AS score FROM hits")
+
+
+def _from_postings(s, d, q):
+    docs = documents(s, d).drop("collection_id").withColumn("collection_id", F.lit(None).cast("string"))
+    return lower.search_postings(lower.postings(docs), lower.corpus_stats(docs), q).select("doc_id", F.round("score", 6).alias("score"))
+
+
+_add("hit_count", lambda s, d: lower.scan(documents(s, d), Q.auto_phrase("license"), "/src[0-4]/.*").agg(F.count(F.lit(1)).alias("total_count")), f"{search_sql(Q.auto_phrase('license'), '/src[0-4]/.*')} SELECT count(*) AS total_count FROM hits")
+_add("count_by_collection", lambda s, d: lower.scan(documents(s, d), Q.auto_phrase("license")).groupBy("collection_id").agg(F.count(F.lit(1)).alias("n_hits")), f"{search_sql(Q.auto_phrase('license'))} SELECT collection_id, count(*) AS n_hits FROM hits GROUP BY collection_id")
+
+
+def _federated(s, d):
+    boosts = s.createDataFrame([("src1", 2.0), ("src2", 1.5)], "collection_id string, boost double")
+    return search.federated(documents(s, d), Q.auto_phrase("the"), boosts, 10).select("collection_id", "doc_id", "path", F.round("score", 6).alias("score"))
+
+
+_BOOSTED = "(SELECT collection_id, doc_id, path, score * CASE collection_id WHEN 'src1' THEN 2.0::DOUBLE WHEN 'src2' THEN 1.5 ELSE 1.0 END AS boosted FROM hits)"
+_add("federated_boosted_top10", _federated, f"{search_sql(Q.auto_phrase('the'), per_collection=True)} SELECT collection_id, doc_id, path, round(boosted, 6) AS score FROM {_BOOSTED} ORDER BY boosted DESC, collection_id, doc_id LIMIT 10")
+
+_PATHS = _D + ", tok AS (SELECT *, " + _TOKENS.format("path") + " AS toks FROM d)"
+_add("weighted_fields", lambda s, d: _rows(search.weighted_fields(documents(s, d), "en", {"content": 1.0, "path": 2.0, "nowhere": 5.0})), f"SELECT doc_id, path, round(sum(score), 6) AS score FROM (SELECT * FROM ({search_sql(Q.Term('en'))} SELECT doc_id, path, score FROM hits) UNION ALL SELECT * FROM ({search_sql(Q.Term('en'), source=_PATHS)} SELECT doc_id, path, 2.0 * score AS score FROM hits)) GROUP BY doc_id, path")
+_add("field_search", lambda s, d: _rows(search.field_search(documents(s, d), "src1 src2", "path")), f"{search_sql(Q.parse('src1 src2', conjunction=False), source=_PATHS)} SELECT {_ROW} FROM hits")
+
+
+def _rich(s, d):
+    docs = documents(s, d)
+    request = search.SearchInput('released "mit license"', limit=10, strategy="boolean_phrase")
+    pipe = search.SearchPipeline(search.ScanEngine(docs), [search.TermCollector(), search.Snippets(docs)])
+    return pipe.rich(request).select("doc_id", "path", F.round("score", 6).alias("score"), "snippet", F.array_join("matched_terms", " ").alias("terms"), F.size("phrase_groups").alias("n_groups"))
+
+
+_add("snippets", _rich)
+
+
+def _groups(s, d):
+    rows = [(i, q, kind, str(f(q)[0])) for i, q in enumerate(["hello", "hello world", '"machine learning" AND "signal processing"', "(hello OR world) -foo", "don't stop"]) for kind, f in (("auto", Q.auto_phrase_groups), ("boolean", Q.boolean_phrase_groups))]
+    return s.createDataFrame(rows, "query_id int, query string, strategy string, phrase_groups string")
+
+
+_add("term_groups", _groups)
+
+# ---- positions ----
+
+_add("phrase_positions", lambda s, d: P.phrase(conversation_words(s, d), ["of", "the"]).select("doc_id", "page", "start_offset", "word_offset", "word_text"), f"WITH {_CONV}, st AS (SELECT a.doc_id, a.page, a.word_offset AS start_offset FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND a.page = b.page AND b.word_offset = a.word_offset + 1 WHERE a.word_text = 'of' AND b.word_text = 'the') SELECT st.doc_id, st.page, start_offset, pos.word_offset, word_text FROM st JOIN pos ON pos.doc_id = st.doc_id AND pos.page = st.page AND pos.word_offset BETWEEN start_offset AND start_offset + 1")
+_add("single_term_positions", lambda s, d: P.single_term(document_words(s, d), "License").select("doc_id", "word_offset", "page", F.col("x_min").cast("double").alias("x_min"), F.col("y_min").cast("double").alias("y_min"), "word_text"), f"WITH {_GRID} SELECT doc_id, word_offset, page, x_min, y_min, word_text FROM grid WHERE word_text = 'license'")
+_add("positions_at_offsets", lambda s, d: P.at_offsets(document_words(s, d), document_words(s, d).where("word_text = 'license'").select("doc_id", (F.col("word_offset") + 1).alias("word_offset"))).select("doc_id", "word_offset", "word_text"), f"WITH {_GRID} SELECT a.doc_id, a.word_offset, a.word_text FROM grid a JOIN grid b ON a.doc_id = b.doc_id AND a.word_offset = b.word_offset + 1 WHERE b.word_text = 'license'")
+_HITS = f"{_CONV}, f AS (SELECT doc_id, page, word_offset, word_text FROM pos WHERE word_text IN ('of', 'the'))"
+_found = lambda s, d: conversation_words(s, d).where(F.col("word_text").isin("of", "the"))
+_OVER = "OVER (PARTITION BY doc_id ORDER BY page, word_offset)"
+_add("phrase_starts", lambda s, d: P.phrase_starts(_found(s, d), 2).select("doc_id", "page", "word_offset", "is_start"), f"WITH {_HITS} SELECT doc_id, page, word_offset, coalesce(lag(page) {_OVER} <> page OR lag(word_offset) {_OVER} + 1 <> word_offset, true) AS is_start FROM f")
+_add("match_navigation", lambda s, d: P.neighbours(_found(s, d)).select("doc_id", "page", "word_offset", "previous_offset", "next_offset"), f"WITH {_HITS} SELECT doc_id, page, word_offset, lag(word_offset) {_OVER} AS previous_offset, lead(word_offset) {_OVER} AS next_offset FROM f")
+_add("matching_pages", lambda s, d: P.matching_pages(_found(s, d)), f"WITH {_HITS} SELECT DISTINCT doc_id, page - 1 AS page_index FROM f WHERE page >= 1")
+_add("positions_by_page", lambda s, d: P.by_page(_found(s, d)).select("doc_id", "page", F.size("words").cast("long").alias("n_words"), F.element_at("words", 1)["word_offset"].alias("first_offset")), f"WITH {_HITS} SELECT doc_id, page, count(*) AS n_words, min(word_offset) AS first_offset FROM f GROUP BY doc_id, page")
+_add("distinct_boxes", lambda s, d: P.distinct_boxes(document_words(s, d).withColumn("page", F.lit(1)), ["word_offset"]).select("doc_id", "word_offset", "word_text"), f"WITH {_GRID} SELECT doc_id, word_offset, word_text FROM grid QUALIFY row_number() OVER (PARTITION BY doc_id, x_min, y_min ORDER BY word_offset) = 1")
+_add("term_positions", lambda s, d: P.term_positions(document_words(s, d), ["public", "license", "mit"], [["public", "license"], ["mit"]]).select("doc_id", "word_offset", "page", "word_text"), f"WITH {_GRID}, st AS (SELECT a.doc_id, a.page, a.word_offset AS o FROM grid a JOIN grid b ON a.doc_id = b.doc_id AND a.page = b.page AND b.word_offset = a.word_offset + 1 WHERE a.word_text = 'public' AND b.word_text = 'license') SELECT g.doc_id, g.word_offset, g.page, g.word_text FROM st JOIN grid g ON g.doc_id = st.doc_id AND g.page = st.page AND g.word_offset BETWEEN o AND o + 1 UNION SELECT doc_id, word_offset, page, word_text FROM grid WHERE word_text = 'mit'")
+_add("line_grouping", lambda s, d: P.group_lines(document_words(s, d).where("word_text = 'the'").select("doc_id", "page", F.col("y_min").cast("int").alias("top"), F.col("y_max").cast("int").alias("bottom"))), f"WITH {_GRID} SELECT doc_id, page, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY y_min) - 1 AS INTEGER) AS line, CAST(y_min AS INTEGER) AS top, CAST(y_min + 12 AS INTEGER) AS bottom, CAST(count(*) AS INTEGER) AS n_words FROM grid WHERE word_text = 'the' GROUP BY doc_id, page, y_min")
+
+
+def _chars(s, d):
+    """Characters of documents' first lines of words, 7 wide and 12 high, with a gap for every space and 60 a line."""
+    docs = documents(s, d).select("doc_id", F.substring(F.regexp_replace("content", r"[^A-Za-z .]", ""), 1, 400).alias("t"))
+    c = docs.select("doc_id", F.posexplode(F.split("t", "")).alias("i", "ch")).where("ch <> ''")
+    x, y = (F.col("i") % 60) * 7.0, F.floor(F.col("i") / 60) * 20.0
+    return c.where("ch <> ' '").select("doc_id", F.lit(1).alias("page"), "i", "ch", x.alias("left"), y.alias("top"), (x + 7.0).alias("right"), (y + 12.0).alias("bottom"))
+
+
+_CHARS = r"""c AS (SELECT doc_id, 1 AS page, CAST(i AS INTEGER) AS i, ch, (i % 60) * 7.0 AS "left", (i // 60) * 20.0 AS "top", (i % 60) * 7.0 + 7 AS "right", (i // 60) * 20.0 + 12 AS "bottom"
+  FROM (SELECT doc_id, unnest(range(length(t))) AS i, t[i + 1] AS ch FROM (SELECT doc_id, substr(regexp_replace(text, '[^A-Za-z .]', '', 'g'), 1, 400) AS t FROM documents)) WHERE ch <> ' '),
+ g AS (SELECT *, lag("bottom") OVER w AS pb, lag("right") OVER w AS pr FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ k AS (SELECT *, sum(CASE WHEN pb IS NULL OR abs("bottom" - pb) > 0.7 * 12 OR "left" - pr > 1.5 * 7 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS word_id FROM g)"""
+_CHARS = _CHARS.replace("SELECT doc_id, unnest(range(length(t))) AS i, t[i + 1] AS ch FROM (", "SELECT doc_id, i, t[i + 1] AS ch FROM (SELECT doc_id, t, unnest(range(length(t))) AS i FROM (").replace("400) AS t FROM documents)) WHERE", "400) AS t FROM documents))) WHERE")
+_boxed = lambda df: df.select("doc_id", "page", F.col("word_id").cast("long").alias("word_id"), "word_text", "x_min", "y_min", "x_max", "y_max")
+_add("char_gap_words", lambda s, d: W.words(W.segment(_chars(s, d))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.max(F.length("word_text")).cast("long").alias("longest")), f"WITH {_CHARS} SELECT doc_id, count(*) AS n_words, max(n) AS longest FROM (SELECT doc_id, word_id, count(*) AS n FROM k GROUP BY ALL) GROUP BY doc_id")
+_add("box_union", lambda s, d: _boxed(W.words(W.segment(_chars(s, d)))), f"WITH {_CHARS} SELECT doc_id, page, CAST(word_id AS BIGINT) AS word_id, string_agg(ch, '' ORDER BY i) AS word_text, CAST(min(\"left\") AS DOUBLE) AS x_min, CAST(min(\"top\") AS DOUBLE) AS y_min, CAST(max(\"right\") AS DOUBLE) AS x_max, CAST(max(\"bottom\") AS DOUBLE) AS y_max FROM k GROUP BY doc_id, page, word_id")
+
+# ---- geometry ----
+
+
+def _geometry(s, d):
+    i = F.col("doc_id")
+    rows = documents(s, d).select("doc_id", F.lit(612.0).alias("media_width"), F.lit(792.0).alias("media_height"), (i % 4).cast("int").alias("rotation"), *[F.when(i % 3 == 0, F.lit(v)).alias(f"crop_{k}") for k, v in (("left", 50.0), ("top", 742.0), ("right", 562.0), ("bottom", 50.0))], (i % 500).cast("double").alias("x"), (i % 600).cast("double").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    sx, sy = G.pdf_to_stored(x, y)
+    px, py = G.stored_to_pdf(x, y)
+    box = G.box_to_render(x, y, x + 60, y + 12)
+    w, h = G.render_size()
+    return rows.select("doc_id", w.alias("render_w"), h.alias("render_h"), sx.alias("stored_x"), sy.alias("stored_y"), px.alias("pdf_x"), py.alias("pdf_y"), *[b.alias(n) for b, n in zip(box, ("box_x1", "box_y1", "box_x2", "box_y2"))])
+
+
+_add("geometry_transform", _geometry, """WITH g AS (SELECT doc_id, doc_id % 4 AS r, doc_id % 3 = 0 AS c, CASE WHEN doc_id % 3 = 0 THEN 512.0 ELSE 612.0 END::DOUBLE AS w, CASE WHEN doc_id % 3 = 0 THEN 692.0 ELSE 792.0 END::DOUBLE AS h, (doc_id % 500)::DOUBLE AS x, (doc_id % 600)::DOUBLE AS y FROM documents),
+ p AS (SELECT *, x + 60 AS x2, y + 12 AS y2 FROM g),
+ q AS (SELECT *, CASE r WHEN 1 THEN h - y WHEN 2 THEN w - x WHEN 3 THEN y ELSE x END AS ax, CASE r WHEN 1 THEN w - x WHEN 2 THEN y WHEN 3 THEN x ELSE y END AS ay, CASE r WHEN 1 THEN h - y2 WHEN 2 THEN w - x2 WHEN 3 THEN y2 ELSE x2 END AS bx, CASE r WHEN 1 THEN w - x2 WHEN 2 THEN y2 WHEN 3 THEN x2 ELSE y2 END AS by_ FROM p)
+ SELECT doc_id, CASE WHEN r IN (1, 3) THEN h ELSE w END AS render_w, CASE WHEN r IN (1, 3) THEN w ELSE h END AS render_h, CASE WHEN c THEN x - 50 ELSE x END AS stored_x, CASE WHEN c THEN 742 - y ELSE h - y END AS stored_y, x AS pdf_x, h - y AS pdf_y, least(ax, bx) AS box_x1, least(ay, by_) AS box_y1, greatest(ax, bx) AS box_x2, greatest(ay, by_) AS box_y2 FROM q""")
+
+
+def _layout(s, d):
+    i = F.col("doc_id")
+    rows = documents(s, d).select("doc_id", (i % 500).cast("double").alias("x"), (i % 600).cast("double").alias("y"), (i % 4).cast("int").alias("rotation"))
+    pw, ph = F.lit(612.0), F.lit(792.0)
+    lx, ly = G.to_layout(F.col("x"), F.col("y"), pw, ph, 1224.0, 396.0)
+    w, h = G.layout_size(F.lit(60.0), F.lit(12.0), pw, ph, 1224.0, 396.0)
+    return rows.select("doc_id", lx.alias("layout_x"), ly.alias("layout_y"), w.alias("layout_w"), h.alias("layout_h"), F.round(G.centre_y(F.col("x"), F.col("y"), ph, F.col("rotation")), 9).alias("centre"))
+
+
+_add("ui_coordinate_map", _layout, "SELECT doc_id, (doc_id % 500) * 2.0::DOUBLE AS layout_x, (792 - doc_id % 600) * 0.5::DOUBLE AS layout_y, 120.0::DOUBLE AS layout_w, 8.0::DOUBLE AS layout_h, round(least(1, greatest(0, CASE doc_id % 4 WHEN 1 THEN 792 - doc_id % 500 WHEN 3 THEN doc_id % 500 ELSE doc_id % 600 END / 792::DOUBLE)), 9) AS centre FROM documents")
+
+# ---- files and jobs ----
+
+_add("scan_changes", lambda s, d: J.changed(listing(s, d), jobs(s, d)), f"WITH {_JOBS} SELECT l.path, l.file_modified, l.file_size FROM l LEFT JOIN j ON l.path = j.path WHERE j.path IS NULL OR l.file_modified <> j.file_modified OR l.file_size <> j.file_size OR j.status IN ('error', 'extracting')")
+_add("orphans", lambda s, d: J.orphans(jobs(s, d), listing(s, d)).select("id", "path"), f"WITH {_JOBS} SELECT id, path FROM j WHERE path NOT IN (SELECT path FROM l)")
+_add("dedup_originals", lambda s, d: J.originals(documents(s, d).withColumn("checksum", T.checksum(F.col("content")))).select("doc_id", "checksum"), f"WITH {_D} SELECT min(doc_id) AS doc_id, sha256(content) AS checksum FROM d GROUP BY 2")
+_add("duplicate_of", lambda s, d: J.with_duplicates(jobs(s, d)).select("id", "duplicate_of"), f"WITH {_JOBS}, f AS (SELECT checksum, min(id) AS first FROM j WHERE status = 'done' GROUP BY checksum) SELECT id, CASE WHEN status = 'done' AND first < id THEN first END AS duplicate_of FROM j LEFT JOIN f USING (checksum)")
+_add("original_lookup", lambda s, d: J.original_by_checksum(J.with_duplicates(jobs(s, d))), f"WITH {_JOBS} SELECT checksum, min(id) AS id, arg_min(path, id) AS path FROM j WHERE status = 'done' GROUP BY checksum")
+_add("job_status_counts", lambda s, d: J.status_counts(jobs(s, d)), f"WITH {_JOBS} SELECT status, count(*) AS n_jobs, count(*) FILTER (ocr_flag) AS n_ocr FROM j GROUP BY status")
+_add("claim_order", lambda s, d: J.claim(jobs(s, d), 25).select("id", "path", "file_size"), f"WITH {_JOBS} SELECT id, path, file_size FROM j WHERE status = 'pending' ORDER BY coalesce(file_size, 0) DESC, id LIMIT 25")
+_add("ocr_needed", lambda s, d: J.needs_ocr(jobs(s, d)).select("id", "path", "ocr_attempts"), f"WITH {_JOBS} SELECT id, path, ocr_attempts FROM j WHERE status = 'done' AND ocr_flag AND ocr_attempts < 2")
+_add("errored_jobs", lambda s, d: J.with_status(jobs(s, d), "error").select("id", "path", "error"), f"WITH {_JOBS} SELECT id, path, error FROM j WHERE status = 'error'")
+
+
+def _attempts(s, d):
+    results = listing(s, d).select("path", (F.col("file_size") % 2 == 0).alias("ok"), F.lit("blank page").alias("error"))
+    out = J.ocr_attempt(jobs(s, d), results)
+    return out.select("id", "ocr_attempts", "ocr_flag", "ocr_error", F.col("failed_ocr").isNotNull().alias("gave_up"))
+
+
+_add("ocr_attempt_update", _attempts, f"WITH {_JOBS} SELECT id, CASE WHEN l.path IS NULL THEN ocr_attempts ELSE ocr_attempts + 1 END AS ocr_attempts, CASE WHEN l.file_size % 2 = 0 THEN false ELSE ocr_flag END AS ocr_flag, CASE WHEN l.file_size % 2 = 1 THEN 'blank page' END AS ocr_error, coalesce(l.file_size % 2 = 1 AND ocr_attempts + 1 >= 2, false) AS gave_up FROM j LEFT JOIN l ON j.path = l.path")
+
+
+def _events(s, d):
+    e = listing(s, d).select("path", F.when(F.col("file_size") % 3 == 0, "done").when(F.col("file_size") % 3 == 1, "error").otherwise("claim").alias("kind"), F.lit("c").alias("checksum"), F.lit(False).alias("ocr_flag"), F.lit("broken").alias("error"))
+    return J.apply_events(jobs(s, d), e).select("id", "status", "error", "ocr_flag")
+
+
+_add("job_events", _events, f"WITH {_JOBS} SELECT id, CASE l.file_size % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'error' WHEN 2 THEN 'extracting' ELSE status END AS status, CASE WHEN l.path IS NULL THEN error WHEN l.file_size % 3 = 1 THEN 'broken' END AS error, CASE WHEN l.file_size % 3 = 0 THEN false ELSE ocr_flag END AS ocr_flag FROM j LEFT JOIN l ON j.path = l.path")
+_add("upsert_jobs", lambda s, d: J.upsert_pending(jobs(s, d), J.changed(listing(s, d), jobs(s, d))).select("id", "path", "status", "error", "file_modified", "file_size"), f"WITH {_JOBS}, ch AS (SELECT l.* FROM l LEFT JOIN j ON l.path = j.path WHERE j.path IS NULL OR l.file_modified <> j.file_modified OR l.file_size <> j.file_size OR j.status = 'error'), mx AS (SELECT max(id) AS m FROM j) SELECT coalesce(j.id, m + row_number() OVER (PARTITION BY j.id IS NULL ORDER BY ch.path)) AS id, coalesce(j.path, ch.path) AS path, CASE WHEN ch.path IS NULL THEN status ELSE 'pending' END AS status, CASE WHEN ch.path IS NULL THEN error END AS error, coalesce(ch.file_modified, j.file_modified) AS file_modified, coalesce(ch.file_size, j.file_size) AS file_size FROM j FULL JOIN ch ON j.path = ch.path CROSS JOIN mx")
+_add("ids_for_paths", lambda s, d: J.ids_for_paths(jobs(s, d), listing(s, d).where("file_size < 500")), f"WITH {_JOBS} SELECT id, path FROM j WHERE path IN (SELECT path FROM l WHERE file_size < 500)")
+_add("catalog_stats", lambda s, d: documents(s, d).groupBy("collection_id").agg(F.count(F.lit(1)).alias("doc_count"), F.sum(F.length("content").cast("long")).alias("n_chars")), "SELECT source AS collection_id, count(*) AS doc_count, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY source")
+
+
+def _batches(s, d):
+    """Shares of the next round of pending files; a round is bounded by workers times batch."""
+    workers = 4
+    rows = [(r["id"], r["file_size"]) for r in J.claim(jobs(s, d), 2 * workers * J.BATCH).collect()]
+    shares, rest = J.balanced(rows, workers)
+    return s.createDataFrame([(w, i) for w, own in enumerate(shares) for i in own] + [(-1, i) for i in rest], "worker int, id long")
+
+
+_add("greedy_batches", _batches)
+
+
+def _stream(s, d):
+    """Documents as a stream of files, duplicates of earlier ones left out, into a versioned table; then that table."""
+    import tempfile
+    import uuid
+
+    from ..sources.store import Store
+
+    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lexivault-")
+    base = f"{base}/stream-{uuid.uuid4().hex}"
+    store = Store(s, base)
+    source = s.readStream.schema(table(s, d, "documents").schema).parquet(f"{d}/documents.parquet*")
+    shape = table(s, d, "documents").select("doc_id", "text").withColumn("checksum", F.lit("")).schema
+
+    def batch(rows, number):
+        new = J.originals(rows.select("doc_id", "text", T.checksum(F.col("text")).alias("checksum")))
+        old = store.read("originals", shape)
+        store.write("originals", old.unionByName(new.join(old.select("checksum"), "checksum", "left_anti").select(shape.names)))
+
+    q = source.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return store.read("originals", shape).select("doc_id", "checksum")
+
+
+_add("stream_ingest", _stream, "SELECT min(doc_id) AS doc_id, sha256(text) AS checksum FROM documents GROUP BY 2")
