@@ -2,8 +2,8 @@
 
 Test items come in blocks of bounded size (``BLOCK_ITEMS``); a block's n-grams are a table of known size that goes to all
 workers, and every document is held against every block, whole, without a shuffle. A first pass counts the documents that
-hold each n-gram; in every stretch of ``STRETCH`` n-grams of an item the rarer half become seeds, so a seed lies near
-every place of an item, however often the item itself has leaked. Hits on near diagonals make a candidate passage, which
+hold each n-gram. Seeds are the n-grams that at most ``RARE`` of all documents (or ``FEW``) hold; besides, the rarer half of every
+stretch of ``STRETCH`` n-grams of an item, so seeds lie all over an item, however often the item itself has leaked. Hits on near diagonals make a candidate passage, which
 is aligned with the item word by word (edits, insertions and deletions allowed); the score is the alignment's share of
 the score of a perfect copy.
 
@@ -24,8 +24,8 @@ from . import hashing
 from .align import MATCH, align, clusters
 
 BLOCK_ITEMS = 20_000
-#: Words of a seed; n-grams of a stretch, of which the rarer half are seeds.
-SEED, STRETCH = 3, 8
+#: Words of a seed; n-grams of a stretch, of which the rarer half are seeds; share and number of documents up to which others are.
+SEED, STRETCH, RARE, FEW = 3, 8, 0.01, 20
 #: Seeds on one diagonal that make a candidate, how far apart their diagonals may lie, words added at both ends.
 HITS, DRIFT, MARGIN = 2, 8, 8
 HIT = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("start_word", T.IntegerType()), T.StructField("end_word", T.IntegerType())]))
@@ -77,14 +77,16 @@ def _count(grams):
     return run
 
 
-def _rarer(items: list[np.ndarray], grams: Grams, docs: np.ndarray) -> list[np.ndarray]:
-    """The rarer half of the n-grams in every stretch of each item."""
+def _rare(items: list[np.ndarray], grams: Grams, docs: np.ndarray, total: int) -> list[np.ndarray]:
+    """Places of the rare n-grams of each item, and of the rarer half in every stretch."""
     out = []
     for words in items:
         h = hashing.windows(words, SEED)
         count = docs[np.searchsorted(grams.keys, h)]
-        picked = [a + np.sort(np.argsort(count[a : a + STRETCH], kind="stable")[: -(-min(STRETCH, len(h) - a) // 2)]) for a in range(0, len(h), STRETCH)]
-        out.append(np.concatenate(picked) if picked else np.zeros(0, np.int64))
+        seed = count <= max(RARE * total, FEW)
+        for a in range(0, len(h), STRETCH):
+            seed[a + np.argsort(count[a : a + STRETCH], kind="stable")[: -(-min(STRETCH, len(h) - a) // 2)]] = True
+        out.append(np.flatnonzero(seed))
     return out
 
 
@@ -120,6 +122,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.45
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, HIT)])
     text_at = docs.columns.index(text_col)
     rows = docs.withColumn(out_col, F.array().cast(HIT))
+    total = docs.count() if blocks else 0
     for block in range(blocks):
         own = benchmark.select(F.col(item_id).cast("long"), item_text)
         if blocks > 1:
@@ -132,7 +135,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.45
         count = np.zeros(len(grams.keys), np.int64)
         for k, n in counted:
             count[k] = n
-        model = spark.sparkContext.broadcast((ids, items, Grams(items, _rarer(items, grams, count))))
+        model = spark.sparkContext.broadcast((ids, items, Grams(items, _rare(items, grams, count, total))))
 
         def run(batches, model=model):
             ids, items, seeds = model.value

@@ -4,7 +4,8 @@ Templates and documents are word sequences (runs of letters, digits and
 non-ASCII characters, lower-cased). Of every ``WINDOW``
 neighbouring ``GRAM``-word hashes the lowest is a fingerprint, so any common stretch of GRAM + WINDOW - 1 words shares
 one. The templates' fingerprints form an inverted index (template, place); a document's fingerprints look templates up,
-and hits on near diagonals are aligned within a band of ``BAND`` words around them. Coverage is the share of the
+and hits on near diagonals are aligned within a band of ``BAND`` words around them (fewer for
+short templates). Coverage is the share of the
 template's words that the alignment matches; a template may occur in a document at several places.
 
 The templates are a parameter of fixed size (``MAX_WORDS`` words at most, checked), held by every worker; documents are
@@ -92,11 +93,12 @@ class Index:
         for t in np.unique(template):
             own = np.flatnonzero(template == t)
             a = self.words[t]
-            for group in clusters(diagonal[own], DRIFT):
+            reach = min(BAND, len(a) // 2)  # short notices may follow each other closely
+            for group in clusters(diagonal[own], min(DRIFT, reach)):
                 d = diagonal[own[group]]
-                begin = max(0, int(d.min()) - BAND)
-                b = words[begin : int(d.max()) + len(a) + BAND]
-                _, matches, _, _, b0, b1 = align(a, b, int(np.median(d)) - begin, BAND)
+                begin = max(0, int(d.min()) - reach)
+                b = words[begin : int(d.max()) + len(a) + reach]
+                _, matches, _, _, b0, b1 = align(a, b, int(np.median(d)) - begin, reach)
                 if matches >= min_coverage * len(a):
                     found.append((begin + b0, begin + b1, matches / len(a), self.names[t]))
         return [(name, c, a, b) for a, b, c, name in sorted(set(found))]

@@ -106,5 +106,42 @@ QUERIES = {
         op10_chat_format,
     )
 }
-#: None of them is given as SQL: whole texts at full size are too slow there; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_CONTROL = r"(<)(\\*\|start\|>|\\*\|text\|>|\\*\|end\|>|\\*\|im_start\|>|\\*\|im_end\|>|\\*\|endoftext\|>|\\*s>|\\*/s>|\\*<SYS>>|\\*</SYS>>)|(\[)(\\*/?INST\])"
+
+#: DuckDB SQL of the queries that it can express: plain windows, lines, sets and rows, without this subpackage's methods.
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+ w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM b)),
+ f AS (SELECT k, min(doc_id) AS first FROM w GROUP BY k),
+ hit AS (SELECT doc_id, i FROM w JOIN f USING (k) WHERE first < doc_id),
+ g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hit),
+ s AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+ r AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS z FROM s GROUP BY doc_id, span),
+ e AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM r),
+ o AS (SELECT doc_id, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept, max(z) AS last, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM e JOIN b USING (doc_id) GROUP BY doc_id)
+ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM b LEFT JOIN o USING (doc_id)""",
+    "op2_line_dedup": rf"""WITH l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+ k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS key FROM l),
+ m AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key)
+ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (coalesce(first < doc_id, false)) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT coalesce(first < doc_id, false)), '')) AS kept_sha256 FROM k LEFT JOIN m USING (key) GROUP BY doc_id""",
+    "op3_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+ e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 75 * (a.n + b.n - o)),
+ both_ AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+ r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, both_.y FROM r JOIN both_ ON r.y = both_.x)
+ SELECT r.x AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.y) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY r.x""",
+    "op5_substring_dedup": rf"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+ win AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) > 12)),
+ f AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k),
+ gone AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT doc_id, i, unnest(range(13)) AS j FROM win JOIN f USING (k) WHERE first < doc_id)),
+ x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+ y AS (SELECT x.doc_id, count(*) AS n_words, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY x.p) FILTER (gone.p IS NULL) AS kept FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p GROUP BY x.doc_id)
+ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN y USING (doc_id)""",
+    "op10_chat_format": rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+ x AS (SELECT *, length(regexp_replace(role, '{_CONTROL}', '\1\3#\2\4', 'g')) + length(regexp_replace(text, '{_CONTROL}', '\1\3#\2\4', 'g')) + 25 AS size FROM c)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, length(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars FROM x GROUP BY conv_id""",
+}
