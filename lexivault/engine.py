@@ -90,6 +90,11 @@ class Engine:
         self.registry.delete_where("collections", F.col("id") == collection, schema.COLLECTIONS)
         self.store(collection).drop("")
 
+    def reset(self) -> None:
+        """Removes all collections and their tables."""
+        for row in self.collections().select("id").collect():
+            self.remove_collection(row["id"])
+
     def store(self, collection: int) -> Store:
         return Store(self.spark, f"{self.base}/{collection}")
 

@@ -65,6 +65,20 @@ def upsert_pending(jobs: DataFrame, found: DataFrame) -> DataFrame:
     return out.select(*[value.get(c, F.col(c)).alias(c) for c in schema.JOBS.names])
 
 
+def upsert_checksums(jobs: DataFrame, found: DataFrame) -> DataFrame:
+    """Known jobs whose content (path, checksum) differs become pending with the new checksum; equal ones stay as they are."""
+    new = found.select("path", F.col("checksum").alias("_c"))
+    both = jobs.join(new, "path", "left")
+    hit = F.col("_c").isNotNull() & ~F.col("_c").eqNullSafe(F.col("checksum"))
+    value = {
+        "checksum": F.when(hit, F.col("_c")).otherwise(F.col("checksum")),
+        "status": F.when(hit, F.lit("pending")).otherwise(F.col("status")),
+        "ocr_flag": F.when(hit, F.lit(False)).otherwise(F.col("ocr_flag")),
+        "error": F.when(~hit, F.col("error")),
+    }
+    return both.select(*[value.get(c, F.col(c)).alias(c) for c in schema.JOBS.names])
+
+
 def apply_events(jobs: DataFrame, events: DataFrame) -> DataFrame:
     """Jobs after events (path, kind, checksum, ocr_flag, error), one a path: claim, done, error, reset."""
     e = events.select("path", F.col("kind").alias("_k"), F.col("checksum").alias("_c"), F.col("ocr_flag").alias("_o"), F.col("error").alias("_e"))

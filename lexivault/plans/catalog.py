@@ -212,6 +212,10 @@ _add("weighted_fields", lambda s, d: _rows(search.weighted_fields(documents(s, d
 _add("field_search", lambda s, d: _rows(search.field_search(documents(s, d), "src1 src2", "path")), f"{search_sql(Q.parse('src1 src2', conjunction=False), source=_PATHS)} SELECT {_ROW} FROM hits")
 
 
+_add("field_fuzzy", lambda s, d: _rows(search.field_search(documents(s, d), "srcc1", "path", distance=1)), f"{search_sql(Q.fuzzy('srcc1', 1), source=_PATHS)} SELECT {_ROW} FROM hits")
+_add("stem_search", lambda s, d: _rows(search.recency_boost(search.stem_search(documents(s, d), "license"))), f"{search_sql(Q.auto_phrase('license'))} SELECT {_ROW} FROM hits")
+
+
 def _rich(s, d):
     docs = documents(s, d)
     request = search.SearchInput('released "mit license"', limit=10, strategy="boolean_phrase")
@@ -323,6 +327,7 @@ def _events(s, d):
 
 _add("job_events", _events, f"WITH {_JOBS} SELECT id, CASE l.file_size % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'error' WHEN 2 THEN 'extracting' ELSE status END AS status, CASE WHEN l.path IS NULL THEN error WHEN l.file_size % 3 = 1 THEN 'broken' END AS error, CASE WHEN l.file_size % 3 = 0 THEN false ELSE ocr_flag END AS ocr_flag FROM j LEFT JOIN l ON j.path = l.path")
 _add("upsert_jobs", lambda s, d: J.upsert_pending(jobs(s, d), J.changed(listing(s, d), jobs(s, d))).select("id", "path", "status", "error", "file_modified", "file_size"), f"WITH {_JOBS}, ch AS (SELECT l.* FROM l LEFT JOIN j ON l.path = j.path WHERE j.path IS NULL OR l.file_modified <> j.file_modified OR l.file_size <> j.file_size OR j.status = 'error'), mx AS (SELECT max(id) AS m FROM j) SELECT coalesce(j.id, m + row_number() OVER (PARTITION BY j.id IS NULL ORDER BY ch.path)) AS id, coalesce(j.path, ch.path) AS path, CASE WHEN ch.path IS NULL THEN status ELSE 'pending' END AS status, CASE WHEN ch.path IS NULL THEN error END AS error, coalesce(ch.file_modified, j.file_modified) AS file_modified, coalesce(ch.file_size, j.file_size) AS file_size FROM j FULL JOIN ch ON j.path = ch.path CROSS JOIN mx")
+_add("upsert_checksums", lambda s, d: J.upsert_checksums(jobs(s, d), documents(s, d).where("doc_id % 3 = 0").select("path", F.when(F.col("doc_id") % 2 == 0, "new").otherwise(F.sha2("content", 256)).alias("checksum"))).select("id", "checksum", "status", "error"), f"WITH {_JOBS} SELECT id, CASE WHEN (id - 1) % 6 = 0 THEN 'new' ELSE checksum END AS checksum, CASE WHEN (id - 1) % 6 = 0 THEN 'pending' ELSE status END AS status, CASE WHEN (id - 1) % 6 <> 0 THEN error END AS error FROM j")
 _add("ids_for_paths", lambda s, d: J.ids_for_paths(jobs(s, d), listing(s, d).where("file_size < 500")), f"WITH {_JOBS} SELECT id, path FROM j WHERE path IN (SELECT path FROM l WHERE file_size < 500)")
 _add("catalog_stats", lambda s, d: documents(s, d).groupBy("collection_id").agg(F.count(F.lit(1)).alias("doc_count"), F.sum(F.length("content").cast("long")).alias("n_chars")), "SELECT source AS collection_id, count(*) AS doc_count, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY source")
 

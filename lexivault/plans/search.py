@@ -230,10 +230,19 @@ def weighted_fields(docs: DataFrame, text: str, weights: dict[str, float], path_
     return found.groupBy("doc_id", "path").agg(F.sum("score").alias("score"))
 
 
-def field_search(docs: DataFrame, text: str, name: str, path_filter: str | None = None) -> DataFrame:
-    """A query in one field; words side by side are alternatives."""
+def field_search(docs: DataFrame, text: str, name: str, path_filter: str | None = None, distance: int | None = None) -> DataFrame:
+    """A query in one field; words side by side are alternatives. With a distance, a fuzzy one (0: as written)."""
     if name not in docs.columns:
         raise Q.QueryError(f"field {name!r} not found in schema")
-    return lower.scan(docs.select("doc_id", "path", F.col(name).alias("content")), Q.parse(text, conjunction=False), path_filter)
+    tree = Q.parse(text, conjunction=False) if distance is None else Q.fuzzy(text, distance)
+    return lower.scan(docs.select("doc_id", "path", F.col(name).alias("content")), tree, path_filter)
 
 
+def stem_search(docs: DataFrame, text: str, path_filter: str | None = None) -> DataFrame:
+    """There is no stemming: the same as a search of the text."""
+    return lower.scan(docs, Q.auto_phrase(text), path_filter)
+
+
+def recency_boost(hits: DataFrame) -> DataFrame:
+    """Documents carry no date, so scores stay as they are."""
+    return hits

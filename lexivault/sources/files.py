@@ -111,14 +111,33 @@ def otsu(gray: np.ndarray) -> int:
 def skew(dark: np.ndarray, limit: float = 5.0, step: float = 0.5) -> float:
     """Angle (degrees) at which the row sums of a black-and-white image vary most."""
     y, x = np.nonzero(dark)
+    pad = int(dark.shape[1] * np.tan(np.radians(limit))) + 1  # sums of all rows, empty ones too
     best = (-1.0, 0.0, 0.0)  # variance, smaller angles first, angle
     for angle in np.arange(-limit, limit + step / 2, step):
         row = np.round(y - x * np.tan(np.radians(angle))).astype(int)
-        spread = float(np.bincount(row - row.min()).var()) if len(row) else 0.0
+        spread = float(np.bincount(row + pad, minlength=dark.shape[0] + 2 * pad).var())
         best = max(best, (spread, -abs(float(angle)), float(angle)))
     return best[2]
 
 
+def preprocess(gray: np.ndarray, max_side: int = 3000, min_angle: float = 0.5) -> np.ndarray:
+    """A grey page ready for OCR: at most max_side pixels long, straightened if it is askew, black and white."""
+    shrink = -(-max(gray.shape) // max_side)
+    if shrink > 1:
+        h, w = (n // shrink * shrink for n in gray.shape)
+        gray = gray[:h, :w].reshape(h // shrink, shrink, w // shrink, shrink).mean((1, 3)).astype(np.uint8)
+    angle = skew(gray <= otsu(gray))
+    if abs(angle) > min_angle:
+        t = np.radians(angle)
+        y, x = np.indices(gray.shape)
+        cy, cx = (gray.shape[0] - 1) / 2, (gray.shape[1] - 1) / 2
+        sy = np.round((y - cy) * np.cos(t) + (x - cx) * np.sin(t) + cy).astype(int)
+        sx = np.round((x - cx) * np.cos(t) - (y - cy) * np.sin(t) + cx).astype(int)
+        inside = (sy >= 0) & (sy < gray.shape[0]) & (sx >= 0) & (sx < gray.shape[1])
+        gray = np.where(inside, gray[np.clip(sy, 0, gray.shape[0] - 1), np.clip(sx, 0, gray.shape[1] - 1)], 255).astype(np.uint8)
+    return np.where(gray <= otsu(gray), 0, 255).astype(np.uint8)
+
+
 def ocr_pages(content: bytes, language: str = "eng", dpi: int = 300) -> str:
     """Text of all pages by external tools, pages joined by newlines; an error if none has text."""
     if not (tool_available("tesseract") and tool_available("pdftoppm")):

@@ -98,3 +98,5 @@ def test_images():
     img[10:20] = 30
     assert 30 <= files.otsu(img) < 200
     assert files.skew(img < 100) == 0.0
+    out = files.preprocess(np.kron(img, np.ones((4, 4), np.uint8)), max_side=80)
+    assert out.shape == (80, 80) and set(np.unique(out)) == {0, 255} and (out[22:38] == 0).all()
