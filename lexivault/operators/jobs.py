@@ -106,8 +106,11 @@ def with_duplicates(jobs: DataFrame) -> DataFrame:
 
 def originals(rows: DataFrame, key: str = "checksum", id_col: str = "doc_id") -> DataFrame:
     """First row of every content; rows without a checksum are always originals."""
-    w = Window.partitionBy(key).orderBy(id_col)
-    return rows.withColumn("_n", F.when(F.coalesce(F.col(key), F.lit("")) == "", 1).otherwise(F.row_number().over(w))).where("_n = 1").drop("_n")
+    blank = F.coalesce(F.col(key), F.lit("")) == ""
+    # The smallest id of each content, joined on content and id: no task gets all copies of one content.
+    first = rows.where(~blank).groupBy(F.col(key).alias("_k")).agg(F.min(id_col).alias("_i"))
+    kept = rows.where(~blank).join(first, (F.col(key) == F.col("_k")) & (F.col(id_col) == F.col("_i")), "left_semi")
+    return kept.unionByName(rows.where(blank))
 
 
 def original_by_checksum(jobs: DataFrame) -> DataFrame:
