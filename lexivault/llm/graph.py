@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import shared
@@ -47,19 +47,32 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + (1 << 16)]), pa.array(roots[i : i + (1 << 16)])], names=["a", "b"])
 
 
+#: Edges that one task contracts at most.
+PART_EDGES = 1 << 20
+
+
+def _write(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """A written edge table, with its count and a sum over its rows from the same job."""
+    seen = Observation()
+    out = shared.written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), name)
+    return out, (seen.get["n"], seen.get["sum"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that edges (a, b) reach, for every node that is not itself the smallest."""
-    e = shared.written(edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long"), "edges")
-    state = None
-    while True:
+    """(node, label): the smallest node that edges (a, b) reach, for every node that is not itself the smallest.
+
+    Tasks contract bounded shares of the edges first (a small table is done then); rounds of stars join the shares.
+    """
+    e, (n, _) = _write(edges.select("a", "b").where("a <> b"), "edges")
+    e, state = _write(e.coalesce(-(-n // PART_EDGES) or 1).mapInArrow(_contract, "a long, b long"), "edges")
+    while state[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         least = shared.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         large = shared.written(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        low = shared.written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-        joined = large.join(low, "a")
-        small = low.select("a", F.col("m").alias("b")).union(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        e = shared.written(small.distinct(), "edges")
-        got = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if got == state:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        state = got
+        low = large.groupBy("a").agg(F.min("b").alias("m"))  # a node keeps few smaller neighbours, so no key is hot here
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
+        before = state
+        e, state = _write(small.where("a <> b").distinct(), "edges")
+        if state == before:
+            break
+    return e.select(F.col("a").alias("node"), F.col("b").alias("label"))

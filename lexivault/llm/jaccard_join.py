@@ -283,6 +283,8 @@ def linked(sets: DataFrame) -> DataFrame:
     giant = shared.written(size.groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("giant")), "giant")
     rest = now.join(giant, "group").where("label <> giant")
     chunks = shared.written(rest.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / (BLOCK_DOCS // 2)), F.ceil(F.sum(F.size("entries")) / BLOCK_ENTRIES)).cast("int").alias("chunks")), "chunks")
+    if chunks.isEmpty():
+        return labels
     left = rest.join(chunks, "group").select("group", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.expr("cast(pmod(xxhash64(doc, 2), chunks) as int)").alias("chunk"), F.lit(0).alias("side"), "doc", "label", "n", "entries")
     right = now.join(chunks, "group").select("group", "block", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.lit(1).alias("side"), "doc", "label", "n", "entries")
     third = _run(left.union(right), ["group", "block", "chunk"], _across).select("a", "b")
