@@ -53,10 +53,10 @@ class Metrics(StreamingQueryListener):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, base: str, extractor: files.Extractor = files.plain_text, settings: Settings | None = None, log: Callable[[str], None] | None = None, ocr: Callable[[bytes], str] | None = None):
+    def __init__(self, spark: SparkSession, base: str, extractor: files.Extractor = files.plain_text, settings: Settings | None = None, log: Callable[[str], None] | None = None, ocr: Callable[[bytes], str] | None = None, progress: Callable[[int, int], None] | None = None):
         self.spark, self.base, self.extractor, self.log = spark, base.rstrip("/"), extractor, log
         self.settings = settings or Settings()
-        self.ocr = ocr
+        self.ocr, self.progress = ocr, progress
         self.registry = Store(spark, f"{self.base}/registry")
 
     @staticmethod
@@ -101,7 +101,7 @@ class Engine:
     # Indexing
 
     def ingest(self, collection: int) -> Ingest:
-        return Ingest(self.spark, self.store(collection), str(collection), self.extractor, self.ocr)
+        return Ingest(self.spark, self.store(collection), str(collection), self.extractor, self.ocr, self.progress)
 
     def index(self, collection: int, ocr: bool = False, dry_run: bool = False) -> Outcome:
         """One incremental run; with ocr also a pass over files without text; a dry run only looks for changes."""

@@ -195,6 +195,11 @@ class SearchPipeline:
             out = e.enrich(out, request)
         return out.orderBy(F.desc("score"), "doc_id")
 
+    def json_hits(self, request: SearchInput) -> DataFrame:
+        """The page with one JSON object a hit."""
+        out = self.rich(request)
+        return out.select(F.to_json(F.struct(*[c for c in out.columns if c != "content"])).alias("hit"))
+
     def response(self, request: SearchInput) -> dict:
         """The whole answer; total counts with the same filters as the search."""
         rows = [r.asDict(recursive=True) for r in self.rich(request).collect()]  # one page

@@ -23,17 +23,25 @@ class Store:
     def _fs(self, path):
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self, table: str) -> int:
-        """Version in force; 0 if the table is new."""
+    def _pointer(self, table: str) -> tuple[int, int | None]:
         path = self._path(table, "CURRENT")
         fs = self._fs(path)
         if not fs.exists(path):
-            return 0
+            return 0, None
         stream = fs.open(path)
         try:
-            return int(bytes(stream.readAllBytes()).decode().split()[0])
+            version, shape = bytes(stream.readAllBytes()).decode().split()
         finally:
             stream.close()
+        return int(version), int(shape)
+
+    def version(self, table: str) -> int:
+        """Version in force; 0 if the table is new."""
+        return self._pointer(table)[0]
+
+    def schema_version(self, table: str) -> int | None:
+        """Layout that the version in force was written with; null if the table is new."""
+        return self._pointer(table)[1]
 
     def read(self, table: str, schema: T.StructType) -> DataFrame:
         """The table as it stands now, with the columns of schema (new ones null); empty if it is new."""

@@ -45,8 +45,10 @@ def positions_of(done: DataFrame) -> DataFrame:
 class Ingest:
     """One collection's tables: documents, postings, positions, jobs."""
 
-    def __init__(self, spark: SparkSession, store: Store, collection: str, extractor: files.Extractor = files.plain_text, ocr: Callable[[bytes], str] | None = None):
+    def __init__(self, spark: SparkSession, store: Store, collection: str, extractor: files.Extractor = files.plain_text, ocr: Callable[[bytes], str] | None = None, progress: Callable[[int, int], None] | None = None):
+        """progress is called with the files done and to do."""
         self.spark, self.store, self.collection, self.extractor, self.ocr = spark, store, collection, extractor, ocr
+        self.progress = progress or (lambda done, total: None)
 
     def jobs(self) -> DataFrame:
         return self.store.read("jobs", schema.JOBS)
@@ -93,8 +95,10 @@ class Ingest:
         if not n or not index:
             return Outcome(n, gone, 0, 0)
         self.store.write("jobs", J.upsert_pending(self.jobs(), found))
+        self.progress(0, n)
         extracted = files.extract(files.contents(self.spark, found, folder), self.extractor).persist()
         done, failed = self.flush(extracted)
+        self.progress(n, n)
         for df in (listing, found, extracted):
             df.unpersist()
         return Outcome(n, gone, done, failed)
@@ -117,7 +121,7 @@ class Ingest:
 
         Deleted files never reach a stream: remove_orphans() finds them.
         """
-        source = self.spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(folder)
+        source = self.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(folder)
 
         def batch(rows: DataFrame, number: int) -> None:
             rows = rows.persist()

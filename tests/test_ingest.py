@@ -31,11 +31,13 @@ def put(path, text, age=60):
 
 
 def test_life_of_a_collection(spark, folder, tmp_path):
-    engine = Engine(spark, f"file://{tmp_path}/base")
+    told = []
+    engine = Engine(spark, f"file://{tmp_path}/base", progress=lambda *x: told.append(x))
     one = engine.add_collection(f"file://{folder}", "Books")
     assert engine.add_collection(f"file://{folder}") == one
     out = engine.index(one)
-    assert (out.changed, out.indexed, out.errors, out.orphans) == (6, 4, 2, 0)
+    assert (out.changed, out.indexed, out.errors, out.orphans) == (6, 4, 2, 0) and told == [(0, 6), (6, 6)]
+    assert '"matched_terms":["nested"]' in engine.pipeline(one).json_hits(SearchInput("nested")).first()["hit"]
     assert {r["path"].rsplit("/", 1)[1] for r in engine.problems(one).collect()} == {"truncated.pdf", "empty.pdf"}
     assert engine.search(one, "machine learning")["total_count"] == 2
     assert engine.search(one, "nested")["results"][0]["snippet"] == "<b>nested</b> file content"
@@ -88,9 +90,9 @@ def test_stream_restarts(spark, folder, tmp_path):
 def test_store(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     shape = schema.LISTING
-    assert store.read("t", shape).count() == 0 and store.version("t") == 0
+    assert store.read("t", shape).count() == 0 and store.version("t") == 0 and store.schema_version("t") is None
     row = lambda *r: spark.createDataFrame(list(r), shape)
-    assert store.write("t", row(("a", 1, 1), ("b", 1, 1))) == 1
+    assert store.write("t", row(("a", 1, 1), ("b", 1, 1))) == 1 and store.schema_version("t") == schema.SCHEMA_VERSION
     old = store.read("t", shape)
     assert store.upsert("t", row(("b", 2, 2), ("c", 3, 3)), "path", shape) == 2
     assert sorted(map(tuple, store.read("t", shape).collect())) == [("a", 1, 1), ("b", 2, 2), ("c", 3, 3)]
