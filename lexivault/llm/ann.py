@@ -176,6 +176,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
             if size and len(q_ids):
                 yield block(*map(np.concatenate, zip(*held)))
 
-        found = found.union(dealt.mapInArrow(run, OUT))
+        found = found.union(dealt.mapInArrow(parts.lean(run), OUT))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "verified")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import hashing
+from . import hashing, parts
 from .align import MATCH, align, clusters
 
 BLOCK_ITEMS = 20_000
@@ -118,6 +118,7 @@ def passages(words: np.ndarray, items: list[np.ndarray], seeds: Grams, min_score
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.45, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", out_col: str = "hits") -> DataFrame:
     """The documents' rows with a column ``hits``: the items each holds a copy of, with score and place (in words)."""
     spark = docs.sparkSession
+    parts.small_batches(spark)
     blocks = -(-benchmark.count() // BLOCK_ITEMS)
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, HIT)])
     text_at = docs.columns.index(text_col)
@@ -131,7 +132,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.45
         ids, items = [r[0] for r in got], [word_hashes(r[1]) for r in got]
         grams = Grams(items)
         shared = spark.sparkContext.broadcast(grams)
-        counted = docs.select(text_col).mapInArrow(_count(shared), "key int, docs long").groupBy("key").agg(F.sum("docs")).collect()
+        counted = docs.select(text_col).mapInArrow(parts.lean(_count(shared)), "key int, docs long").groupBy("key").agg(F.sum("docs")).collect()
         count = np.zeros(len(grams.keys), np.int64)
         for k, n in counted:
             count[k] = n
@@ -147,5 +148,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.45
                 kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int32()), ("end_word", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hits, kind)], names=b.schema.names)
 
-        rows = rows.mapInArrow(run, schema)
+        rows = rows.mapInArrow(parts.lean(run), schema)
     return rows

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from . import shared
+from . import parts, shared
 
 
 class Forest:
@@ -64,7 +64,7 @@ def components(edges: DataFrame) -> DataFrame:
     Tasks contract bounded shares of the edges first (a small table is done then); rounds of stars join the shares.
     """
     e, (n, _) = _write(edges.select("a", "b").where("a <> b"), "edges")
-    e, state = _write(e.coalesce(-(-n // PART_EDGES) or 1).mapInArrow(_contract, "a long, b long"), "edges")
+    e, state = _write(e.coalesce(-(-n // PART_EDGES) or 1).mapInArrow(parts.lean(_contract), "a long, b long"), "edges")
     while state[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         least = shared.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")

@@ -234,15 +234,15 @@ def _across(batches):
 
 def _run(blocks: DataFrame, keys: list[str], run) -> DataFrame:
     tasks = parts.partitions(blocks.sparkSession)
-    return blocks.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, EDGES)
+    return blocks.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(parts.lean(run), EDGES)
 
 
 def jaccard_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = parts.PART_BYTES) -> DataFrame:
     """Steps 1 and 2, as a written table: (doc, n, rep) of all rows; prefix and entries of those that may link."""
     dealt, buckets = parts.deal(docs, id_col, text_col, part_bytes=part_bytes)
     texts = dealt.groupBy("part")
-    replies = parts.exchange(texts.applyInArrow(_send(words, buckets), parts.KEYS), _judge(buckets))
-    out = shared.written(texts.cogroup(replies.groupBy("part")).applyInArrow(_keep(words, buckets), SETS), "sets")
+    replies = parts.exchange(texts.applyInArrow(parts.lean(_send(words, buckets)), parts.KEYS), _judge(buckets))
+    out = shared.written(texts.cogroup(replies.groupBy("part")).applyInArrow(parts.lean(_keep(words, buckets)), SETS), "sets")
     del dealt, texts, replies
     shared.release(docs.sparkSession)
     return out

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import hashing
+from . import hashing, parts
 
 #: Entries of the table of log probabilities at most; more languages get fewer hash buckets each.
 MAX_ENTRIES = 1 << 22
@@ -104,13 +104,14 @@ def _sum(table: pa.Table) -> pa.Table:
 
 def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", alpha: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages (sorted), log priors, and log probabilities by hash bucket and language, from all rows with a language."""
+    parts.small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null")
     langs = rows.select("lang").distinct().count()
     buckets = BUCKETS
     while buckets > 1024 and buckets * langs > MAX_ENTRIES:
         buckets //= 2
     schema = "lang string, slice int, docs long, counts binary"
-    got = rows.mapInArrow(_count(buckets), schema).groupBy("lang", "slice").applyInArrow(_sum, schema).collect()
+    got = rows.mapInArrow(parts.lean(_count(buckets)), schema).groupBy("lang", "slice").applyInArrow(parts.lean(_sum), schema).collect()
     names = sorted({r["lang"] for r in got})
     counts, docs = np.zeros((buckets, len(names))), np.zeros(len(names))
     for r in got:
@@ -123,6 +124,7 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", a
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (the posterior probability) to the rows; takes nothing but the text into account."""
+    parts.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index(text_col)
@@ -149,7 +151,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
             value = [float(score[i]) if known[i] else 0.0 for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(value, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(parts.lean(run), schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):

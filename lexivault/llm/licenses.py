@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import hashing
+from . import hashing, parts
 from .align import align, clusters
 from .decontaminate import word_hashes
 
@@ -106,6 +106,7 @@ class Index:
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, coverage, start_word, end_word) for every licence found in every document."""
+    parts.small_batches(docs.sparkSession)
     index = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
 
     def run(batches):
@@ -114,4 +115,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32()))], names=["doc_id", "license", "coverage", "start_word", "end_word"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, OUT)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(parts.lean(run), OUT)

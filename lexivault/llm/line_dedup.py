@@ -94,6 +94,6 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     """One row for each document: lines, dropped lines, the text left; keep names columns to carry along (in a struct ``rest``)."""
     dealt, buckets = parts.deal(docs, id_col, text_col, keep, part_bytes)
     texts = dealt.groupBy("part")
-    replies = parts.exchange(texts.applyInArrow(_send(min_chars, buckets), parts.KEYS), _count)
+    replies = parts.exchange(texts.applyInArrow(parts.lean(_send(min_chars, buckets)), parts.KEYS), _count)
     out = OUT + (", rest " + dealt.schema["rest"].dataType.simpleString() if keep else "")
-    return texts.cogroup(replies.groupBy("part")).applyInArrow(_drop(min_chars, min_docs, list(keep)), out)
+    return texts.cogroup(replies.groupBy("part")).applyInArrow(parts.lean(_drop(min_chars, min_docs, list(keep))), out)

@@ -15,6 +15,8 @@ Documents with equal ids are never separated; a null id counts as larger than al
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import struct
 from collections.abc import Callable, Iterator
 
@@ -41,6 +43,7 @@ def partitions(spark: SparkSession) -> int:
 def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
     """Rows as (part, id, body, rest) dealt by part, and the number of key buckets that suits their bytes."""
     spark = docs.sparkSession
+    small_batches(spark)
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text_col)))).first()
     tasks = partitions(spark)
     want = max(-(-int(size or 0) // part_bytes), min(tasks, n // 16 + 1))
@@ -125,7 +128,52 @@ def seen_before(table: pa.Table) -> pa.Table:
 
 def exchange(sent: DataFrame, reduce: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """Runs reduce over the rows of each bucket."""
-    return sent.groupBy("bucket").applyInArrow(reduce, ANSWERS)
+    return sent.groupBy("bucket").applyInArrow(lean(reduce), ANSWERS)
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system, so that workers that wait hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """A worker function that tidies up after every table or batch."""
+    if inspect.isgeneratorfunction(run):
+
+        def batches_to_batches(batches):
+            for out in run(batches):
+                yield out
+                tidy()
+
+        return batches_to_batches
+    if run.__code__.co_argcount == 1:
+
+        def table_to_table(table):
+            try:
+                return run(table)
+            finally:
+                tidy()
+
+        return table_to_table
+
+    def tables_to_table(left, right):
+        try:
+            return run(left, right)
+        finally:
+            tidy()
+
+    return tables_to_table
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows with whole texts go to workers a thousand at a time, unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
 
 
 class Part:

@@ -80,5 +80,5 @@ def substring_dedup(docs: DataFrame, length: int = 13, id_col: str = "doc_id", t
     """One row for each document: words, removed words, the text left (kept words, one space between) and removed word spans."""
     dealt, buckets = parts.deal(docs, id_col, text_col, part_bytes=part_bytes)
     texts = dealt.groupBy("part")
-    replies = parts.exchange(texts.applyInArrow(_send(length, buckets), parts.KEYS), parts.seen_before)
-    return texts.cogroup(replies.groupBy("part")).applyInArrow(_remove(length), OUT)
+    replies = parts.exchange(texts.applyInArrow(parts.lean(_send(length, buckets)), parts.KEYS), parts.seen_before)
+    return texts.cogroup(replies.groupBy("part")).applyInArrow(parts.lean(_remove(length)), OUT)
