@@ -1,12 +1,12 @@
 """Byte-level BPE by a global distinct-word shuffle, and decoding by the token-byte table.
 
 1. Each task splits its texts into pre-tokens and keeps, for each batch of texts, the distinct words and the texts as
-   sequences of word numbers (their positions); both go to one table in the shared folder, so the batch numbers stay
-   valid if an executor is lost.
-2. The distinct words of all batches are shuffled by word; each distinct word is encoded once.
+   sequences of word numbers (their positions). Both leave in one exchange: sequences by batch, words by bucket of the
+   word's hash. A batch's number comes from its partition and place, so a task that runs again gives the same rows.
+2. The words of all batches meet in their bucket; each distinct word is encoded once.
 3. The ids go back to the batches that asked, and each text is put together in the order of its positions.
 
-Nothing grows with the number of occurrences but the sequences, which stay in their batch (about 1.5 bytes a word). No
+Nothing grows with the number of occurrences but the sequences, which stay in their batch (less than two bytes a word). No
 word list of the corpus is ever held or broadcast whole; the ranks (a vocabulary of fixed size) go to all workers.
 
 Defined cases: null or empty text has no tokens and decodes to no bytes; words of any length are encoded whole; ids may
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import os
 import struct
 
 import numpy as np
@@ -26,14 +25,18 @@ import regex
 import tiktoken
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import parts, shared
+from . import parts
 
 #: Bytes of text whose distinct words are gathered in one task at a time.
-BATCH_BYTES = 12 << 20
-TABLE = "batch long, bucket int, ids binary, sizes binary, seq binary, words binary"
+BATCH_BYTES = 10 << 20
+#: Pre-tokens put together at a time.
+PIECE = 1 << 20
+ROWS = "key long, batch long, ids binary, sizes binary, seq binary, order binary, words binary"
+ANSWERS = "key long, bucket int, answer binary"
 
 
 def rust_pattern(pattern: str) -> str:
@@ -73,65 +76,67 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
-def _pack_words(words: list[bytes]) -> bytes:
-    sizes = np.fromiter(map(len, words), np.uint32, len(words))
-    return struct.pack("<I", len(words)) + sizes.tobytes() + b"".join(words)
+_KINDS = {1: "<u1", 2: "<u2", 4: "<u4"}
 
 
-def _unpack_words(blob: bytes) -> list[bytes]:
-    (n,) = struct.unpack_from("<I", blob)
-    ends = np.cumsum(np.frombuffer(blob, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n
-    out, a = [], 4 + 4 * n
-    for b in ends.tolist():
-        out.append(blob[a:b])
-        a = b
-    return out
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes."""
+    top = int(numbers.max()) if len(numbers) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    planes = np.ascontiguousarray(numbers.astype(_KINDS[width]).view(np.uint8).reshape(-1, width).T)
+    return struct.pack("<QB", len(numbers), width) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
-def _pack_numbers(seq: np.ndarray) -> bytes:
-    """Word numbers as compressed byte planes."""
-    width = max(1, (int(seq.max()).bit_length() + 7) // 8) if len(seq) else 1
-    planes = np.ascontiguousarray(seq.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T)
-    return struct.pack("<IB", len(seq), width) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+def _unpack(blob: bytes) -> np.ndarray:
+    n, width = struct.unpack_from("<QB", blob)
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[9:], max_output_size=n * width), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(_KINDS[width]).reshape(-1).astype(np.int64)
 
 
-def _unpack_numbers(blob: bytes) -> np.ndarray:
-    n, width = struct.unpack_from("<IB", blob)
-    out = np.zeros((n, 4), np.uint8)
-    if n:
-        out[:, :width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[5:], max_output_size=n * width), np.uint8).reshape(width, n).T
-    return out.reshape(-1).view("<u4")
+def _pack_words(words: list[bytes]) -> bytes:
+    sizes = _pack(np.fromiter(map(len, words), np.int64, len(words)))
+    return struct.pack("<Q", len(sizes)) + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+
+
+def _unpack_words(blob: bytes) -> list[bytes]:
+    (n,) = struct.unpack_from("<Q", blob)
+    ends = np.cumsum(_unpack(blob[8 : 8 + n]))
+    flat = zstandard.ZstdDecompressor().decompress(blob[8 + n :], max_output_size=int(ends[-1]) or 1)
+    return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def _split(pattern: str, buckets: int, batch_bytes: int):
     def run(batches):
         find = regex.compile(rust_pattern(pattern)).findall
+        schema = pa.schema([("key", pa.int64()), ("batch", pa.int64()), *((k, pa.binary()) for k in ("ids", "sizes", "seq", "order", "words"))])
+        part, made = TaskContext.get().partitionId(), 0
         ids, sizes, seqs, held = [], [], [], 0
         numbers: dict[str, int] = {}
 
         def flush():
-            nonlocal ids, sizes, seqs, held, numbers
-            batch = int.from_bytes(os.urandom(8), "little") >> 1
-            seq = np.concatenate(seqs) if seqs else np.zeros(0, np.uint32)
-            count = np.bincount(seq, minlength=len(numbers))
-            words = [w.encode() for w in numbers]
-            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)) % np.uint64(buckets)
-            # Numbers by bucket, then by falling frequency: answers come by bucket.
-            order = np.lexsort((-count, bucket))
-            number = np.empty(len(words), np.uint32)
-            number[order] = np.arange(len(words), dtype=np.uint32)
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            full = np.flatnonzero(np.diff(cut))
-            out = {
-                "batch": [batch] * (1 + len(full)),
-                "bucket": [-1, *full.tolist()],
-                "ids": [np.array([0 if x is None else x for x in ids], "<i8").tobytes() + np.array([x is None for x in ids], np.uint8).tobytes()] + [None] * len(full),
-                "sizes": [np.array(sizes, "<u4").tobytes()] + [None] * len(full),
-                "seq": [_pack_numbers(number[seq] if len(seq) else seq)] + [None] * len(full),
-                "words": [None] + [_pack_words([words[i] for i in order[cut[b] : cut[b + 1]]]) for b in full],
-            }
-            ids, sizes, seqs, held, numbers = [], [], [], 0, {}
-            return pa.RecordBatch.from_pydict(out, schema=pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), *((k, pa.binary()) for k in ("ids", "sizes", "seq", "words"))]))
+            nonlocal made
+            batch = -1 - (part << 24 | made)
+            made += 1
+            seq = np.concatenate(seqs)
+            # Frequent words get small numbers, which pack well; order says where each word is among those sent.
+            rank = np.empty(len(numbers), np.int64)
+            rank[np.argsort(-np.bincount(seq, minlength=len(numbers)), kind="stable")] = np.arange(len(numbers))
+            shares: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
+            for i, w in enumerate(numbers):
+                w = w.encode()
+                shares[xxhash.xxh3_64_intdigest(w) % buckets].append((w, i))
+            for share in shares:
+                share.sort()
+            full = [b for b, share in enumerate(shares) if share]
+            order = rank[np.fromiter((i for b in full for _, i in shares[b]), np.int64, len(numbers))]
+            known = np.array([0 if x is None else x for x in ids], "<i8").tobytes() + np.array([x is None for x in ids], np.uint8).tobytes()
+            none = [None] * len(full)
+            out = {"key": [batch, *full], "batch": [batch] * (1 + len(full)), "ids": [known, *none], "sizes": [_pack(np.array(sizes, np.int64)), *none], "seq": [_pack(rank[seq]), *none], "order": [_pack(order), *none], "words": [None, *(_pack_words([w for w, _ in shares[b]]) for b in full)]}
+            for x in (ids, sizes, seqs, numbers):
+                x.clear()
+            return pa.RecordBatch.from_pydict(out, schema=schema)
 
         for b in batches:
             for i, text in zip(b.column("id").to_pylist(), b.column("text")):
@@ -142,10 +147,11 @@ def _split(pattern: str, buckets: int, batch_bytes: int):
                         numbers[t] = len(numbers)
                 ids.append(i)
                 sizes.append(len(tokens))
-                seqs.append(np.fromiter(map(numbers.__getitem__, tokens), np.uint32, len(tokens)))
+                seqs.append(np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens)))
                 held += len(text)
                 if held >= batch_bytes:
                     yield flush()
+                    held = 0
         if ids:
             yield flush()
 
@@ -158,8 +164,8 @@ def _encode(ranks_path: str, pattern: str):
     def run(table: pa.Table) -> pa.Table:
         piece = encoder(ranks_path, pattern)._encode_single_piece
         known: dict[bytes, list[int]] = {}
-        given = []
-        for blob in table["words"]:
+        bucket, batch, given = table["key"][0].as_py(), [], []
+        for number, blob in zip(table["batch"].to_pylist(), table["words"]) if bucket >= 0 else ():
             sizes, ids = [], []
             for word in _unpack_words(blob.as_py()):
                 got = known.get(word)
@@ -167,50 +173,55 @@ def _encode(ranks_path: str, pattern: str):
                     got = known[word] = piece(word)
                 sizes.append(len(got))
                 ids += got
-            given.append(struct.pack("<I", len(sizes)) + np.array(sizes, "<u4").tobytes() + np.array(ids, "<u4").tobytes())
-        return pa.table({"batch": table["batch"], "bucket": table["bucket"], "answer": pa.array(given, pa.binary())})
+            size = _pack(np.array(sizes, np.int64))
+            given.append(struct.pack("<Q", len(size)) + size + _pack(np.array(ids, np.int64)))
+            batch.append(number)
+        return pa.table({"key": pa.array(batch, pa.int64()), "bucket": pa.array([bucket] * len(batch), pa.int32()), "answer": pa.array(given, pa.binary())})
 
     return run
 
 
+_NONE = pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
+
+
 def _assemble(table: pa.Table, replies: pa.Table) -> pa.Table:
-    order = np.argsort(replies["bucket"].to_numpy())
-    sizes, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-    for i in order:
+    """The texts of a batch; words that wait for their own batch give nothing here."""
+    if not len(table) or table["key"][0].as_py() >= 0:
+        return _NONE
+    row = {k: table[k][0].as_py() for k in ("ids", "sizes", "seq", "order")}
+    sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for i in np.argsort(replies["bucket"].to_numpy()):
         blob = replies["answer"][int(i)].as_py()
-        (n,) = struct.unpack_from("<I", blob)
-        sizes.append(np.frombuffer(blob, "<u4", n, 4))
-        ids.append(np.frombuffer(blob, "<u4", -1, 4 + 4 * n))
-    size, token = np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
-    begin = np.cumsum(size) - size
-    doc_ids, starts, flat, upto = [], [np.zeros(1, np.int64)], [], 0
-    for row in range(len(table)):
-        n = len(table["sizes"][row].as_py()) // 4
-        raw = table["ids"][row].as_py()
-        missing = np.frombuffer(raw, np.uint8, n, 8 * n).astype(bool)
-        doc_ids.append(pa.array(np.frombuffer(raw, "<i8", n), pa.int64(), mask=missing))
-        seq = _unpack_numbers(table["seq"][row].as_py())
-        words = np.concatenate([[0], np.cumsum(np.frombuffer(table["sizes"][row].as_py(), "<u4"), dtype=np.int64)])
-        each = size[seq]
-        ends = np.cumsum(each)
-        pick = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[seq] - (ends - each), each)
-        flat.append(token[pick])
-        at = np.concatenate([[0], ends])[words]
-        starts.append(at[1:] + upto)
-        upto += int(at[-1])
-    values = pa.array(np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32))
-    return pa.table({"doc_id": pa.concat_arrays(doc_ids) if doc_ids else pa.array([], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(starts).astype(np.int32)), values)})
+        (n,) = struct.unpack_from("<Q", blob)
+        sizes.append(_unpack(blob[8 : 8 + n]))
+        ids.append(_unpack(blob[8 + n :]).astype(np.int32))
+    sent, token, order = np.concatenate(sizes), np.concatenate(ids), _unpack(row["order"])
+    size, begin = np.empty(len(sent), np.int64), np.empty(len(sent), np.int64)
+    size[order], begin[order] = sent, np.cumsum(sent) - sent
+    seq, count = _unpack(row["seq"]).astype(np.int32), _unpack(row["sizes"])
+    ends, flat = np.zeros(len(seq) + 1, np.int64), []
+    for a in range(0, len(seq), PIECE):
+        own = seq[a : a + PIECE]
+        each = size[own]
+        stop = np.cumsum(each)
+        flat.append(token[np.arange(stop[-1]) + np.repeat(begin[own] - (stop - each), each)])
+        ends[a + 1 : a + 1 + len(own)] = stop + ends[a]
+    starts = ends[np.concatenate([[0], np.cumsum(count)])].astype(np.int32)
+    n = len(count)
+    missing = np.frombuffer(row["ids"], np.uint8, n, 8 * n).astype(bool)
+    values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
+    return pa.table({"doc_id": pa.array(np.frombuffer(row["ids"], "<i8", n), pa.int64(), mask=missing), "ids": pa.ListArray.from_arrays(pa.array(starts), values)})
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id and the token ids of each row's whole text."""
+    parts.small_batches(docs.sparkSession)
     tasks = parts.partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table = shared.written(rows.mapInArrow(_split(pattern, 2 * tasks, batch_bytes), TABLE), "bpe")
-    words = table.where("bucket >= 0").select("batch", "bucket", "words")
-    replies = words.groupBy("bucket").applyInArrow(_encode(ranks_path, pattern), "batch long, bucket int, answer binary")
-    texts = table.where("bucket < 0").select("batch", "ids", "sizes", "seq")
-    return texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_assemble, "doc_id long, ids array<int>")
+    # Both uses read the same exchange; each passes over the rows of the other kind.
+    dealt = rows.mapInArrow(parts.lean(_split(pattern, tasks, batch_bytes)), ROWS).repartition(tasks, "key").groupBy("key")
+    replies = dealt.applyInArrow(parts.lean(_encode(ranks_path, pattern)), ANSWERS)
+    return dealt.cogroup(replies.groupBy("key")).applyInArrow(parts.lean(_assemble), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -227,4 +238,4 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
             out = [b"".join(map(get, flat[x:y].tolist())) for x, y in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(parts.lean(run), schema)
