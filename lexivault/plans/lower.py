@@ -65,7 +65,8 @@ def _expanded(query: object, vocabulary) -> object:
     if isinstance(query, Q.Fuzzy):
         words = vocabulary()
         found = words.where(T.edit_distance(query.text)(F.col("term")) <= query.distance) if query.distance else words.where(F.col("term") == query.text)
-        return Q.Regex("|".join(sorted(_literal(r["term"]) for r in found.toLocalIterator()))) if not found.isEmpty() else Q.Nothing()
+        near = sorted(_literal(r["term"]) for r in found.collect())  # terms within a few edits of one word
+        return Q.Regex("|".join(near)) if near else Q.Nothing()
     if isinstance(query, Q.Bool):
         return Q.Bool(*[tuple(_expanded(q, vocabulary) for q in side) for side in (query.must, query.should, query.must_not)])
     if isinstance(query, Q.Boost):
