@@ -114,6 +114,7 @@ def runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int):
 def _entries(p: parts.Part, length: int, buckets: int):
     """The part's runs; the bucket and key of each, their distinct sorted pairs, the place and lowest rank of each."""
     first, stop, doc, lead, full = runs(p.buf, p.starts, p.ends, length)
+    lead = hashing.mix(lead)  # the lowest hashes of windows crowd at the low end; scrambled, they fill all buckets alike
     bucket = parts.bucket_of(lead, buckets)
     key = (lead << np.uint64(28)) | (full >> np.uint64(36))
     order = np.lexsort((key, bucket))
@@ -219,7 +220,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
     dealt, buckets = parts.deal(docs, id_col, text_col, part_bytes=part_bytes)
     texts = dealt.groupBy("part")
-    first = parts.exchange(texts.applyInArrow(_send(length, buckets), parts.KEYS), _scan)
-    second = parts.exchange(texts.cogroup(first.groupBy("part")).applyInArrow(_send_windows(length, buckets), parts.KEYS), parts.seen_before)
+    first = parts.exchange(texts.applyInArrow(parts.lean(_send(length, buckets)), parts.KEYS), _scan)
+    second = parts.exchange(texts.cogroup(first.groupBy("part")).applyInArrow(parts.lean(_send_windows(length, buckets)), parts.KEYS), parts.seen_before)
     both = first.withColumn("second", F.lit(False)).union(second.withColumn("second", F.lit(True)))
-    return texts.cogroup(both.groupBy("part")).applyInArrow(_remove(length, buckets), OUT)
+    return texts.cogroup(both.groupBy("part")).applyInArrow(parts.lean(_remove(length, buckets)), OUT)
