@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import parts
+
 START, HEAD, END = "<|start|>", "<|text|>", "<|end|>"
 #: Strings that never stand unescaped in a text: our own marks and those of common chat models.
 CONTROLS = (START, HEAD, END, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -99,6 +101,7 @@ def mask(formatted: str, spans: list[tuple[int, int]], token_path: str):
 
 def format_conversations(rows: DataFrame, token_path: str, train_on: str = "assistant") -> DataFrame:
     """One row for each conversation: the formatted text, its token ids and the loss mask."""
+    parts.small_batches(rows.sparkSession)
     picked = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     dealt = picked.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("loss", pa.list_(pa.struct([("token", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])))])
@@ -117,7 +120,7 @@ def format_conversations(rows: DataFrame, token_path: str, train_on: str = "assi
                 if turns and conv != open_id:
                     held += close()
                     turns = []
-                    if held > 1 << 20:
+                    if held > 1 << 17:
                         yield pa.RecordBatch.from_pylist(done, schema=schema)
                         done, held = [], 0
                 open_id = conv
@@ -127,7 +130,7 @@ def format_conversations(rows: DataFrame, token_path: str, train_on: str = "assi
         if done:
             yield pa.RecordBatch.from_pylist(done, schema=schema)
 
-    return dealt.mapInArrow(run, OUT)
+    return dealt.mapInArrow(parts.lean(run), OUT)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -137,17 +140,16 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            convs, texts, masks = b.column("conv_id"), b.column("formatted").to_pylist(), b.column("loss").to_pylist()
+            convs, texts, masks = b.column("conv_id"), b.column("formatted").to_pylist(), b.column("loss")
+            at, start, end = masks.offsets.to_numpy(), masks.values.field("start").to_numpy(), masks.values.field("end").to_numpy()
             turns, loss = [], []
-            for text, spans in zip(texts, masks):
+            for text, i, j in zip(texts, at[:-1], at[1:]):
                 turns.append([{"role": r, "text": t} for r, t in parse(text)])
-                raw, joined = text.encode(), []
-                for x in spans:  # neighbouring tokens of one text join, so an escape over their edge reads whole
-                    if joined and joined[-1][1] == x["start"]:
-                        joined[-1][1] = x["end"]
-                    else:
-                        joined.append([x["start"], x["end"]])
-                loss.append("".join(unescape(raw[a:z].decode()) for a, z in joined))
+                raw, s, e = text.encode(), start[i:j], end[i:j]
+                # Neighbouring tokens of one text join, so an escape over their edge reads whole.
+                cut = np.flatnonzero(s[1:] != e[:-1])
+                first, last = s[np.append(0, cut + 1)] if j > i else s, e[np.append(cut, -1)] if j > i else e
+                loss.append("".join(unescape(raw[a:z].decode()) for a, z in zip(first.tolist(), last.tolist())))
             yield pa.RecordBatch.from_arrays([convs, pa.array(turns, pa.list_(turn)), pa.array(loss, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["conv_id", "turns", "loss_text", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(run, schema)
+    return formatted.select("conv_id", "formatted", "loss").mapInArrow(parts.lean(run), schema)
