@@ -2,18 +2,19 @@
 
 A logarithmic family of sparse suffix arrays. Suffixes are sampled by content: a suffix is kept if its leading
 ``GRAM`` bytes have the lowest hash of some ``length``-byte window, so any two equal windows hold a sampled suffix at
-the same offset. Suffixes are ordered by the hash of their leading bytes, then by the hash of the whole stretch of
-windows they stand for (a *run*: 50 to 76 bytes). Every part of the corpus is a new batch with its own sorted array; in
-each bucket of the key space a batch is merge-scanned against the existing levels for equal runs, then added as a
+the same offset. The hash of their leading bytes deals suffixes to buckets; in a bucket they are ordered by the hash of
+the whole stretch of windows they stand for (a *run*: 50 to 76 bytes). Every part of the corpus is a new batch with its
+own sorted array; in each bucket a batch is merge-scanned against the existing levels for equal runs, then added as a
 level of its own, and levels of about equal size merge geometrically (``LevelFamily``).
 
 A run that an earlier batch holds in full removes all its windows. Only the first copy of a run whose leading bytes
 also begin other runs can match in part; these few runs send the hashes of their single windows to a second family.
 Equal windows are thus always found, wherever the text around them differs; nothing is sampled away.
 
-Cost: text is shuffled once, sampled suffixes (7 % of the bytes) once with about 7 bytes each, windows of partly
-matching runs once. Hashes of runs count as equal at 64 bits and of windows at 64 bits; the chance of a false match is
-near n * 2**-64 a string.
+Cost: text is shuffled once, sampled suffixes (7 % of the bytes) once with about 12 bytes each, windows of partly
+matching runs once. Hashes of runs count as equal at 64 bits and of windows at 64 bits, however many runs share their
+leading bytes; the chance of a false match is near n * 2**-64 a string. Leading bytes travel as 32 bits besides the
+bucket: leads taken for equal only send a run's windows in vain.
 
 Defined cases: null text is empty; texts shorter than ``length`` stay whole; rows of one id never remove each other's
 bytes; a null id counts as larger than all others; an empty table gives an empty result.
@@ -112,46 +113,44 @@ def runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int):
 
 
 def _entries(p: parts.Part, length: int, buckets: int):
-    """The part's runs; the bucket and key of each, their distinct sorted pairs, the place and lowest rank of each."""
+    """The part's runs; the distinct sorted pairs of bucket and run hash, their leads, the place and lowest rank of each."""
     first, stop, doc, lead, full = runs(p.buf, p.starts, p.ends, length)
     lead = hashing.mix(lead)  # the lowest hashes of windows crowd at the low end; scrambled, they fill all buckets alike
     bucket = parts.bucket_of(lead, buckets)
-    key = (lead << np.uint64(28)) | (full >> np.uint64(36))
-    order = np.lexsort((key, bucket))
-    b, k = bucket[order], key[order]
+    order = np.lexsort((full, bucket))
+    b, k = bucket[order], full[order]
     new = np.ones(len(k), bool)
     new[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1])
     place = np.empty(len(k), np.int64)
     place[order] = np.cumsum(new) - 1
     lowest = p.rank[doc[order[new]]] if len(k) else np.zeros(0, np.int64)  # lexsort is stable: the first is the lowest
-    return first, stop, doc, b[new], k[new], place, lowest
+    return first, stop, doc, b[new], k[new], lead[order[new]].astype(np.uint32), place, lowest
 
 
 def _send(length: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         p = parts.Part(table)
-        *_, b, k, _, _ = _entries(p, length, buckets)
+        *_, b, k, lead, _, _ = _entries(p, length, buckets)
         cut = np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
         full = np.flatnonzero(np.diff(cut))
         blobs = [parts.pack(k[cut[x] : cut[x + 1]]) for x in full]
-        return pa.table({"bucket": pa.array(full, pa.int32()), "part": pa.array([p.number] * len(full), pa.int32()), "keys": pa.array(blobs, pa.binary()), "extra": pa.nulls(len(full), pa.binary())})
+        leads = [lead[cut[x] : cut[x + 1]].tobytes() for x in full]
+        return pa.table({"bucket": pa.array(full, pa.int32()), "part": pa.array([p.number] * len(full), pa.int32()), "keys": pa.array(blobs, pa.binary()), "extra": pa.array(leads, pa.binary())})
 
     return run
 
 
 def _scan(table: pa.Table) -> pa.Table:
     """Answers EARLIER for a run that an earlier part holds, SHARED for one whose leading bytes begin other runs too."""
-    got = [(part, keys) for part, keys, _ in parts.received(table)]
+    got = [(part, keys, np.frombuffer(lead, np.uint32)) for part, keys, lead in parts.received(table)]
     family, old = LevelFamily(), []
-    for _, keys in got:
+    for _, keys, _ in got:
         old.append(family.scan(keys))
         family.add(keys[~old[-1]])
-    whole = family.whole()
-    lead = whole >> np.uint64(28)
-    same = lead[1:] == lead[:-1]
-    shared = np.append(same, False) | np.append(False, same)
-    flags = [x * np.uint8(EARLIER) | shared[np.searchsorted(whole, keys)] * np.uint8(SHARED) for x, (_, keys) in zip(old, got)]
-    return parts.answers(table["bucket"][0].as_py(), [x for x, _ in got], [x.astype(np.uint8).tobytes() for x in flags])
+    leads = np.sort(np.concatenate([lead[~x] for x, (*_, lead) in zip(old, got)]))  # one for each distinct run
+    shared = np.unique(leads[1:][leads[1:] == leads[:-1]])
+    flags = [x * np.uint8(EARLIER) | np.isin(lead, shared) * np.uint8(SHARED) for x, (*_, lead) in zip(old, got)]
+    return parts.answers(table["bucket"][0].as_py(), [x for x, *_ in got], [x.astype(np.uint8).tobytes() for x in flags])
 
 
 def _single(p: parts.Part, length: int, first, stop, pick) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +175,7 @@ def _partial(p: parts.Part, flags, doc, place, lowest) -> np.ndarray:
 def _send_windows(length: int, buckets: int):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         p = parts.Part(table)
-        first, stop, doc, _, _, place, lowest = _entries(p, length, buckets)
+        first, stop, doc, *_, place, lowest = _entries(p, length, buckets)
         flags = parts.joined(replies, np.uint8)
         pick = _partial(p, flags, doc, place, lowest)
         return parts.send(p.number, np.unique(_single(p, length, first, stop, pick)[1]), buckets)
@@ -187,7 +186,7 @@ def _send_windows(length: int, buckets: int):
 def _remove(length: int, buckets: int):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         p = parts.Part(table)
-        first, stop, doc, _, _, place, lowest = _entries(p, length, buckets)
+        first, stop, doc, *_, place, lowest = _entries(p, length, buckets)
         second = np.array(replies["second"].combine_chunks().to_numpy(zero_copy_only=False), bool)
         flags = parts.joined(replies.filter(pa.array(~second)), np.uint8)
         whole = np.flatnonzero((flags[place] & EARLIER > 0) | (lowest[place] < p.rank[doc])) if len(place) else place

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexivault.llm import graph, jaccard_join, queries
+from lexivault.llm import graph, hashing, jaccard_join, queries
 from lexivault.llm.line_dedup import line_dedup
 from lexivault.llm.substring_dedup import substring_dedup
 from lexivault.llm.suffix_dedup import LevelFamily, suffix_dedup
@@ -108,6 +109,20 @@ def test_long_texts(spark):
     assert run5(spark, rows) == sorted(brute.op5(rows))
 
 
+def test_many_runs_with_one_lead(spark):
+    """100,000 documents share 24 bytes and no window of 50: none loses a byte, but a true copy of one does."""
+    rnd = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    some = lambda n: "".join(rnd.choices(letters, k=n))
+    table = hashing.byte_values()
+    lead = lambda g: int(hashing.mix(hashing.prefix(table[np.frombuffer(g.encode(), np.uint8)])[-1:])[0])
+    gram = min((some(24) for _ in range(5000)), key=lead)  # sampled in every window that holds it
+    rows = [(i, some(26) + gram + some(26)) for i in range(100_000)]
+    rows += [(100_000, rows[77][1]), (100_001, "-" + rows[500][1][5:])]
+    got = suffix_dedup(frame(spark, rows), part_bytes=1 << 20).where("n_removed > 0").select("doc_id", "n_removed").collect()
+    assert sorted(tuple(r) for r in got) == [(100_000, 76), (100_001, 71)]
+
+
 def test_blocks_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 8)
     monkeypatch.setattr(jaccard_join, "BLOCK_ENTRIES", 2000)
