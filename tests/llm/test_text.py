@@ -188,6 +188,29 @@ def test_licenses(spark, data):
     assert found == {r["doc_id"] for r in docs.where(F.col("text").rlike("Licensed under (CC BY-NC 4.0|the Apache License)|Released under the MIT License|licensed under the GNU General")).collect()}
 
 
+def test_license_templates(spark):
+    """A planted copy of every template is found by its name, once; like lines of other versions get no wrong name."""
+    names = sorted(TEMPLATES)
+    rows = [(i, f"q1 q2 q3 {TEMPLATES[n]} q4 q5") for i, n in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {}
+    for r in scan_licenses(docs).collect():
+        got.setdefault(names[r["doc_id"]], []).append((r["license"], round(r["coverage"], 3)))
+    assert {n: x for n, x in got.items() if x != [(n, 1.0)]} == {} and len(got) == len(names)
+    lines = {
+        "Licensed under CC BY-SA 4.0": ["cc-by-sa-4.0-statement"],
+        "Licensed under the GNU General Public License, version 2": ["gpl-2.0-line"],
+        "This work is licensed under the GNU General Public License, version 2.": ["gpl-2.0-statement"],
+        "Licensed under the Apache License, Version 1.1.": [],
+        "Released under the Foo License.": [],
+        "SPDX-License-Identifier: Foo-1.0": [],
+        f"{TEMPLATES['gpl-2.0']} {TEMPLATES['mit']} {TEMPLATES['gpl-2.0']}": ["gpl-2.0", "mit", "gpl-2.0"],
+    }
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = scan_licenses(docs).orderBy("start_word").collect()
+    assert {t: [r["license"] for r in found if r["doc_id"] == i] for i, t in enumerate(lines)} == lines
+
+
 def test_neighbours(spark, data):
     got = queries.QUERIES["op6_nearest"](spark, data).collect()
     e = spark.read.parquet(f"{data}/embeddings.parquet").toPandas()
