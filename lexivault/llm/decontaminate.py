@@ -5,7 +5,9 @@ workers, and every document is held against every block, whole, without a shuffl
 hold each n-gram. Seeds are the n-grams that at most ``RARE`` of all documents (or ``FEW``) hold; besides, the rarer half of every
 stretch of ``STRETCH`` n-grams of an item, so seeds lie all over an item, however often the item itself has leaked. Hits on near diagonals make a candidate passage, which
 is aligned with the item word by word (edits, insertions and deletions allowed); the score is the alignment's share of
-the score of a perfect copy.
+the score of a perfect copy. A passage counts from ``min_score`` on, or if it holds ``MIN_WORDS`` words of the item as they
+are (``EDIT`` / ``MATCH`` more for every edited word, so at four of five words at least), however long the item is; its score
+and place are then those of that stretch.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased. Defined cases: null or blank texts have no hits; items with
 fewer than ``SEED`` words have no seeds and match nothing; repeated documents or items are judged each on their own; ids
@@ -26,7 +28,9 @@ from .align import MATCH, align, clusters
 BLOCK_ITEMS = 20_000
 #: Words of a seed; n-grams of a stretch, of which the rarer half are seeds; share and number of documents up to which others are.
 SEED, STRETCH, RARE, FEW = 3, 8, 0.01, 20
-#: Seeds on one diagonal that make a candidate, how far apart their diagonals may lie, words added at both ends.
+#: Words that count however long the item is, and what an edit among them costs.
+MIN_WORDS, EDIT = 30, 8
+#: Seeds on one diagonal that make a candidate (one, if an item has only one), how far apart their diagonals may lie, words added at both ends.
 HITS, DRIFT, MARGIN = 2, 8, 8
 HIT = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("start_word", T.IntegerType()), T.StructField("end_word", T.IntegerType())]))
 
@@ -52,6 +56,7 @@ class Grams:
         self.first = np.append(self.first, len(flat))
         self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
         self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
+        self.seeds = np.bincount(self.item, minlength=len(items))
         self.known = np.zeros(1 << 20, bool)  # a sieve before the search
         self.known[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
@@ -93,7 +98,7 @@ def _rare(items: list[np.ndarray], grams: Grams, docs: np.ndarray, total: int) -
 def passages(words: np.ndarray, items: list[np.ndarray], seeds: Grams, min_score: float) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, end word) of the best passage for each item that a document holds."""
     at, key = seeds.find(hashing.windows(words, SEED))
-    if len(at) < HITS:
+    if not len(at):
         return []
     n = seeds.first[key + 1] - seeds.first[key]
     where = np.repeat(seeds.first[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -105,12 +110,19 @@ def passages(words: np.ndarray, items: list[np.ndarray], seeds: Grams, min_score
         best = (0.0, 0, 0)
         for group in clusters(diagonal[own], DRIFT):
             d = diagonal[own[group]]
-            if len(np.unique(at[own[group]])) < HITS:
+            if len(np.unique(at[own[group]])) < min(HITS, seeds.seeds[i]):
                 continue
             a, b = max(0, int(d.min()) - MARGIN), min(len(words), int(d.max()) + len(items[i]) + MARGIN)
             score, _, _, _, b0, b1 = align(items[i], words[a:b])
-            best = max(best, (score / (MATCH * len(items[i])), a + b0, a + b1))
-        if best[0] >= min_score:
+            whole = MATCH * len(items[i])
+            if score < min_score * whole and score >= MATCH * MIN_WORDS:
+                score, _, _, _, b0, b1 = align(items[i], words[a:b], cost=EDIT)
+                if score < MATCH * MIN_WORDS:
+                    continue
+            elif score < min_score * whole:
+                continue
+            best = max(best, (score / whole, a + b0, a + b1))
+        if best[0] > 0:
             out.append((i, *best))
     return out
 

@@ -154,6 +154,21 @@ def test_leaks(spark):
     assert decontaminate(docs.where("false"), items).count() == 0
 
 
+def test_long_and_short_items(spark):
+    """A long stretch of a longer item counts, as does one copy of an item that is a single seed."""
+    item = [f"v{i}" for i in range(400)]
+    edited = [w if i % 10 else "other" for i, w in enumerate(item[100:180])]
+    sparse = [w if i % 2 else f"z{i}" for i, w in enumerate(item[100:180])]
+    filler = " ".join(f"w{i}" for i in range(200))
+    say = lambda w: f"{filler} {' '.join(w)} {filler}"
+    rows = [(1, say(item[100:250])), (2, say(item[100:120])), (3, say(edited)), (4, say(sparse)), (5, say(["alpha", "Beta", "gamma"])), (6, say(["alpha", "beta"]))]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "alpha beta gamma")], "item_id long, text string")
+    got = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    hits = {r["doc_id"]: [(h["item_id"], h["score"], h["start_word"], h["end_word"]) for h in r["hits"]] for r in got}
+    assert hits[1] == [(1, 0.375, 200, 350)] and [h[0] for h in hits[3]] == [1]
+    assert hits[2] == hits[4] == hits[6] == [] and hits[5] == [(2, 1.0, 200, 203)]
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     from lexivault.llm import decontaminate as module
 
