@@ -267,6 +267,22 @@ _boxed = lambda df: df.select("doc_id", "page", F.col("word_id").cast("long").al
 _add("char_gap_words", lambda s, d: W.words(W.segment(_chars(s, d))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.max(F.length("word_text")).cast("long").alias("longest")), f"WITH {_CHARS} SELECT doc_id, count(*) AS n_words, max(n) AS longest FROM (SELECT doc_id, word_id, count(*) AS n FROM k GROUP BY ALL) GROUP BY doc_id")
 _add("box_union", lambda s, d: _boxed(W.words(W.segment(_chars(s, d)))), f"WITH {_CHARS} SELECT doc_id, page, CAST(word_id AS BIGINT) AS word_id, string_agg(ch, '' ORDER BY i) AS word_text, CAST(min(\"left\") AS DOUBLE) AS x_min, CAST(min(\"top\") AS DOUBLE) AS y_min, CAST(max(\"right\") AS DOUBLE) AS x_max, CAST(max(\"bottom\") AS DOUBLE) AS y_max FROM k GROUP BY doc_id, page, word_id")
 
+
+
+def _whole_chars(s, d):
+    """All characters of whole texts, white space among them: 7 wide and 12 high, 60 a line, 40 lines a page."""
+    c = documents(s, d).select("doc_id", F.posexplode(F.regexp_extract_all("content", F.lit("(?s)."), F.lit(0))).alias("i", "ch"))
+    x, y = (F.col("i") % 60) * 7.0, F.floor(F.col("i") % 2400 / 60) * 20.0
+    return c.select("doc_id", F.floor(1 + F.col("i") / 2400).cast("int").alias("page"), "i", "ch", x.alias("left"), y.alias("top"), (x + 7.0).alias("right"), (y + 12.0).alias("bottom"))
+
+
+_WHOLE = r"""c AS (SELECT doc_id, generate_subscripts(t, 1) - 1 AS i, unnest(t) AS ch FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS t FROM documents)),
+ p AS (SELECT doc_id, CAST(1 + i // 2400 AS INTEGER) AS page, i, ch, (i % 60) * 7.0 AS x, (i % 2400 // 60) * 20.0 AS y, NOT regexp_matches(ch, '^[\x09-\x0D\x20]$') AS solid FROM c),
+ n AS (SELECT *, solid AND (i % 60 = 0 OR NOT lag(solid, 1, false) OVER (PARTITION BY doc_id, page ORDER BY i)) AS fresh FROM p),
+ k AS (SELECT *, CAST(sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id, page ORDER BY i) AS BIGINT) AS word_id FROM n)"""
+_add("char_gap_words_whole", lambda s, d: W.words(W.segment(_whole_chars(s, d))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.max(F.length("word_text")).cast("long").alias("longest")), f"WITH {_WHOLE} SELECT doc_id, count(*) AS n_words, max(n) AS longest FROM (SELECT doc_id, page, word_id, count(*) AS n FROM k WHERE solid GROUP BY ALL) GROUP BY doc_id")
+_add("box_union_whole", lambda s, d: _boxed(W.words(W.segment(_whole_chars(s, d)))), f"WITH {_WHOLE} SELECT doc_id, page, word_id, string_agg(ch, '' ORDER BY i) AS word_text, CAST(min(x) AS DOUBLE) AS x_min, CAST(min(y) AS DOUBLE) AS y_min, CAST(max(x) + 7 AS DOUBLE) AS x_max, CAST(max(y) + 12 AS DOUBLE) AS y_max FROM k WHERE solid GROUP BY doc_id, page, word_id")
+
 # ---- geometry ----
 
 
