@@ -1,8 +1,8 @@
-"""Vectorised Rabin-Karp hashing of bytes, words and token windows (numpy, no per-token Python).
+"""Vectorised hashing of bytes, words and windows (numpy, no per-token Python).
 
-A text is bytes. Every byte is replaced by a fixed pseudo-random 64-bit value and prefix sums of
-``value * B**i`` (mod 2**64) give the polynomial hash of any slice in constant time; a final mix spreads
-the bits. Two different slices share a hash with a probability near 2**-64.
+A window's hash is built by doubling: pieces of one length are combined two by two, the last two overlapping, and every
+combination goes through a non-linear mix. So no algebraic pattern (as of polynomials modulo a power of two) makes
+different strings of any length share a hash; two of them do with a probability near 2**-64.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import xxhash
 
 #: ASCII white space of the word contracts: space and \t..\r.
 SPACES = b" \t\n\x0b\x0c\r"
-_B = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+_GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Bytes worked on at a time.
 CHUNK = 1 << 17
 
 
@@ -29,16 +30,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(1)
-def byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_B)) | np.uint64(1)
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a pair of hashes; the order counts."""
+    x = a * _ODD
+    x += b
+    return mix(x)
 
 
 @functools.lru_cache(1)
-def lower_values() -> np.ndarray:
-    """byte_values() with A-Z folded onto a-z."""
-    v = byte_values().copy()
-    v[65:91] = v[97:123]
+def lower_table() -> np.ndarray:
+    """Bytes with A-Z folded onto a-z."""
+    v = np.arange(256, dtype=np.uint8)
+    v[65:91] += 32
     return v
 
 
@@ -49,73 +52,93 @@ def space_table() -> np.ndarray:
     return t
 
 
-_powers: list[np.ndarray] = []
+@functools.lru_cache(1)
+def punctuation_table() -> np.ndarray:
+    """White space, control characters and ASCII punctuation."""
+    t = np.ones(256, bool)
+    t[128:] = t[48:58] = t[65:91] = t[97:123] = False
+    return t
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i for i < n at least, kept and grown by doubling."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(CHUNK * 2, 1 << (n - 1).bit_length())
-        out = []
-        for base in (_B, pow(_B, -1, 1 << 64)):
-            p = np.full(size, base & _MASK, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _powers[:] = out
-    return _powers[0][:n], _powers[1][:n]
+@functools.lru_cache(1)
+def _masks() -> np.ndarray:
+    return np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values * B**i; one longer than values."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values))[0], out=out[1:])
-    return out
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at every place (zeros after the end) as one number; a view of a copy."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, "<u8", padded, 0, (1,))
 
 
-def slices(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of [start, end) from prefix(); the length takes part."""
-    inverse = powers(len(pre))[1]
-    return mix((pre[end] - pre[start]) * inverse[start] + (end - start).astype(np.uint64) * _C2)
+def doubled(values: np.ndarray, span: int, length: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of windows of ``length``, from those of windows of ``span``: one for each start, or for the starts ``at``."""
+    while span * 2 <= length:
+        values = combine(values[:-span], values[span:])
+        span *= 2
+    if at is None:
+        return combine(values[: len(values) - (length - span)], values[length - span :]) if span < length else values
+    return combine(values[at], values[at + (length - span)]) if span < length else values[at]
 
 
 def windows(values: np.ndarray, length: int) -> np.ndarray:
-    """Hash of every window of so many values: one for each start."""
-    n = len(values) - length + 1
+    """Hash of every window of so many 64-bit values: one for each start."""
+    if len(values) < length:
+        return np.zeros(0, np.uint64)
+    return doubled(mix(values + _GOLD), 1, length)
+
+
+def byte_windows(buf: np.ndarray, length: int) -> np.ndarray:
+    """Hash of every window of so many bytes: one for each start."""
+    n = len(buf) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    pre = prefix(values)
-    h = (pre[length:] - pre[:n]) * powers(len(pre))[1][:n]
-    return mix(h)
+    if length < 8:
+        return mix((eights(buf)[:n] & _masks()[length]) + _GOLD)
+    return doubled(mix(eights(buf)[: len(buf) - 7] + _GOLD), 8, length)
 
 
-@functools.lru_cache(1)
-def punctuation_table() -> np.ndarray:
-    """White space, control characters and ASCII punctuation."""
-    t = np.ones(256, bool)
-    t[128:] = t[48:58] = t[65:91] = t[97:123] = False
-    return t
+def _wide_edges(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """True where a character of a script without spaces begins (U+3000 to U+D7FF), and just after one."""
+    lead = (buf >= 0xE3) & (buf <= 0xED)
+    after = np.zeros(len(buf), bool)
+    after[3:] = lead[:-3]
+    return lead, after
 
 
-def words(buf: np.ndarray, lower: bool = False, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, lower: bool = False, breaks: np.ndarray | None = None, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of all words of a buffer: runs without ASCII white space, or without the bytes of breaks.
 
-    Works in chunks that end at white space, so memory follows the chunk and the number of words.
+    With wide, each Chinese, Japanese or Korean character is a word of its own. Words of up to 32 bytes are hashed by whole
+    eights, the last one overlapping; longer ones by xxh3.
     """
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     edge = np.ones(n + 2, bool)
     edge[1:-1] = (space_table() if breaks is None else breaks)[buf]
-    start = np.flatnonzero(edge[:-2] & ~edge[1:-1])
-    end = np.flatnonzero(~edge[1:-1] & edge[2:]) + 1
-    table, out, i = lower_values() if lower else byte_values(), np.empty(len(start), np.uint64), 0
-    while i < len(start):
-        base = start[i]
-        j = max(i + 1, int(np.searchsorted(end, base + CHUNK, "right")))
-        pre = prefix(table[buf[base : end[j - 1]]])
-        out[i:j] = slices(pre, start[i:j] - base, end[i:j] - base)
-        i = j
-    return start, end, out
+    inside, cut = ~edge[1:-1], np.zeros(n + 1, bool)
+    if wide:
+        lead, after = _wide_edges(buf)
+        cut[:-1] = lead | after
+    start = np.flatnonzero(inside & (edge[:-2] | cut[:-1]))
+    end = np.flatnonzero(inside & (edge[2:] | cut[1:])) + 1
+    if lower:
+        buf = lower_table()[buf]
+    load, size = eights(buf), end - start
+    h = mix((load[start] & _masks()[np.minimum(size, 8)]) + _GOLD * size.astype(np.uint64))
+    for low, high in ((8, 16), (16, 32)):
+        at = np.flatnonzero((size > low) & (size <= high))
+        if len(at):
+            middle = [load[start[at] + 8], load[end[at] - 16]] if high == 32 else []
+            for x in (*middle, load[end[at] - 8]):
+                h[at] = combine(h[at], mix(x + _GOLD))
+    at = np.flatnonzero(size > 32)
+    if len(at):
+        raw = memoryview(np.ascontiguousarray(buf))
+        h[at] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start[at].tolist(), end[at].tolist())]
+    return start, end, h
 
 
 def owners(starts: np.ndarray, points: np.ndarray) -> np.ndarray:

@@ -7,14 +7,16 @@
 3. Blocks. Of the rest, each keeps its shared shingles in one global order, rarest first; two sets that link share one of
    their first |shared| - t * |set| + 1. Stars over these prefixes, and their connected components, give groups that no
    link leaves. A group is cut into blocks of bounded size.
-4. Product. In each block the incidence matrix times its transpose, accumulated over slices of n-grams, gives all overlap
-   counts; 7 * overlap >= 3 * (|A| + |B|) is a link (t = 3/4).
-5. A group of more than one block goes on: representatives of the blocks' components are multiplied first; then every
-   document outside the group's largest component so far is multiplied with all blocks. Only pairs already connected are
-   left out, so no link between components is lost, and a large group of near copies costs about its size.
+4. Product. In each block the incidence matrix times its transpose gives overlap counts: sparse columns by their pairs,
+   fuller ones as dense slices, for pairs alone whose sizes allow a link; 7 * overlap >= 3 * (|A| + |B|) is one (t = 3/4).
+5. A group of more than one block goes on: representatives of the blocks' components are multiplied, so a large group of
+   near copies is soon one component. What is still apart is compared shingle by shingle (``crossing``): in the group of a
+   prefix shingle, documents outside its most frequent component with those of like size. Pairs already connected are left
+   out, so no link between components is lost; documents that share shingles and never link cost what their shingles'
+   groups hold, not all pairs of the group.
 
 Defined cases: null or blank text has the empty set and links with nothing; fewer words than a shingle make one shingle
-of all; rows of one id are one node; null ids are one node that counts as larger than all others; an empty table gives an
+of all; rows of one id are one node; null ids are one node that counts as 2**63 - 1, larger than all others; an empty table gives an
 empty result. Shingles and sets are compared by 64-bit hashes.
 """
 
@@ -40,8 +42,11 @@ class _Sets:
         bounds = np.append(np.searchsorted(start, p.starts), len(start))
         count = np.diff(bounds)
         h = hashing.windows(value, words)
-        pre = hashing.prefix(value)
-        short = hashing.slices(pre, bounds[:-1], bounds[1:])
+        short = np.zeros(len(p), np.uint64)
+        for k in range(1, words):
+            at = np.flatnonzero(count == k)
+            if len(at):
+                short[at] = hashing.windows(value, k)[bounds[at]]
         pieces, sizes = [], np.zeros(len(p), np.int64)
         for d, (a, n) in enumerate(zip(bounds[:-1].tolist(), count.tolist())):
             if not n:
@@ -67,38 +72,30 @@ class _Sets:
         return np.repeat(self.at[docs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _send(words: int, buckets: int):
+#: Kinds of keys: shingles, and fingerprints of whole sets.
+SHINGLES, MARKS = 0, 1
+
+
+def _send(words: int, layout: parts.Layout):
     def run(table: pa.Table) -> pa.Table:
         p = parts.Part(table, separator=True)
         s = _Sets(p, words)
         keys, count = np.unique(s.flat[s.of(s.first)], return_counts=True)
-        shingles = parts.send(p.number, keys, buckets, np.minimum(count, 255).astype(np.uint8))
-        marks = parts.send(p.number, s.marks, buckets, p.ids[s.first])
-        marks = marks.set_column(0, "bucket", pa.array(marks["bucket"].to_numpy() + buckets, pa.int32()))
-        return pa.concat_tables([shingles, marks])
+        shingles = parts.send(layout, p.number, keys, np.minimum(count, 255).astype(np.uint8), SHINGLES)
+        return pa.concat_tables([shingles, parts.send(layout, p.number, s.marks, p.ids[s.first], MARKS)])
 
     return run
 
 
-def _judge(buckets: int):
+def _judge(kind: int, keys: np.ndarray, epochs: np.ndarray, extra: bytes) -> np.ndarray:
     """Answers a shingle with its class of frequency (0: only one set), a set's mark with the smallest id that has it."""
-
-    def run(table: pa.Table) -> pa.Table:
-        bucket, got = table["bucket"][0].as_py(), list(parts.received(table))
-        keys = np.concatenate([k for _, k, _ in got])
-        extra = np.concatenate([np.frombuffer(x, np.uint8 if bucket < buckets else np.int64) for *_, x in got])
-        distinct, place = np.unique(keys, return_inverse=True)
-        if bucket < buckets:
-            total = np.bincount(place, extra)
-            reply = np.where(total < 2, 0, np.minimum(255, 1 + 4 * np.log2(np.maximum(total, 1))).astype(np.int64)).astype(np.uint8)[place]
-        else:
-            least = np.full(len(distinct), parts.LAST, np.int64)
-            np.minimum.at(least, place, extra)
-            reply = least[place]
-        cut = np.cumsum([0, *[len(k) for _, k, _ in got]])
-        return parts.answers(bucket, [x for x, *_ in got], [reply[a:b].tobytes() for a, b in zip(cut, cut[1:])])
-
-    return run
+    distinct, place = np.unique(keys, return_inverse=True)
+    if kind == SHINGLES:
+        total = np.bincount(place, np.frombuffer(extra, np.uint8))
+        return np.where(total < 2, 0, np.minimum(255, 1 + 4 * np.log2(np.maximum(total, 1))).astype(np.int64)).astype(np.uint8)[place]
+    least = np.full(len(distinct), parts.LAST, np.int64)
+    np.minimum.at(least, place, np.frombuffer(extra, np.int64))
+    return least[place]
 
 
 def _needed(n):
@@ -106,15 +103,13 @@ def _needed(n):
     return (3 * n + 3) // 4
 
 
-def _keep(words: int, buckets: int):
+def _keep(words: int):
     """Set sizes and representatives of all documents; prefixes and shared entries of those that may link."""
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         p = parts.Part(table, separator=True)
         s = _Sets(p, words)
-        number = replies["bucket"].to_numpy()
-        grade = parts.joined(replies.filter(pa.array(number < buckets)), np.uint8)
-        least = parts.joined(replies.filter(pa.array(number >= buckets)), np.int64)
+        grade, least = parts.joined(replies, np.uint8, SHINGLES), parts.joined(replies, np.int64, MARKS)
         keys = np.unique(s.flat[s.of(s.first)])
         rep = p.ids.copy()
         rep[s.full] = least[s.place]
@@ -135,33 +130,55 @@ def _keep(words: int, buckets: int):
     return run
 
 
-def _overlaps(docs: list[np.ndarray]) -> np.ndarray:
-    """Overlap counts of all pairs: the incidence matrix times its transpose, slice by slice of its columns."""
+#: Columns of at most so many entries are multiplied pair by pair, fuller ones as dense slices; rows of a tile.
+SPARSE, TILE = 16, 128
+
+
+def _overlaps(sizes: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of all pairs (i, j) with i < j whose sizes, which ascend, allow a link; others may stay too low.
+
+    The incidence matrix times its transpose: sparse columns by their pairs, fuller ones as dense slices, tile by tile of
+    rows against the columns of the product that the size bound leaves.
+    """
     n = len(docs)
     flat = np.concatenate(docs)
     row = np.repeat(np.arange(n), [len(x) for x in docs])
-    keys, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    common = count > 1  # a column with one entry adds to no pair
-    number = np.cumsum(common) - 1
-    pick = common[column]
-    row, column = row[pick], number[column[pick]]
+    order = np.lexsort((row, flat))
+    flat, row = flat[order], row[order]
+    new = np.append(True, flat[1:] != flat[:-1])
+    column = np.cumsum(new) - 1
+    count = np.bincount(column)
     out = np.zeros((n, n), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
+    few = (count[column] > 1) & (count[column] <= SPARSE)  # a column with one entry adds to no pair
+    r, c = row[few], column[few]
+    for d in range(1, SPARSE):
+        same = np.flatnonzero(c[d:] == c[:-d])
+        if not len(same):
+            break
+        i, j = r[same], r[same + d]
+        near = 4 * sizes[i] >= 3 * sizes[j]
+        np.add.at(out, (i[near], j[near]), 1)
+    full = count[column] > SPARSE
+    r, c = row[full], np.unique(column[full], return_inverse=True)[1]
+    upto = np.searchsorted(sizes, sizes * 4 // 3, "right")
     width = 2048
-    for a in range(0, int(common.sum()), width):
-        i, j = np.searchsorted(column, [a, a + width])
+    for a in range(0, int(c.max()) + 1 if len(c) else 0, width):
+        i, j = np.searchsorted(c, [a, a + width])
         x = np.zeros((n, width), np.float32)
-        x[row[i:j], column[i:j] - a] = 1
-        out += x @ x.T
+        x[r[i:j], c[i:j] - a] = 1
+        for b in range(0, n, TILE):
+            end = min(b + TILE, n)
+            out[b:end, b : upto[end - 1]] += x[b:end] @ x[b : upto[end - 1]].T
     return out
 
 
 def _links(sizes: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
-    """Which pairs link, as a matrix; pairs whose sizes forbid it never pass."""
-    both = sizes[:, None] + sizes[None, :]
-    out = 7 * _overlaps(docs) >= 3 * both
-    np.fill_diagonal(out, False)
+    """Which pairs link, as a symmetric matrix."""
+    order = np.argsort(sizes, kind="stable")
+    own = sizes[order]
+    up = np.triu(7 * _overlaps(own, [docs[i] for i in order]) >= 3 * (own[:, None] + own[None, :]), 1)
+    out = np.zeros_like(up)
+    out[np.ix_(order, order)] = up | up.T
     return out
 
 
@@ -217,9 +234,13 @@ def _smallest(link: np.ndarray, label: np.ndarray) -> np.ndarray:
     return out
 
 
+#: What tells the blocks of two sides apart.
+TASK = ["key", "band", "chunk", "block"]
+
+
 def _across(batches):
     """Blocks of two sides: one link for each pair of components that a link joins."""
-    for g in _groups(batches, 3):
+    for g in _groups(batches, len(TASK)):
         side = g["side"].to_numpy()
         if side.min() == side.max():
             continue
@@ -239,15 +260,37 @@ def _run(blocks: DataFrame, keys: list[str], run) -> DataFrame:
 
 def jaccard_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = parts.PART_BYTES) -> DataFrame:
     """Steps 1 and 2, as a written table: (doc, n, rep) of all rows; prefix and entries of those that may link."""
-    dealt, buckets = parts.deal(docs, id_col, text_col, part_bytes=part_bytes)
+    dealt, layout = parts.deal(docs, id_col, text_col, part_bytes=part_bytes)
     texts = dealt.groupBy("part")
-    replies = parts.exchange(texts.applyInArrow(parts.lean(_send(words, buckets)), parts.KEYS), _judge(buckets))
-    out = shared.written(texts.cogroup(replies.groupBy("part")).applyInArrow(parts.lean(_keep(words, buckets)), SETS), "sets")
+    replies = parts.exchange(texts.applyInArrow(parts.lean(_send(words, layout)), parts.KEYS), _judge, layout)
+    out = shared.written(texts.cogroup(replies.groupBy("part")).applyInArrow(parts.lean(_keep(words)), SETS), "sets")
     del dealt, texts, replies
     shared.release(docs.sparkSession)
     return out
 
 
+def crossing(keys: DataFrame, now: DataFrame) -> DataFrame:
+    """What is still to be compared: (key, band, chunk, block, side, doc) for pairs that share a prefix shingle and no label.
+
+    keys: prefix shingles (key, doc); now: (doc, label, n). Shingles with the same documents count once. In a shingle's
+    group only documents outside its most frequent label are compared with the others, and only with those whose sizes
+    allow a link (bands of sizes, neighbours included). Large groups are cut into chunks times blocks.
+    """
+    held = keys.join(now, "doc").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
+    group = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("docs"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("mark"))
+    group = group.where("low <> high").groupBy("docs", "mark").agg(F.min("key").alias("key")).select("key")
+    held = held.join(group, "key")
+    common = held.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("common"))
+    left = held.join(common, "key").where("label <> common").select("key", "band", "doc")
+    right = held.select("key", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "doc")
+    chunks = left.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / (BLOCK_DOCS // 2)).cast("int").alias("chunks"))
+    blocks = right.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("blocks"))
+    cut = chunks.join(blocks, ["key", "band"])
+    left = left.join(cut, ["key", "band"]).select("key", "band", F.expr("cast(pmod(xxhash64(doc, 2), chunks) as int)").alias("chunk"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(0).alias("side"), "doc")
+    right = right.join(cut, ["key", "band"]).select("key", "band", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.expr("cast(pmod(xxhash64(doc, 3), blocks) as int)").alias("block"), F.lit(1).alias("side"), "doc")
+    return left.union(right)
+
+
 def linked(sets: DataFrame) -> DataFrame:
     """Steps 3 to 5: (node, label) for each set that a link joins to one with a smaller id."""
     may = sets.where("entries is not null")
@@ -266,7 +309,7 @@ def linked(sets: DataFrame) -> DataFrame:
     found = shared.written(_run(placed.withColumn("label", F.col("doc")).select(*cols), ["group", "block"], _inside), "inside")
     stars = found.select("a", "b").where("a <> b")
     if many.isEmpty():
-        shared.remove(placed)
+        shared.remove(placed, group, many, hub)
         return stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
     # Representatives of the blocks' components, against each other.
     wide = placed.where("blocks > 1")
@@ -276,19 +319,14 @@ def linked(sets: DataFrame) -> DataFrame:
     heads = heads.join(weight, "group").withColumn("block", F.expr("cast(pmod(xxhash64(doc, 1), k) as int)"))
     second = shared.written(_run(heads.select(*cols), ["group", "block"], _inside).select("a", "b").where("a <> b"), "heads")
     labels = graph.components(stars.union(second))
-    now = wide.join(labels, wide["doc"] == labels["node"], "left").select("group", "block", "doc", F.coalesce("label", "doc").alias("label"), "n", "entries", "blocks")
-    now = shared.written(now, "labelled")
-    # Documents outside the largest component, against all blocks.
-    size = now.groupBy("group", "label").count()
-    giant = shared.written(size.groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("giant")), "giant")
-    rest = now.join(giant, "group").where("label <> giant")
-    chunks = shared.written(rest.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / (BLOCK_DOCS // 2)), F.ceil(F.sum(F.size("entries")) / BLOCK_ENTRIES)).cast("int").alias("chunks")), "chunks")
-    if chunks.isEmpty():
-        return labels
-    left = rest.join(chunks, "group").select("group", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.expr("cast(pmod(xxhash64(doc, 2), chunks) as int)").alias("chunk"), F.lit(0).alias("side"), "doc", "label", "n", "entries")
-    right = now.join(chunks, "group").select("group", "block", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.lit(1).alias("side"), "doc", "label", "n", "entries")
-    third = _run(left.union(right), ["group", "block", "chunk"], _across).select("a", "b")
-    return graph.components(stars.union(second).union(third))
+    now = wide.join(labels, wide["doc"] == labels["node"], "left").select("doc", F.coalesce("label", "doc").alias("label"), "n", "entries")
+    now = shared.written(now.dropDuplicates(["doc"]), "labelled")
+    # What those two rounds left apart, shingle by shingle.
+    tasks = shared.written(crossing(keys.join(hub, "key").select("key", "doc"), now.select("doc", "label", "n")), "crossing")
+    third = _run(tasks.join(now, "doc").select(*TASK, "side", "doc", "label", "n", "entries"), TASK, _across).select("a", "b")
+    out = graph.components(stars.union(second).union(third))
+    shared.remove(placed, group, many, hub, now, tasks)
+    return out
 
 
 def jaccard_join(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = parts.PART_BYTES) -> DataFrame:

@@ -4,11 +4,12 @@ Each part sends the distinct hashes of its windows to buckets; a bucket tells ea
 holds. With the part's own earlier documents that gives every window that also starts in a document of a smaller id;
 the windows' intervals merge into maximal removal intervals.
 
-Cost: text is shuffled once, window hashes once (about 6 bytes for each distinct window of a part). Keys are 64-bit
-hashes: two different windows are taken for one with a probability near n * 2**-64 a window.
+Cost: text is shuffled once, window hashes once (about 6 bytes for each distinct window of a part). A window's hash
+rolls over the hashes of its words by doubling instead of a polynomial, whose values modulo a power of two collide on
+regular patterns. Keys have 64 bits: two different windows are taken for one with a probability near n * 2**-64 a window.
 
 Defined cases: null text has no words; ids may repeat (rows of one id never remove each other's words); a null id
-counts as larger than all others; an empty table gives an empty result.
+counts as 2**63 - 1, larger than all others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ def _windows(p: parts.Part, length: int):
     return start, end, doc, bounds, whole, h[whole]
 
 
-def _send(length: int, buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        p = parts.Part(table, separator=True)
-        return parts.send(p.number, np.unique(_windows(p, length)[-1]), buckets)
+def _entries(length: int):
+    def run(p: parts.Part):
+        _, _, doc, _, whole, h = _windows(p, length)
+        keys, _, lowest = parts.first_owner(h, p.rank[doc[whole]])
+        return keys, p.ids[lowest] if len(lowest) else lowest
 
     return run
 
@@ -46,8 +48,8 @@ def _remove(length: int):
         p = parts.Part(table, separator=True)
         start, end, doc, bounds, whole, h = _windows(p, length)
         _, place, first = parts.first_owner(h, p.rank[doc[whole]])
-        earlier = parts.joined(replies, np.uint8)
-        hit = whole[(earlier[place] > 0) | (first[place] < p.rank[doc[whole]])] if len(whole) else whole
+        earlier = parts.held_earlier(replies)
+        hit = whole[earlier[place] | (first[place] < p.rank[doc[whole]])] if len(whole) else whole
         gone = parts.covered(len(start), hit, hit + length)
         # Kept words, each with one space after it, cut out of the buffer in one go.
         keep = ~gone
@@ -78,7 +80,7 @@ def _remove(length: int):
 
 def substring_dedup(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = parts.PART_BYTES) -> DataFrame:
     """One row for each document: words, removed words, the text left (kept words, one space between) and removed word spans."""
-    dealt, buckets = parts.deal(docs, id_col, text_col, part_bytes=part_bytes)
+    dealt, layout = parts.deal(docs, id_col, text_col, part_bytes=part_bytes)
     texts = dealt.groupBy("part")
-    replies = parts.exchange(texts.applyInArrow(parts.lean(_send(length, buckets)), parts.KEYS), parts.seen_before)
+    replies = parts.earlier(texts, _entries(length), layout, separator=True)
     return texts.cogroup(replies.groupBy("part")).applyInArrow(parts.lean(_remove(length)), OUT)

@@ -1,70 +1,51 @@
 """Suffix-array dedup: bytes covered by long strings that also start in a document with a smaller id are removed.
 
-A logarithmic family of sparse suffix arrays. Suffixes are sampled by content: a suffix is kept if its leading
-``GRAM`` bytes have the lowest hash of some ``length``-byte window, so any two equal windows hold a sampled suffix at
-the same offset. The hash of their leading bytes deals suffixes to buckets; in a bucket they are ordered by the hash of
-the whole stretch of windows they stand for (a *run*: 50 to 76 bytes). Every part of the corpus is a new batch with its
-own sorted array; in each bucket a batch is merge-scanned against the existing levels for equal runs, then added as a
-level of its own, and levels of about equal size merge geometrically (``LevelFamily``).
-
-A run that an earlier batch holds in full removes all its windows. Only the first copy of a run whose leading bytes
-also begin other runs can match in part; these few runs send the hashes of their single windows to a second family.
-Equal windows are thus always found, wherever the text around them differs; nothing is sampled away.
-
-Cost: text is shuffled once, sampled suffixes (7 % of the bytes) once with about 12 bytes each, windows of partly
-matching runs once. Hashes of runs count as equal at 64 bits and of windows at 64 bits, however many runs share their
-leading bytes; the chance of a false match is near n * 2**-64 a string. Leading bytes travel as 32 bits besides the
-bucket: leads taken for equal only send a run's windows in vain.
+Suffixes are sampled by content: a suffix is kept if its leading ``GRAM`` bytes have the lowest hash of some
+``length``-byte window, so any two equal windows hold a sampled suffix at the same offset. The stretch of windows that
+share a sampled suffix is a *run* (50 to 76 bytes): it reaches to the left and to the right of the suffix's start.
+
+One batch (``suffix_dedup``):
+
+1. Parts send the distinct hashes of their runs, and of the leading bytes of their sampled suffixes, to key buckets.
+2. A run that an earlier part holds in full loses all its windows. The first copy of a run whose leading bytes also begin
+   other runs can match in part; only these few send the hashes of their single windows to buckets of their own. Equal
+   windows are thus always found, wherever the text around them differs; nothing is sampled away.
+3. The windows that an earlier document holds are removed, overlaps and all.
+
+A family of indexes (``SuffixIndex``): the runs that a batch brings are kept as a sparse suffix array, a table of runs in
+the byte order of their suffixes (a distributed sort). A new batch is scanned against every level: its runs' hashes, then
+the windows of the levels' runs that share leading bytes (a sort-merge join). Then its own new runs become a level, and
+levels of like size merge, so there are never more than logarithmically many.
+
+Runs are dealt by their own hash, so a beginning that very many documents share (and go on from differently) is no hot
+bucket. Cost: text is shuffled once, sampled suffixes (7 % of the bytes) once with about 20 bytes each, windows of partly
+matching runs once. Hashes have 64 bits and are no polynomials; the chance of a false match is near n * 2**-64 a string.
 
 Defined cases: null text is empty; texts shorter than ``length`` stay whole; rows of one id never remove each other's
-bytes; a null id counts as larger than all others; an empty table gives an empty result.
+bytes; a null id counts as 2**63 - 1, larger than all others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import hashing, parts
+from . import hashing, parts, shared
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:int,end:int>>"
-#: Leading bytes by which suffixes are sampled and ordered first.
+LEVEL = "lead long, run long, suffix binary, before binary"
+#: Leading bytes by which suffixes are sampled.
 GRAM = 24
-EARLIER, SHARED = 1, 2
+#: Kinds of keys: hashes of runs, of leading bytes, of windows.
+RUNS, LEADS, WINDOWS = 0, 1, 2
+#: Rows of a level that are packed into one round of messages at most.
+PACK_ROWS = 1 << 20
 _LOW = np.uint64((1 << 18) - 1)
 
 
-class LevelFamily:
-    """Sorted arrays of keys, each at most half as long as the one before; adding merges equal-sized ones."""
-
-    def __init__(self):
-        self.levels: list[np.ndarray] = []
-
-    def scan(self, keys: np.ndarray) -> np.ndarray:
-        """True for each of the sorted keys that a level holds."""
-        found = np.zeros(len(keys), bool)
-        for level in self.levels:
-            at = np.searchsorted(level, keys)
-            at[at == len(level)] = 0
-            found |= level[at] == keys
-        return found
-
-    def add(self, keys: np.ndarray) -> None:
-        """Adds sorted keys, none of which a level holds yet."""
-        if len(keys):
-            self.levels.append(keys)
-        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-            both = np.concatenate([self.levels.pop(), self.levels.pop()])
-            both.sort(kind="stable")  # a merge: both halves are sorted
-            self.levels.append(both)
-
-    def whole(self) -> np.ndarray:
-        out = np.concatenate(self.levels) if self.levels else np.zeros(0, np.uint64)
-        out.sort(kind="stable")
-        return out
-
-
 def _least(key: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every width consecutive keys."""
     span, out = 1, key
@@ -77,19 +58,16 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int):
-    """First and last window, document, hash of leading bytes and of all bytes, for each run of windows of one suffix."""
+    """First and last window, document, place of the suffix, hash of leading bytes and of all bytes, for each run."""
     gram = min(GRAM, length)
     width = length - gram + 1
-    table = hashing.byte_values()
     n = len(buf) - length + 1
     got: list[tuple[np.ndarray, ...]] = []
     for base in range(0, max(n, 0), hashing.CHUNK):
         m = min(hashing.CHUNK, n - base)  # windows that start here
-        pre = hashing.prefix(table[buf[base : base + m + length - 1]])
-        inverse = hashing.powers(len(pre))[1]
-        k = m + width - 1
-        lead = hashing.mix((pre[gram : gram + k] - pre[:k]) * inverse[:k])
-        key = (lead & ~_LOW) | np.arange(k, dtype=np.uint64)
+        piece = buf[base : base + m + length - 1]
+        lead = hashing.byte_windows(piece, gram)
+        key = (lead & ~_LOW) | np.arange(len(lead), dtype=np.uint64)
         at = (_least(key, width) & _LOW).astype(np.int64)
         # Windows within a document.
         a, b = np.searchsorted(ends, base, "right"), np.searchsorted(starts, base + m, "left")
@@ -104,122 +82,240 @@ def runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int):
         first = np.flatnonzero(whole & new)
         stop = np.flatnonzero(whole & np.append(new[1:] | ~whole[1:], True))
         if len(first):
-            got.append((first + base, stop + base, lead[at[first]], hashing.slices(pre, first, stop + length)))
+            w = hashing.byte_windows(piece, length)
+            # The first and the last window overlap or touch, so both together are the whole run.
+            full = hashing.combine(hashing.combine(w[first], w[stop]), (stop - first).astype(np.uint64))
+            # The lowest hashes of windows crowd at the low end; scrambled, they fill all buckets alike.
+            got.append((first + base, stop + base, at[first] + base, hashing.mix(lead[at[first]] + np.uint64(1)), full))
     if not got:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
-    first, stop, lead, full = (np.concatenate(x) for x in zip(*got))
-    return first, stop, hashing.owners(starts, first), lead, full
-
-
-def _entries(p: parts.Part, length: int, buckets: int):
-    """The part's runs; the distinct sorted pairs of bucket and run hash, their leads, the place and lowest rank of each."""
-    first, stop, doc, lead, full = runs(p.buf, p.starts, p.ends, length)
-    lead = hashing.mix(lead)  # the lowest hashes of windows crowd at the low end; scrambled, they fill all buckets alike
-    bucket = parts.bucket_of(lead, buckets)
-    order = np.lexsort((full, bucket))
-    b, k = bucket[order], full[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1])
-    place = np.empty(len(k), np.int64)
-    place[order] = np.cumsum(new) - 1
-    lowest = p.rank[doc[order[new]]] if len(k) else np.zeros(0, np.int64)  # lexsort is stable: the first is the lowest
-    return first, stop, doc, b[new], k[new], lead[order[new]].astype(np.uint32), place, lowest
-
-
-def _send(length: int, buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        p = parts.Part(table)
-        *_, b, k, lead, _, _ = _entries(p, length, buckets)
-        cut = np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
-        full = np.flatnonzero(np.diff(cut))
-        blobs = [parts.pack(k[cut[x] : cut[x + 1]]) for x in full]
-        leads = [lead[cut[x] : cut[x + 1]].tobytes() for x in full]
-        return pa.table({"bucket": pa.array(full, pa.int32()), "part": pa.array([p.number] * len(full), pa.int32()), "keys": pa.array(blobs, pa.binary()), "extra": pa.array(leads, pa.binary())})
+        return z, z, z, z, z.astype(np.uint64), z.astype(np.uint64)
+    first, stop, place, lead, full = (np.concatenate(x) for x in zip(*got))
+    return first, stop, hashing.owners(starts, first), place, lead, full
+
+
+class _Runs:
+    """A part's runs; the distinct hashes of runs and of leading bytes, and where each run's are among them."""
+
+    def __init__(self, p: parts.Part, length: int):
+        self.p, self.length = p, length
+        self.first, self.stop, self.doc, self.suffix, self.lead, self.full = runs(p.buf, p.starts, p.ends, length)
+        rank = p.rank[self.doc] if len(self.doc) else self.doc
+        self.keys, self.place, lowest = parts.first_owner(self.full, rank)
+        self.lowest = p.ids[lowest] if len(lowest) else lowest
+        self.copy = lowest[self.place] < rank if len(rank) else np.zeros(0, bool)  # an earlier document of the part has it
+        self.leads, first, self.lead_place = np.unique(self.lead, return_index=True, return_inverse=True)
+        some = self.full[first]
+        several = np.zeros(len(self.leads), bool)
+        several[self.lead_place[self.full != some[self.lead_place]]] = True
+        self.some = (some & ~np.uint64(1)) | several.astype(np.uint64)
+
+    def partial(self, replies: pa.Table) -> np.ndarray:
+        """Runs to be judged window by window: first copies whose leading bytes begin other runs too."""
+        if not len(self.first):
+            return self.first
+        other = parts.joined(replies, np.uint8, LEADS) > 0
+        return np.flatnonzero(other[self.lead_place] & ~parts.held_earlier(replies, RUNS)[self.place] & ~self.copy)
+
+    def windows(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of all windows of the picked runs."""
+        a, n = self.first[pick], self.stop[pick] - self.first[pick] + 1
+        start = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out, i = np.empty(len(start), np.uint64), 0
+        while i < len(start):
+            j = int(np.searchsorted(start, start[i] + hashing.CHUNK))
+            out[i:j] = hashing.byte_windows(self.p.buf[start[i] : start[j - 1] + self.length], self.length)[start[i:j] - start[i]]
+            i = j
+        return start, out
+
+    def window_keys(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct window hashes of the partial runs, and the smallest id of each."""
+        start, h = self.windows(self.partial(replies))
+        rank = self.p.rank[hashing.owners(self.p.starts, start)] if len(start) else start
+        keys, _, lowest = parts.first_owner(h, rank)
+        return keys, self.p.ids[lowest] if len(lowest) else lowest
+
+
+def _judge(kind: int, keys: np.ndarray, epochs: np.ndarray, extra: bytes) -> np.ndarray:
+    """Runs and windows: whether an earlier part holds them. Leading bytes: 1 if they begin more than one run."""
+    if kind != LEADS:
+        return parts.seen(kind, keys, epochs)
+    some = np.frombuffer(extra, np.uint64)
+    _, first, group = np.unique(keys, return_index=True, return_inverse=True)
+    differs = (some & np.uint64(1) > 0) | (some >> np.uint64(1) != (some >> np.uint64(1))[first][group])
+    return (np.bincount(group, differs)[group] > 0).astype(np.uint8)
+
+
+class _Steps:
+    """The passes over the parts of one batch; levels are tables of runs from earlier batches."""
+
+    def __init__(self, docs: DataFrame, length: int, id_col: str, text_col: str, part_bytes: int, levels: DataFrame | None):
+        dealt, self.layout = parts.deal(docs, id_col, text_col, part_bytes=part_bytes)
+        self.texts, self.length = dealt.groupBy("part"), length
+        first = self.asked(self.over(self._send, parts.KEYS), None if levels is None else levels.select("lead", "run").mapInArrow(parts.lean(_level_runs(self.layout)), parts.KEYS))
+        self.first = parts.break_ties(self.texts, first, lambda p, _: (lambda r: (r.keys, r.lowest))(_Runs(p, length)), self.layout, kind=RUNS)
+        seen = None
+        if levels is not None:
+            leads = self.over(self._leads, "lead long", self.first).distinct()
+            seen = levels.join(leads, "lead", "left_semi").select("before", "suffix").mapInArrow(parts.lean(_level_windows(self.layout, length)), parts.KEYS)
+        replies = self.asked(self.over(self._send_windows, parts.KEYS, self.first), seen)
+        both = self.first.unionByName(replies)
+        self.replies = parts.break_ties(self.texts, both, lambda p, given: _Runs(p, length).window_keys(given), self.layout, kind=WINDOWS)
+
+    def asked(self, sent: DataFrame, more: DataFrame | None) -> DataFrame:
+        return parts.exchange(sent if more is None else sent.unionByName(more), _judge, self.layout).where("part >= 0")
+
+    def over(self, step, schema: str, replies: DataFrame | None = None) -> DataFrame:
+        """A pass over the parts, each with its answers."""
+        run = step(self.layout, self.length)
+        if replies is None:
+            return self.texts.applyInArrow(parts.lean(run), schema)
+        return self.texts.cogroup(replies.groupBy("part")).applyInArrow(parts.lean(run), schema)
+
+    @staticmethod
+    def _send(layout, length):
+        def run(table: pa.Table) -> pa.Table:
+            r = _Runs(parts.Part(table), length)
+            return pa.concat_tables([parts.send(layout, r.p.number, r.keys, kind=RUNS), parts.send(layout, r.p.number, r.leads, r.some, kind=LEADS)])
+
+        return run
+
+    @staticmethod
+    def _leads(layout, length):
+        def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+            r = _Runs(parts.Part(table), length)
+            return pa.table({"lead": pa.array(np.unique(r.lead[r.partial(replies)]).view(np.int64))})
+
+        return run
+
+    @staticmethod
+    def _send_windows(layout, length):
+        def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+            r = _Runs(parts.Part(table), length)
+            return parts.send(layout, r.p.number, r.window_keys(replies)[0], kind=WINDOWS)
+
+        return run
+
+    @staticmethod
+    def _new(layout, length):
+        """The runs that no earlier document has, with their bytes."""
+
+        def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+            r = _Runs(parts.Part(table), length)
+            new = np.flatnonzero(~parts.held_earlier(replies, RUNS)[r.place] & ~r.copy) if len(r.first) else r.first
+            new = new[np.unique(r.place[new], return_index=True)[1]]
+            raw = r.p.buf.tobytes()
+            cut = lambda a, b: pa.array([raw[x:y] for x, y in zip(a[new].tolist(), b[new].tolist())], pa.binary())
+            return pa.table({"lead": pa.array(r.lead[new].view(np.int64)), "run": pa.array(r.full[new].view(np.int64)), "suffix": cut(r.suffix, r.stop + length), "before": cut(r.first, r.suffix)})
+
+        return run
+
+    @staticmethod
+    def _remove(layout, length):
+        def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+            p = parts.Part(table)
+            r = _Runs(p, length)
+            whole = np.flatnonzero(parts.held_earlier(replies, RUNS)[r.place] | r.copy) if len(r.first) else r.first
+            start, h = r.windows(r.partial(replies))
+            rank = p.rank[hashing.owners(p.starts, start)] if len(start) else start
+            _, at, low = parts.first_owner(h, rank)
+            hit = start[parts.held_earlier(replies, WINDOWS)[at] | (low[at] < rank)] if len(start) else start
+            gone = parts.covered(len(p.buf), np.concatenate([r.first[whole], hit]), np.concatenate([r.stop[whole] + length, hit + length]))
+            left = p.buf[~gone]
+            bounds = np.append(p.starts, len(p.buf))
+            upto = np.concatenate([[0], np.cumsum(~gone)])[bounds]
+            kept = [left[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:])]
+            cut = np.zeros(len(p.buf) + 1, bool)
+            cut[bounds] = True  # a removed stretch ends with its document
+            now, before = np.append(gone, False), np.append(False, gone)
+            begin, close = np.flatnonzero(now & (cut | ~before)), np.flatnonzero(before & (cut | ~now))
+            of = hashing.owners(p.starts, begin)
+            edges = np.searchsorted(of, np.arange(len(p) + 1))
+            spans = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.StructArray.from_arrays([pa.array((begin - p.starts[of]).astype(np.int32)), pa.array((close - p.starts[of]).astype(np.int32))], ["start", "end"]))
+            size = p.ends - p.starts
+            return pa.table({"doc_id": p.rows["id"], "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(size - np.diff(upto), pa.int64()), "n_spans": pa.array(np.diff(edges), pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": spans})
+
+        return run
+
+    def result(self) -> DataFrame:
+        return self.over(self._remove, OUT, self.replies)
+
+
+def _level_part() -> int:
+    """The number that a level's task sends under: below all parts of a batch."""
+    return parts.BEFORE - TaskContext.get().partitionId()
+
+
+def _level_runs(layout: parts.Layout):
+    """A level's hashes of runs and of leading bytes, as messages from before the batch."""
+
+    def run(batches):
+        for b in batches:
+            lead, full = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            yield from parts.send(layout, _level_part(), np.unique(full), kind=RUNS).to_batches()
+            leads, first, place = np.unique(lead, return_index=True, return_inverse=True)
+            several = np.zeros(len(leads), bool)
+            several[place[full != full[first][place]]] = True
+            yield from parts.send(layout, _level_part(), leads, (full[first] & ~np.uint64(1)) | several.astype(np.uint64), kind=LEADS).to_batches()
 
     return run
 
 
-def _scan(table: pa.Table) -> pa.Table:
-    """Answers EARLIER for a run that an earlier part holds, SHARED for one whose leading bytes begin other runs too."""
-    got = [(part, keys, np.frombuffer(lead, np.uint32)) for part, keys, lead in parts.received(table)]
-    family, old = LevelFamily(), []
-    for _, keys, _ in got:
-        old.append(family.scan(keys))
-        family.add(keys[~old[-1]])
-    leads = np.sort(np.concatenate([lead[~x] for x, (*_, lead) in zip(old, got)]))  # one for each distinct run
-    shared = np.unique(leads[1:][leads[1:] == leads[:-1]])
-    flags = [x * np.uint8(EARLIER) | np.isin(lead, shared) * np.uint8(SHARED) for x, (*_, lead) in zip(old, got)]
-    return parts.answers(table["bucket"][0].as_py(), [x for x, *_ in got], [x.astype(np.uint8).tobytes() for x in flags])
-
-
-def _single(p: parts.Part, length: int, first, stop, pick) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of all windows of the picked runs."""
-    a, n = first[pick], stop[pick] - first[pick] + 1
-    start = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(a) else np.zeros(0, np.int64)
-    out, i, table = np.empty(len(start), np.uint64), 0, hashing.byte_values()
-    while i < len(start):
-        j = int(np.searchsorted(start, start[i] + hashing.CHUNK))
-        pre = hashing.prefix(table[p.buf[start[i] : start[j - 1] + length]])
-        own = start[i:j] - start[i]
-        out[i:j] = hashing.slices(pre, own, own + length)
-        i = j
-    return start, out
-
-
-def _partial(p: parts.Part, flags, doc, place, lowest) -> np.ndarray:
-    """Runs to be judged window by window: first copies whose leading bytes begin other runs too."""
-    return np.flatnonzero((flags[place] == SHARED) & (lowest[place] == p.rank[doc])) if len(place) else place
-
-
-def _send_windows(length: int, buckets: int):
-    def run(table: pa.Table, replies: pa.Table) -> pa.Table:
-        p = parts.Part(table)
-        first, stop, doc, *_, place, lowest = _entries(p, length, buckets)
-        flags = parts.joined(replies, np.uint8)
-        pick = _partial(p, flags, doc, place, lowest)
-        return parts.send(p.number, np.unique(_single(p, length, first, stop, pick)[1]), buckets)
-
-    return run
+def _level_windows(layout: parts.Layout, length: int):
+    """All windows of a level's runs, as messages from before the batch."""
 
-
-def _remove(length: int, buckets: int):
-    def run(table: pa.Table, replies: pa.Table) -> pa.Table:
-        p = parts.Part(table)
-        first, stop, doc, *_, place, lowest = _entries(p, length, buckets)
-        second = np.array(replies["second"].combine_chunks().to_numpy(zero_copy_only=False), bool)
-        flags = parts.joined(replies.filter(pa.array(~second)), np.uint8)
-        whole = np.flatnonzero((flags[place] & EARLIER > 0) | (lowest[place] < p.rank[doc])) if len(place) else place
-        start, h = _single(p, length, first, stop, _partial(p, flags, doc, place, lowest))
-        rank = p.rank[hashing.owners(p.starts, start)] if len(start) else start
-        _, at, low = parts.first_owner(h, rank)
-        old = parts.joined(replies.filter(pa.array(second)), np.uint8)
-        hit = start[(old[at] > 0) | (low[at] < rank)] if len(start) else start
-        gone = parts.covered(len(p.buf), np.concatenate([first[whole], hit]), np.concatenate([stop[whole] + length, hit + length]))
-        left = p.buf[~gone]
-        bounds = np.append(p.starts, len(p.buf))
-        upto = np.concatenate([[0], np.cumsum(~gone)])[bounds]
-        kept = [left[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:])]
-        cut = np.zeros(len(p.buf) + 1, bool)
-        cut[bounds] = True  # a removed run ends with its document
-        now, before = np.append(gone, False), np.append(False, gone)
-        begin, close = np.flatnonzero(now & (cut | ~before)), np.flatnonzero(before & (cut | ~now))
-        of = hashing.owners(p.starts, begin)
-        edges = np.searchsorted(of, np.arange(len(p) + 1))
-        spans = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.StructArray.from_arrays([pa.array((begin - p.starts[of]).astype(np.int32)), pa.array((close - p.starts[of]).astype(np.int32))], ["start", "end"]))
-        size = p.ends - p.starts
-        return pa.table({"doc_id": p.rows["id"], "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(size - np.diff(upto), pa.int64()), "n_spans": pa.array(np.diff(edges), pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": spans})
+    def run(batches):
+        for b in batches:
+            held = [hashing.byte_windows(np.frombuffer(x + y, np.uint8), length) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            if held:
+                yield from parts.send(layout, _level_part(), np.unique(np.concatenate(held)), kind=WINDOWS).to_batches()
 
     return run
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = parts.PART_BYTES) -> DataFrame:
     """One row for each document: bytes, removed bytes, the maximal removed spans and the bytes left."""
-    from pyspark.sql import functions as F
-
-    dealt, buckets = parts.deal(docs, id_col, text_col, part_bytes=part_bytes)
-    texts = dealt.groupBy("part")
-    first = parts.exchange(texts.applyInArrow(parts.lean(_send(length, buckets)), parts.KEYS), _scan)
-    second = parts.exchange(texts.cogroup(first.groupBy("part")).applyInArrow(parts.lean(_send_windows(length, buckets)), parts.KEYS), parts.seen_before)
-    both = first.withColumn("second", F.lit(False)).union(second.withColumn("second", F.lit(True)))
-    return texts.cogroup(both.groupBy("part")).applyInArrow(parts.lean(_remove(length, buckets)), OUT)
+    return _Steps(docs, length, id_col, text_col, part_bytes, None).result()
+
+
+class SuffixIndex:
+    """A logarithmic family of sparse suffix arrays in a folder that driver and executors share.
+
+    ``add`` judges a batch against all batches before it (all their documents count as earlier) and against itself,
+    then takes it in. A batch that fails leaves the family as it was: the list of levels is replaced last, as one new file.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, length: int = 50):
+        self.spark, self.path, self.length = spark, path.rstrip("/"), length
+
+    def levels(self) -> list[tuple[str, int]]:
+        """Names and rows of the levels, the largest first."""
+        lines = (shared.newest(self.spark, self.path, "levels") or "").split()
+        return [(a, int(b)) for a, b in zip(lines[::2], lines[1::2])]
+
+    def level(self, name: str) -> DataFrame:
+        """A level's runs, in the byte order of their suffixes."""
+        return self.spark.read.schema(LEVEL).parquet(f"{self.path}/{name}")
+
+    def _write(self, rows: DataFrame) -> tuple[str, int]:
+        name = shared.fresh_name("level")
+        rows.repartitionByRange("suffix", "before").sortWithinPartitions("suffix", "before").write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return name, self.level(name).count()
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = parts.PART_BYTES) -> DataFrame:
+        """The result of ``suffix_dedup`` for the batch, as a written table."""
+        held, levels = self.levels(), None
+        for name, _ in held:
+            levels = self.level(name) if levels is None else levels.unionByName(self.level(name))
+        steps = _Steps(docs, self.length, id_col, text_col, part_bytes, levels)
+        out = shared.written(steps.result(), "suffix-batch")
+        held.append(self._write(steps.over(steps._new, LEVEL, steps.first)))
+        old = []
+        while len(held) > 1 and held[-2][1] < 2 * held[-1][1]:
+            a, b = held.pop(), held.pop()
+            old += [a[0], b[0]]
+            held.append(self._write(self.level(a[0]).unionByName(self.level(b[0]))))
+        shared.replace(self.spark, self.path, "levels", "\n".join(f"{a} {b}" for a, b in held))
+        for name in old:
+            shared.delete(self.spark, f"{self.path}/{name}")
+        return out

@@ -4,12 +4,14 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexivault.llm import graph, hashing, jaccard_join, queries
+from lexivault.llm import graph, hashing, jaccard_join, parts, queries, shared
 from lexivault.llm.line_dedup import line_dedup
 from lexivault.llm.substring_dedup import substring_dedup
-from lexivault.llm.suffix_dedup import LevelFamily, suffix_dedup
+from lexivault.llm.suffix_dedup import SuffixIndex, suffix_dedup
 
 from . import brute
 
@@ -114,8 +116,7 @@ def test_many_runs_with_one_lead(spark):
     rnd = random.Random(6)
     letters = "abcdefghijklmnopqrstuvwxyz"
     some = lambda n: "".join(rnd.choices(letters, k=n))
-    table = hashing.byte_values()
-    lead = lambda g: int(hashing.mix(hashing.prefix(table[np.frombuffer(g.encode(), np.uint8)])[-1:])[0])
+    lead = lambda g: int(hashing.byte_windows(np.frombuffer(g.encode(), np.uint8), 24)[0])
     gram = min((some(24) for _ in range(5000)), key=lead)  # sampled in every window that holds it
     rows = [(i, some(26) + gram + some(26)) for i in range(100_000)]
     rows += [(100_000, rows[77][1]), (100_001, "-" + rows[500][1][5:])]
@@ -143,19 +144,170 @@ def test_components(spark, monkeypatch):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_level_family():
-    import numpy as np
+@pytest.fixture(params=["tied", "regions", "both"])
+def layout(request, monkeypatch):
+    """Few ranges of ids, so that parts of one range tie; few coarse buckets, so that messages go by regions."""
+    if request.param != "regions":
+        monkeypatch.setattr(parts, "RANGES", 2)
+    if request.param != "tied":
+        monkeypatch.setattr(parts, "FAN", 3)
+        monkeypatch.setattr(parts, "BUCKET_BYTES", 2000)
 
-    family, seen = LevelFamily(), set()
-    rnd = random.Random(3)
-    for _ in range(50):
-        keys = np.unique(np.array([rnd.randrange(2000) for _ in range(rnd.randrange(1, 60))], np.uint64))
-        old = family.scan(keys)
-        assert old.tolist() == [int(k) in seen for k in keys]
-        family.add(keys[~old])
-        seen |= set(map(int, keys))
-    assert family.whole().tolist() == sorted(seen)
-    assert all(len(a) >= 2 * len(b) for a, b in zip(family.levels, family.levels[1:]))
+
+@pytest.mark.parametrize("run,plain", RUNS)
+def test_layouts(spark, layout, run, plain):
+    rows = corpus() + [(7, f"{k} the same id on very many rows, with words of its own and some shared by all of them {k % 5}") for k in range(300)]
+    got = run(spark, rows, part_bytes=2000)
+    if run is not run3:
+        assert got == sorted(plain(rows))
+    else:  # rows of one id are one node, whose sets all link
+        assert {(i, c) for i, _, c in got} == {(i, c) for i, _, c in plain(rows)}
+
+
+def test_many_documents_for_a_line(spark, monkeypatch):
+    """A higher threshold counts documents, not rows, wherever the rows of an id are."""
+    monkeypatch.setattr(parts, "RANGES", 2)
+    rows = [(5, f"a line of two documents\nfiller {k} {'x' * 90}") for k in range(40)] + [(9, "a line of two documents")]
+    rows += [(i, f"a line of three documents\nfiller {i} {'y' * 90}") for i in (11, 12, 13)]
+    got = {}
+    for r in line_dedup(frame(spark, rows), min_docs=3, part_bytes=1000).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["n_dropped"]
+    assert got == {5: 0, 9: 0, 11: 0, 12: 1, 13: 1}
+    with pytest.raises(ValueError):
+        line_dedup(frame(spark, rows), min_docs=1)
+
+
+def test_messages_grow_with_parts(spark, monkeypatch):
+    """Up to FAN * FAN buckets, a part sends at most FAN messages and as many go on from regions; long documents split off."""
+    monkeypatch.setattr(parts, "FAN", 12)
+    monkeypatch.setattr(parts, "BUCKET_BYTES", 8000)
+    monkeypatch.setattr(parts, "RANGES", 16)
+    messages = []
+    for scale in (1, 4, 16):
+        rnd = random.Random(scale)
+        rows = [(i, " ".join(str(rnd.randrange(10**6)) for _ in range(150 if i % 16 else 1500))) for i in range(40 * scale)]
+        dealt, layout = parts.deal(frame(spark, rows), part_bytes=8000)
+        size = dealt.groupBy("part").agg(F.sum(F.octet_length("body")).alias("b"), F.max(F.octet_length("body")).alias("m")).collect()
+        assert all(r["b"] <= 6 * 8000 + r["m"] for r in size)
+        number = {r: i for i, r in enumerate(sorted(r["part"] for r in dealt.select("part").distinct().collect()))}
+        keys = np.sort(np.random.default_rng(scale).integers(0, 1 << 63, 2000).astype(np.uint64)) * np.uint64(2)
+        first = [parts.send(layout, p, keys) for p in number]
+        regions = {}
+        for p, t in zip(number, first):
+            for i in range(len(t)):
+                regions.setdefault((p // layout.fan, t["bucket"][i].as_py()), []).append(t.slice(i, 1))
+        import pyarrow as pa
+
+        fine = [parts._gather(layout)(pa.concat_tables(x)) for x in regions.values()] if layout.subs > 1 else []
+        messages.append((sum(map(len, first)) + sum(map(len, fine))) / len(number))
+        assert layout.coarse * layout.subs >= len(number) // 2
+    assert max(messages) <= 2 * 12 and len(number) > 100
+
+
+def morse(n, a, b):
+    out = [0]
+    while len(out) < n:
+        out += [1 - x for x in out]
+    return [(a, b)[x] for x in out[:n]], [(b, a)[x] for x in out[:n]]
+
+
+def test_regular_patterns_do_not_collide(spark):
+    """Pairs that polynomials modulo 2**64 take for one, as bytes, as words, and as words of a window."""
+    rows = []
+    for k, n in enumerate((256, 1024, 4096)):
+        x, y = morse(n, "a", "b")
+        words_of = [f"w{i}" for i in range(12)]
+        rows += [(4 * k, " ".join([*words_of, "".join(x)])), (4 * k + 1, " ".join([*words_of, "".join(y)]))]
+        x, y = morse(n, f"left{k}", f"right{k}")
+        rows += [(4 * k + 2, " ".join(x)), (4 * k + 3, " ".join(y))]
+    for run, plain in RUNS:
+        assert run(spark, rows) == sorted(plain(rows))
+    for n in (13, 64, 1024, 2048):
+        for a, b in ((97, 98), (0, 255)):
+            x, y = (np.array(v, np.uint8) for v in morse(n, a, b))
+            assert hashing.byte_windows(x, n)[0] != hashing.byte_windows(y, n)[0]
+            assert hashing.windows(x.astype(np.uint64), n)[0] != hashing.windows(y.astype(np.uint64), n)[0]
+            assert hashing.words(x + 48)[2][0] != hashing.words(y + 48)[2][0] or (x + 48 == y + 48).all()
+
+
+def test_runs_that_differ_late(spark):
+    """Documents of 50 bytes with the same 24 first bytes are not the same."""
+    rows = [(1, "bkzijforzjwgisitokziforsjqzgusfekominbztqjxlxmjcqj"), (2, "bkzijforzjwgisitokziforsqiramqiudjskjcevnorchsteei")]
+    assert [r[2] for r in run1(spark, rows)] == [0, 0]
+
+
+starts = st.sampled_from(["the same beginning of 24!", "another one, as long: 24"])
+tails = st.text("ab \n", max_size=90)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(starts, tails, tails).map(lambda x: x[1][:30] + x[0] + x[2]), min_size=2, max_size=6))
+def test_run_windows(texts):
+    """Runs hold every window of a document, and equal windows stand at one distance from equal leading bytes."""
+    import pyarrow as pa
+
+    p = parts.Part(pa.table({"id": pa.array(range(len(texts)), pa.int64()), "part": pa.array([0] * len(texts), pa.int32()), "body": pa.array([t.encode() for t in texts], pa.binary()), "rest": pa.nulls(len(texts))}))
+    from lexivault.llm.suffix_dedup import runs
+
+    first, stop, doc, suffix, lead, full = runs(p.buf, p.starts, p.ends, 50)
+    windows = [(d, s) for d, t in enumerate(texts) for s in range(len(t) - 49)]
+    held = [(int(d), int(w - p.starts[d])) for a, z, d in zip(first, stop, doc) for w in range(a, z + 1)]
+    assert held == windows
+    raw, at = p.buf.tobytes(), {}
+    for a, z, x, h, f in zip(first, stop, suffix, lead, full):
+        for w in range(a, z + 1):
+            assert at.setdefault(raw[w : w + 50], (x - w, h)) == (x - w, h)
+        assert at.setdefault(("run", int(f)), raw[a : z + 50]) == raw[a : z + 50]
+
+
+def test_index_family(spark, tmp_path):
+    """Batches added one by one give what one run over all gives; levels stay few and in the byte order of suffixes."""
+    rows = sorted((i, t) for i, t in corpus() if i not in (112, 113))
+    rows += [(200 + i, t) for i, t in rows[40:60]] + [(300, "q" * 40 + rows[45][1][20:150])]
+    want = {r[0]: r[1:] for r in run1(spark, rows)}
+    index = SuffixIndex(spark, f"file://{tmp_path}/index")
+    assert index.levels() == []
+    for a in range(0, len(rows), 20):
+        batch = rows[a : a + 20]
+        got = {r[0]: r[1:] for r in digest(index.add(frame(spark, batch), part_bytes=2000), "doc_id", "n_bytes", "n_removed", "n_spans")}
+        assert got == {i: want[i] for i, _ in batch}
+        sizes = [n for _, n in index.levels()]
+        assert all(x >= 2 * y for x, y in zip(sizes, sizes[1:]))
+    for name, n in index.levels():
+        own = [(bytes(r["suffix"]), bytes(r["before"])) for r in index.level(name).collect()]
+        assert own == sorted(own) and len(own) == n
+    # A batch that fails while it is taken in leaves the family as it was.
+    before = index.levels()
+    index._write = lambda rows: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        index.add(frame(spark, rows[:3]))
+    assert SuffixIndex(spark, index.path).levels() == before
+    assert digest(SuffixIndex(spark, index.path).add(frame(spark, [])), "doc_id") == []
+
+
+def test_unlinked_chain(spark, monkeypatch):
+    """Documents in one chain of shared shingles that never link cost rows in proportion to their number."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 16)
+    per_doc = []
+    for n in (400, 1600):
+        say = lambda i: " ".join(f"p{i}x{j}" for j in range(12))
+        rows = [(i, f"{say(i)} {say(i + 1)} {say(i + 2)}") for i in range(n)]
+        sets = jaccard_join.jaccard_sets(frame(spark, rows))
+        may = sets.where("entries is not null")
+        keys = may.select(F.explode("prefix").alias("key"), "doc")
+        tasks = jaccard_join.crossing(keys, may.select("doc", F.col("doc").alias("label"), "n"))
+        per_doc.append(tasks.count() / n)
+    assert per_doc[1] <= 1.2 * per_doc[0]
+    got = run3(spark, rows)
+    assert all(i == c for i, _, c in got)
+
+
+def test_shared_folder(spark, tmp_path):
+    base = f"file://{tmp_path}/f"
+    assert shared.newest(spark, base, "x") is None
+    for k in range(3):
+        shared.replace(spark, base, "x", f"content {k}")
+        assert shared.newest(spark, base, "x") == f"content {k}"
 
 
 @pytest.mark.parametrize("name,plain", [("op1_suffix_dedup", brute.op1), ("op2_line_dedup", brute.op2), ("op3_jaccard_join", brute.op3), ("op5_substring_dedup", brute.op5)])
