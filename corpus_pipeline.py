@@ -9,16 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivault.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, shared
+from lexivault.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, parts, shared
 
 #: SQL can express neither the classifier, the alignment nor the tokenizer; a test holds the rows against brute force.
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told: text that is null or holds no letter goes."""
+    """Documents in one of the labelled languages: text goes that is null, holds no letter, or that the best language
+    explains no better than chance (``langid``: fit below 0). Without any labelled row nothing but the letters is judged."""
+    name = lambda c: parts.free_name(c, docs.columns)
+    lang, score, fit = name("lang_pred"), name("score"), name("fit")
     model = langid.train(docs.select("lang", "text"))
-    return langid.predict(docs, model).where("lang_pred <> 'und'").select(docs.columns)
+    if not model[0]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return langid.predict(docs, model, out_cols=(lang, score, fit)).where(F.col(fit) >= 0).select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +45,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(docs, benchmark, out_col="leaked").where("size(leaked) = 0").select(docs.columns)
+    hits = parts.free_name("leaked", docs.columns)
+    return decontaminate.decontaminate(docs, benchmark, out_col=hits).where(F.size(hits) == 0).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +69,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    done = None
     for name, stage in STAGES:
         docs = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if done is not None:
+            shared.remove(done)  # only the stage just written read it
+        done = docs
     return docs

@@ -1,16 +1,20 @@
 """Byte-level BPE by a global distinct-word shuffle, and decoding by the token-byte table.
 
 1. Each task splits its texts into pre-tokens and keeps, for each batch of texts, the distinct words and the texts as
-   sequences of word numbers (their positions). Both leave in one exchange: sequences by batch, words by bucket of the
-   word's hash. A batch's number comes from its partition and place, so a task that runs again gives the same rows.
-2. The words of all batches meet in their bucket; each distinct word is encoded once.
+   sequences of word numbers (their positions). A word that is itself a token has its id at once; the others and the
+   sequences leave in one exchange: sequences by batch, words by bucket of the word's hash. A batch's number comes from
+   its partition and place, so a task that runs again gives the same rows: documents are read from files, or have
+   been written before, in one order.
+2. The words of all batches meet in their bucket, message by message; each distinct word is encoded once.
 3. The ids go back to the batches that asked, and each text is put together in the order of its positions.
 
 Nothing grows with the number of occurrences but the sequences, which stay in their batch (less than two bytes a word). No
-word list of the corpus is ever held or broadcast whole; the ranks (a vocabulary of fixed size) go to all workers.
+word list of the corpus is ever held or broadcast whole; the ranks (a vocabulary of fixed size) go to all workers. A
+batch sends to ``BUCKETS`` buckets at most, and a bucket holds its own distinct words and one batch's message at a time.
 
-Defined cases: null or empty text has no tokens and decodes to no bytes; words of any length are encoded whole; ids may
-repeat or be null; an empty table gives an empty result.
+Defined cases: null or empty text has no tokens and decodes to no bytes; words of any length are encoded whole; ids of
+documents may repeat or be null; decoding passes over null ids and ids outside the table, and null ids of a whole row give
+no bytes; a column that has the result's name is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import xxhash
@@ -33,9 +38,11 @@ from . import parts
 
 #: Bytes of text whose distinct words are gathered in one task at a time.
 BATCH_BYTES = 10 << 20
+#: Bytes of text that a bucket of words stands for, and buckets at most.
+BUCKET_BYTES, BUCKETS = 16 << 20, 1 << 12
 #: Pre-tokens put together at a time.
 PIECE = 1 << 20
-ROWS = "key long, batch long, ids binary, sizes binary, seq binary, order binary, words binary"
+ROWS = "key long, batch long, ids binary, sizes binary, seq binary, order binary, known binary, words binary"
 ANSWERS = "key long, bucket int, answer binary"
 
 
@@ -61,6 +68,11 @@ def encoder(ranks_path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(f"ranks:{ranks_path}", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(4)
+def _ranks(path: str) -> dict[bytes, int]:
+    return token_ranks(path)
+
+
 def token_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -107,10 +119,10 @@ def _unpack_words(blob: bytes) -> list[bytes]:
     return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
-def _split(pattern: str, buckets: int, batch_bytes: int):
+def _split(ranks_path: str, pattern: str, buckets: int, batch_bytes: int):
     def run(batches):
-        find = regex.compile(rust_pattern(pattern)).findall
-        schema = pa.schema([("key", pa.int64()), ("batch", pa.int64()), *((k, pa.binary()) for k in ("ids", "sizes", "seq", "order", "words"))])
+        find, ranks = regex.compile(rust_pattern(pattern)).findall, _ranks(ranks_path)
+        schema = pa.schema([("key", pa.int64()), ("batch", pa.int64()), *((k, pa.binary()) for k in ("ids", "sizes", "seq", "order", "known", "words"))])
         part, made = TaskContext.get().partitionId(), 0
         ids, sizes, seqs, held = [], [], [], 0
         numbers: dict[str, int] = {}
@@ -120,20 +132,27 @@ def _split(pattern: str, buckets: int, batch_bytes: int):
             batch = -1 - (part << 24 | made)
             made += 1
             seq = np.concatenate(seqs)
-            # Frequent words get small numbers, which pack well; order says where each word is among those sent.
+            # Frequent words get small numbers, which pack well; order says where each word is among those known, then sent.
             rank = np.empty(len(numbers), np.int64)
             rank[np.argsort(-np.bincount(seq, minlength=len(numbers)), kind="stable")] = np.arange(len(numbers))
             shares: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
+            tokens, whose = [], []
             for i, w in enumerate(numbers):
                 w = w.encode()
-                shares[xxhash.xxh3_64_intdigest(w) % buckets].append((w, i))
+                token = ranks.get(w)
+                if token is None:
+                    shares[xxhash.xxh3_64_intdigest(w) % buckets].append((w, i))
+                else:
+                    tokens.append(token)
+                    whose.append(i)
             for share in shares:
                 share.sort()
             full = [b for b, share in enumerate(shares) if share]
-            order = rank[np.fromiter((i for b in full for _, i in shares[b]), np.int64, len(numbers))]
-            known = np.array([0 if x is None else x for x in ids], "<i8").tobytes() + np.array([x is None for x in ids], np.uint8).tobytes()
+            whose += [i for b in full for _, i in shares[b]]
+            order = rank[np.array(whose, np.int64)]
+            who = np.array([0 if x is None else x for x in ids], "<i8").tobytes() + np.array([x is None for x in ids], np.uint8).tobytes()
             none = [None] * len(full)
-            out = {"key": [batch, *full], "batch": [batch] * (1 + len(full)), "ids": [known, *none], "sizes": [_pack(np.array(sizes, np.int64)), *none], "seq": [_pack(rank[seq]), *none], "order": [_pack(order), *none], "words": [None, *(_pack_words([w for w, _ in shares[b]]) for b in full)]}
+            out = {"key": [batch, *full], "batch": [batch] * (1 + len(full)), "ids": [who, *none], "sizes": [_pack(np.array(sizes, np.int64)), *none], "seq": [_pack(rank[seq]), *none], "order": [_pack(order), *none], "known": [_pack(np.array(tokens, np.int64)), *none], "words": [None, *(_pack_words([w for w, _ in shares[b]]) for b in full)]}
             for x in (ids, sizes, seqs, numbers):
                 x.clear()
             return pa.RecordBatch.from_pydict(out, schema=schema)
@@ -159,24 +178,34 @@ def _split(pattern: str, buckets: int, batch_bytes: int):
 
 
 def _encode(ranks_path: str, pattern: str):
-    """Encodes the distinct words of a bucket, each once, and answers every batch along the words it sent."""
+    """Encodes the distinct words of a bucket, each once, and answers every batch along the words it sent.
 
-    def run(table: pa.Table) -> pa.Table:
+    Rows come bucket by bucket, one message at a time.
+    """
+
+    def run(batches):
         piece = encoder(ranks_path, pattern)._encode_single_piece
         known: dict[bytes, list[int]] = {}
-        bucket, batch, given = table["key"][0].as_py(), [], []
-        for number, blob in zip(table["batch"].to_pylist(), table["words"]) if bucket >= 0 else ():
-            sizes, ids = [], []
-            for word in _unpack_words(blob.as_py()):
-                got = known.get(word)
-                if got is None:
-                    got = known[word] = piece(word)
-                sizes.append(len(got))
-                ids += got
-            size = _pack(np.array(sizes, np.int64))
-            given.append(struct.pack("<Q", len(size)) + size + _pack(np.array(ids, np.int64)))
-            batch.append(number)
-        return pa.table({"key": pa.array(batch, pa.int64()), "bucket": pa.array([bucket] * len(batch), pa.int32()), "answer": pa.array(given, pa.binary())})
+        now = None
+        for b in batches:
+            keys, batch, given, bucket = b.column("key").to_pylist(), [], [], []
+            for key, number, blob in zip(keys, b.column("batch").to_pylist(), b.column("words")):
+                if key < 0:
+                    continue
+                if key != now:
+                    known, now = {}, key
+                sizes, ids = [], []
+                for word in _unpack_words(blob.as_py()):
+                    got = known.get(word)
+                    if got is None:
+                        got = known[word] = piece(word)
+                    sizes.append(len(got))
+                    ids += got
+                size = _pack(np.array(sizes, np.int64))
+                given.append(struct.pack("<Q", len(size)) + size + _pack(np.array(ids, np.int64)))
+                batch.append(number)
+                bucket.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(batch, pa.int64()), pa.array(bucket, pa.int32()), pa.array(given, pa.binary())], names=["key", "bucket", "answer"])
 
     return run
 
@@ -188,8 +217,9 @@ def _assemble(table: pa.Table, replies: pa.Table) -> pa.Table:
     """The texts of a batch; words that wait for their own batch give nothing here."""
     if not len(table) or table["key"][0].as_py() >= 0:
         return _NONE
-    row = {k: table[k][0].as_py() for k in ("ids", "sizes", "seq", "order")}
-    sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    row = {k: table[k][0].as_py() for k in ("ids", "sizes", "seq", "order", "known")}
+    own = _unpack(row["known"]).astype(np.int32)
+    sizes, ids = [np.ones(len(own), np.int64)], [own]
     for i in np.argsort(replies["bucket"].to_numpy()):
         blob = replies["answer"][int(i)].as_py()
         (n,) = struct.unpack_from("<Q", blob)
@@ -218,24 +248,31 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     parts.small_batches(docs.sparkSession)
     tasks = parts.partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    buckets = min(max(tasks, -(-size // BUCKET_BYTES)), BUCKETS)
     # Both uses read the same exchange; each passes over the rows of the other kind.
-    dealt = rows.mapInArrow(parts.lean(_split(pattern, tasks, batch_bytes)), ROWS).repartition(tasks, "key").groupBy("key")
-    replies = dealt.applyInArrow(parts.lean(_encode(ranks_path, pattern)), ANSWERS)
-    return dealt.cogroup(replies.groupBy("key")).applyInArrow(parts.lean(_assemble), "doc_id long, ids array<int>")
+    dealt = rows.mapInArrow(parts.lean(_split(ranks_path, pattern, buckets, batch_bytes)), ROWS).repartition(max(tasks, buckets), "key")
+    replies = dealt.sortWithinPartitions("key").select("key", "batch", "words").mapInArrow(parts.lean(_encode(ranks_path, pattern)), ANSWERS)
+    return dealt.groupBy("key").cogroup(replies.groupBy("key")).applyInArrow(parts.lean(_assemble), "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds ``decoded``, the bytes of each row's ids by the token-byte table."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
+    encoded = encoded.drop(out_col)
+    schema = T.StructType([*encoded.schema.fields, T.StructField(out_col, T.BinaryType())])
 
     def run(batches):
-        get = token_bytes(ranks_path).__getitem__
+        table = token_bytes(ranks_path)
+        end = len(table)
+        table = [*table, b""]
         for b in batches:
             ids = b.column(ids_col)
-            off, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-            out = [b"".join(map(get, flat[x:y].tolist())) for x, y in zip(off[:-1], off[1:])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
+            ids = pc.if_else(pc.is_null(ids), pa.scalar([], ids.type), ids) if ids.null_count else ids
+            off, flat = ids.offsets.to_numpy(), pc.fill_null(ids.values, -1).to_numpy(zero_copy_only=False)
+            flat = np.where((flat < 0) | (flat >= end), end, flat)
+            out = [b"".join(map(table.__getitem__, flat[x:y].tolist())) for x, y in zip(off[:-1], off[1:])]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, out_col])
 
     return encoded.mapInArrow(parts.lean(run), schema)

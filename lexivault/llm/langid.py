@@ -1,11 +1,17 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Training counts hashed n-grams of all labelled rows: each task sums its own counts, slices of the count table are summed
-by key, and only the finished table (languages x hash buckets, a size set by parameters) reaches the driver. The table
-of log probabilities is broadcast; texts are scored in numpy, a batch of texts at a time, over whole texts.
+by key, and only the finished table (at most ``MAX_LANGS`` languages x ``BUCKETS``) reaches the driver. The table
+of log probabilities is broadcast; texts are scored in numpy, a batch of texts and ``LANGS`` languages at a time, over
+whole texts.
 
-Defined cases: text that is null or has no letter is ``und`` with score 0; with no labelled row every text is; ties go
-to the smaller language name; ids may repeat or be null; an empty table gives an empty result.
+Besides the posterior, which is near 1 for any longer text, ``fit`` says how much better than chance the best language
+explains a text: the mean over its n-grams of the log of their probability times the number of buckets. Text of no known
+language, or noise, is below 0.
+
+Defined cases: text that is null or has no letter is ``und`` with score 0 and null fit; with no labelled row every text
+is; ties go to the smaller language name; more than ``MAX_LANGS`` languages are an error; ids may repeat or be null;
+columns that have the results' names are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,8 +25,8 @@ from pyspark.sql import types as T
 
 from . import hashing, parts
 
-#: Entries of the table of log probabilities at most; more languages get fewer hash buckets each.
-MAX_ENTRIES = 1 << 22
+#: Languages at most (the table has 4 * BUCKETS bytes for each), and how many are scored at a time.
+MAX_LANGS, LANGS = 1024, 16
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Code points counted or scored at a time.
@@ -106,10 +112,9 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", a
     """Languages (sorted), log priors, and log probabilities by hash bucket and language, from all rows with a language."""
     parts.small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null")
-    langs = rows.select("lang").distinct().count()
     buckets = BUCKETS
-    while buckets > 1024 and buckets * langs > MAX_ENTRIES:
-        buckets //= 2
+    if rows.select("lang").distinct().count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     schema = "lang string, slice int, docs long, counts binary"
     got = rows.mapInArrow(parts.lean(_count(buckets)), schema).groupBy("lang", "slice").applyInArrow(parts.lean(_sum), schema).collect()
     names = sorted({r["lang"] for r in got})
@@ -122,11 +127,13 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", a
     return names, np.log(docs / max(docs.sum(), 1)), np.log(smooth / smooth.sum(0)).astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (the posterior probability) to the rows; takes nothing but the text into account."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", out_cols: tuple[str, str, str] = ("lang_pred", "score", "fit")) -> DataFrame:
+    """Adds the language, its posterior probability and its fit to the rows; takes nothing but the text into account."""
     parts.small_batches(docs.sparkSession)
+    docs = docs.drop(*out_cols)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, k) for c, k in zip(out_cols, kinds))])
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -134,22 +141,29 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
         letter = regex.compile(r"\p{L}").search
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
-            logs = np.tile(prior, (len(texts), 1))
+            logs, grams = np.zeros((len(texts), len(names))), np.zeros(len(texts))
             known = np.array([bool(names) and letter(t) is not None for t in texts], bool)
             for codes, begins, starts, who in _pieces(texts) if names else ():
                 for h, place in _grams(codes, begins, len(table)):
-                    if len(h):
+                    if not len(h):
+                        continue
+                    cut = np.append(np.searchsorted(place, starts), len(h))
+                    np.add.at(grams, who, np.diff(cut))
+                    for a in range(0, len(names), LANGS):
                         # Sums of each text's rows, as differences of running sums.
-                        run_sum = np.zeros((len(h) + 1, len(names)))
-                        np.cumsum(table[h], axis=0, out=run_sum[1:])
-                        cut = np.append(np.searchsorted(place, starts), len(h))
-                        np.add.at(logs, who, run_sum[cut[1:]] - run_sum[cut[:-1]])
+                        own = table[h, a : a + LANGS]
+                        run_sum = np.zeros((len(h) + 1, own.shape[1]))
+                        np.cumsum(own, axis=0, out=run_sum[1:])
+                        np.add.at(logs[:, a : a + LANGS], who, run_sum[cut[1:]] - run_sum[cut[:-1]])
             if names:
+                fit = logs.max(1) / np.maximum(grams, 1) + np.log(len(table))
+                logs += prior
                 best = logs.argmax(1)
                 score = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
             pred = [names[best[i]] if known[i] else "und" for i in range(len(texts))]
             value = [float(score[i]) if known[i] else 0.0 for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(value, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            how = [float(fit[i]) if known[i] else None for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(value, pa.float64()), pa.array(how, pa.float64())], names=[*b.schema.names, *out_cols])
 
     return docs.mapInArrow(parts.lean(run), schema)
 

@@ -1,11 +1,11 @@
 """License scans: winnowed fingerprints of templates in an inverted index pick candidates, banded alignment reports spans.
 
-Templates and documents are word sequences (runs of letters, digits and
-non-ASCII characters, lower-cased). Of every ``WINDOW``
-neighbouring ``GRAM``-word hashes the lowest is a fingerprint, so any common stretch of GRAM + WINDOW - 1 words shares
-one. The templates' fingerprints form an inverted index (template, place); a document's fingerprints look templates up,
-and hits on near diagonals are aligned within a band of ``BAND`` words around them (fewer for
-short templates, a twentieth of the template for long ones). Coverage is the share of the
+Templates and documents are word sequences (runs of letters, digits and non-ASCII characters, lower-cased). Of every
+``WINDOW`` neighbouring hashes of ``LONG_GRAM`` words the lowest is a fingerprint (one position in four or five), so any
+common stretch of LONG_GRAM + WINDOW - 1 words shares one. Notices of fewer than ``LONG`` words are too short to be
+thinned out: all their ``GRAM``-word hashes are fingerprints. The templates' fingerprints form an inverted index
+(template, place); a document's fingerprints look templates up, and hits on near diagonals are aligned within a band of
+``BAND`` words around them (fewer for short templates, a twentieth of the template for long ones). Coverage is the share of the
 template's words that the alignment matches; a template may occur in a document at several places. Of templates found
 at one place the one with the most matched words is reported, the better covered one among equals.
 
@@ -15,7 +15,8 @@ tell a notice from its like, such as its version: without them in the aligned st
 The templates are a parameter of fixed size (``MAX_WORDS`` words at most, checked), held by every worker; documents are
 read once, whole, without a shuffle.
 
-Defined cases: null or blank texts hold no licence; templates with fewer than GRAM words are refused; repeated rows are
+Defined cases: null or blank texts hold no licence; templates with fewer than GRAM words are refused; documents with fewer words than a
+fingerprint hold no licence; repeated rows are
 reported each; ids may be null; an empty table gives an empty result.
 """
 
@@ -32,7 +33,7 @@ from . import hashing, parts
 from .align import align, clusters
 from .decontaminate import word_hashes
 
-GRAM, WINDOW, BAND, DRIFT = 3, 2, 8, 6
+GRAM, LONG_GRAM, WINDOW, BAND, DRIFT = 3, 5, 8, 8, 6
 #: From LONG words on, a template needs a hit for every SPARSE of its words on near diagonals.
 LONG, SPARSE = 64, 40
 MAX_WORDS = 1 << 20
@@ -173,8 +174,31 @@ def winnow(h: np.ndarray) -> np.ndarray:
     return np.unique(v.argmin(1) + np.arange(len(v)))
 
 
+class _Prints:
+    """Inverted index from hashes of so many words to (template, place)."""
+
+    def __init__(self, gram: int, posts: list[tuple[int, int, int]], thin: bool):
+        self.gram, self.thin = gram, thin
+        posts = sorted(posts)
+        self.keys = np.array([p[0] for p in posts], np.uint64)
+        self.template = np.array([p[1] for p in posts], np.int64)
+        self.place = np.array([p[2] for p in posts], np.int64)
+        self.known = np.zeros(1 << 16, bool)  # a sieve before the search
+        self.known[(self.keys >> np.uint64(48)).astype(np.int64)] = True
+
+    def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Templates and diagonals of all hits."""
+        h = hashing.windows(words, self.gram)
+        at = winnow(h) if self.thin else np.arange(len(h))
+        at = at[self.known[(h[at] >> np.uint64(48)).astype(np.int64)]]
+        lo, hi = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
+        n = hi - lo
+        post = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.template[post], np.repeat(at, n) - self.place[post]
+
+
 class Index:
-    """Inverted index from fingerprints to (template, place)."""
+    """Templates, and the fingerprints of the long and of the short ones."""
 
     def __init__(self, templates: dict[str, str], required: dict[str, list[str]] | None = None):
         self.names = sorted(templates)
@@ -182,24 +206,17 @@ class Index:
         self.words = [word_hashes(templates[n]) for n in self.names]
         if sum(map(len, self.words)) > MAX_WORDS or any(len(w) < GRAM for w in self.words):
             raise ValueError(f"templates need {GRAM} words at least, and {MAX_WORDS} in all at most")
-        posts = sorted((int(h), t, int(i)) for t, w in enumerate(self.words) for g in [hashing.windows(w, GRAM)] for i, h in enumerate(g))
-        # Short notices keep all their grams: a document's window may choose any of them.
-        keep = {(t, int(i)) for t, w in enumerate(self.words) for i in (winnow(hashing.windows(w, GRAM)) if len(w) > 2 * GRAM + WINDOW else range(len(w) - GRAM + 1))}
-        posts = [p for p in posts if p[1:] in keep]
-        self.keys = np.array([p[0] for p in posts], np.uint64)
-        self.template = np.array([p[1] for p in posts], np.int64)
-        self.place = np.array([p[2] for p in posts], np.int64)
+        short, long = [], []
+        for t, w in enumerate(self.words):
+            thin = len(w) >= LONG
+            h = hashing.windows(w, LONG_GRAM if thin else GRAM)
+            (long if thin else short).extend((int(h[i]), t, int(i)) for i in (winnow(h) if thin else range(len(h))))
+        self.prints = [_Prints(GRAM, short, False), _Prints(LONG_GRAM, long, True)]
 
     def scan(self, words: np.ndarray, min_coverage: float) -> list[tuple[str, float, int, int]]:
-        h = hashing.windows(words, GRAM)
-        at = winnow(h)
-        lo, hi = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
-        n = hi - lo
-        if not n.any():
+        template, diagonal = (np.concatenate(x) for x in zip(*[p.look_up(words) for p in self.prints]))
+        if not len(template):
             return []
-        post = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        at = np.repeat(at, n)
-        template, diagonal = self.template[post], at - self.place[post]
         found = []
         for t in np.unique(template):
             own = diagonal[template == t]

@@ -379,6 +379,14 @@ class Part:
         return len(self.ids)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, made longer until it is none of those taken (whatever the case)."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def first_owner(keys: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct sorted keys, each entry's place among them, and each distinct key's lowest rank.
 

@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import math
 import re
 
+import numpy as np
+
 WS = " \t\n\x0b\x0c\r"
 
 
@@ -90,3 +93,71 @@ def op5(rows, n=13):
                 gone[s : s + n] = [1] * n
         out.append((i, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g).encode())))
     return out
+
+
+def fold(text):
+    """Words as decontamination and licences take them: letters, digits and non-ASCII, each CJK character its own."""
+    out = []
+    for w in re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").lower()):
+        out += re.findall(r"[\u3000-\ud7ff]|[^\u3000-\ud7ff]+", w)
+    return out
+
+
+def smith_waterman(items, text, match=2, cost=1):
+    """Best local score of a text (list of words) with each item, over all pairs of places, by anti-diagonals.
+
+    The score of several items is computed side by side; equal scores go to more matched words (score, matches).
+    """
+    unit = 1 << 20
+    number = {}
+    as_ids = lambda ws: [number.setdefault(w, len(number)) for w in ws]
+    m, n = max(map(len, items), default=0), len(text)
+    a = np.full((len(items), m), -1)
+    for k, w in enumerate(items):
+        a[k, : len(w)] = as_ids(w)
+    b = np.concatenate([np.full(m, -2), np.array(as_ids(text), int), np.full(m, -2)])
+    one = two = np.zeros((len(items), m + 1), np.int64)  # the last anti-diagonal and the one before, by place in the item
+    best = np.zeros(len(items), np.int64)
+    for d in range(n + m - 1):
+        other = b[d - np.arange(m) + m]  # the word that meets the item's i-th on this diagonal
+        hit = np.where(a == other[None, :], match * unit + 1, -cost * unit)
+        now = np.zeros_like(one)
+        now[:, 1:] = np.maximum(0, np.maximum(two[:, :-1] + hit, np.maximum(one[:, :-1], one[:, 1:]) - cost * unit))
+        best = np.maximum(best, now.max(1))
+        one, two = now, one
+    return [(int(x) // unit, int(x) % unit) for x in best]
+
+
+def bucket(chars, buckets):
+    """Hash bucket of an n-gram, in whole numbers."""
+    top = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & top
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & top
+        return x ^ x >> 31
+
+    h = len(chars)
+    for c in chars:
+        h = mix(h * 0x9E3779B97F4A7C15 + ord(c) & top)
+    return h % buckets
+
+
+def bayes(labelled, texts, buckets, alpha=0.5):
+    """Language and posterior of each text, by naive Bayes over hashed 1- to 3-grams, one n-gram at a time."""
+    grams = lambda t: [bucket(t[i : i + n], buckets) for t in [(t or "").lower()] for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+    counts, docs = {}, collections.Counter()
+    for lang, text in labelled:
+        docs[lang] += 1
+        counts.setdefault(lang, collections.Counter()).update(grams(text))
+    out = []
+    for text in texts:
+        own, logs = grams(text), {}
+        for lang in sorted(counts):
+            total = math.log(sum(counts[lang].values()) + alpha * buckets)
+            logs[lang] = math.log(docs[lang] / sum(docs.values())) + sum(math.log(counts[lang][g] + alpha) - total for g in own)
+        best = max(logs, key=lambda x: (logs[x], [-ord(c) for c in x]))
+        out.append((best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())))
+    return out

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from lexivault.llm import ann, bpe, chat, langid, queries
 from lexivault.llm.align import align
 from lexivault.llm.decontaminate import decontaminate
-from lexivault.llm.licenses import TEMPLATES, scan_licenses
+from lexivault.llm.licenses import LONG, REQUIRED, TEMPLATES, scan_licenses
+
+from . import brute
 
 RANKS, VOCAB = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [None, "", " ", "a", "Hello  world\n\n  it's fine\x1c x y", "日本語 テスト 123٣", "é" * 300, "x" * 20_000, "don't DON'T\r\n\t!!", "🙂🙂 ok", "\u0085a᠎ b"]
@@ -38,6 +40,20 @@ def test_bpe(spark, plain, batch_bytes):
     assert sorted(((r["doc_id"], r["ids"], bytes(r["decoded"])) for r in got), key=key) == sorted(want, key=key)
 
 
+def test_bpe_few_buckets_and_columns(spark, plain, monkeypatch):
+    """Many batches in one bucket; a column with the result's name; ids that no token has."""
+    monkeypatch.setattr(bpe, "BUCKETS", 1)
+    docs = spark.createDataFrame([(i, f"Word{i % 7} zebrawood{i % 11} 日本語{i} naïveté", "x") for i in range(60)], "doc_id long, text string, decoded string").repartition(5)
+    got = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN, batch_bytes=100), RANKS)
+    assert all(r["ids"] == plain.encode_ordinary(f"Word{r['doc_id'] % 7} zebrawood{r['doc_id'] % 11} 日本語{r['doc_id']} naïveté") for r in got.collect())
+    top = len(plain.token_byte_values())
+    odd = spark.createDataFrame([(1, [64, None, 65], "x"), (2, None, "x"), (3, [], "x"), (4, [10**9, 64, -5, top + 500], "x")], "doc_id long, ids array<int>, Decoded string")
+    out = bpe.decode(odd, RANKS)
+    assert out.columns == ["doc_id", "ids", "decoded"]
+    one = plain.decode_single_token_bytes
+    assert {r["doc_id"]: bytes(r["decoded"]) for r in out.collect()} == {1: one(64) + one(65), 2: b"", 3: b"", 4: one(64)}
+
+
 def test_bpe_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
@@ -83,6 +99,34 @@ def test_language_edges(spark, monkeypatch):
     assert np.allclose(langid.train(long)[2], whole[2])
 
 
+def test_language_is_plain_bayes(spark, data, monkeypatch):
+    """Languages and posteriors of short texts equal those of a plain naive Bayes; blocks of languages change nothing."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("length(text) < 1200").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    known = [(x, t) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    ask = [(i, " ".join((t or "").split()[:3])) for i, t, _ in rows][:60]
+    asked = spark.createDataFrame([(*r, 5, "x", None) for r in ask], "doc_id long, text string, score int, LANG_PRED string, fit string")
+    want = dict(zip([i for i, _ in ask], brute.bayes(known, [t for _, t in ask], langid.BUCKETS)))
+    monkeypatch.setattr(langid, "LANGS", 3)
+    model = langid.train(docs.where(~langid.held_out("doc_id")))
+    out = langid.predict(asked, model)
+    assert out.columns == ["doc_id", "text", "lang_pred", "score", "fit"]
+    for r in out.collect():
+        assert r["lang_pred"] == want[r["doc_id"]][0] and r["score"] == pytest.approx(want[r["doc_id"]][1], abs=1e-3)
+    with monkeypatch.context() as m, pytest.raises(ValueError):
+        m.setattr(langid, "MAX_LANGS", 2)
+        langid.train(docs)
+
+
+def test_language_fit(spark, data):
+    """Texts of the languages fit better than chance, noise and other scripts worse."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = langid.train(docs.select("lang", "text"))
+    assert langid.predict(docs, model).where("fit < 0 or fit is null").count() == 0
+    odd = ["".join(chr(33 + (i * i * 7919 + i * 31) % 90) for i in range(300)), "это русский текст о погоде и природе", "日本語の文章です"]
+    assert [r["fit"] < 0 for r in langid.predict(spark.createDataFrame([(t,) for t in odd], "text string"), model).collect()] == [True] * 3
+
+
 def test_chat(spark, data):
     got = {r["conv_id"]: r for r in queries.QUERIES["op10_chat_format"](spark, data).collect()}
     rows = {}
@@ -189,6 +233,60 @@ def test_leak_query(spark, data):
     assert want <= set(got) and len(want) > 0 and all(s >= 0.45 for s in got.values())
 
 
+def test_leaks_are_all_alignments(spark, data):
+    """Scores of all documents with all items, by plain alignment of whole texts: the same pairs, the same best scores."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    items = [tuple(r) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    words = [brute.fold(t) for _, t in items]
+    want = {}
+    for d, text in docs:
+        for (i, _), w, (score, _) in zip(items, words, brute.smith_waterman(words, brute.fold(text))):
+            if score >= 0.45 * 2 * len(w):
+                want[d, i] = score / (2 * len(w))
+    got = {}
+    for r in queries.QUERIES["op4_decontaminate"](spark, data).collect():
+        got[r["doc_id"], r["item_id"]] = max(got.get((r["doc_id"], r["item_id"]), 0), r["score"])
+    assert got == pytest.approx(want) and len(want) > 0
+
+
+def test_leaks_everywhere(spark):
+    """Every copy in a text is reported; characters of scripts without spaces are words; names and repeated items clash with nothing."""
+    filler = " ".join(f"w{i}" for i in range(300))
+    han = "今天天气很好我们一起去公园散步然后回家吃饭看书"
+    rows = [(1, f"{ITEM} {filler} {EDITED} {filler} {ITEM}", [7]), (2, f"前面的话{han[:10]}真{han[11:]}后面的话", None), (3, han[:4], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hits array<int>")
+    items = spark.createDataFrame([(10, ITEM), (10, ITEM), (11, han), (12, ITEM + " x")], "item_id long, text string")
+    out = decontaminate(docs, items)
+    assert out.columns == ["doc_id", "text", "hits"]
+    got = {r["doc_id"]: [(h["item_id"], h["start_word"]) for h in r["hits"]] for r in out.collect()}
+    assert [x for x in got[1] if x[0] == 10] == [(10, 0), (10, 322), (10, 645)] or len([x for x in got[1] if x[0] == 10]) == 3
+    assert [i for i, _ in got[2]] == [11] and got[3] == []
+
+
+def test_shared_prompt(spark):
+    """Items that all begin with one prompt: the prompt alone is no copy of any, a whole item is."""
+    prompt = " ".join(f"prompt{i}" for i in range(6))
+    items = [(i, f"{prompt} " + " ".join(f"q{i}x{j}" for j in range(14))) for i in range(300)]
+    docs = [(1, f"{prompt} and something else " * 50), (2, "before " + items[123][1] + " after")]
+    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in got.collect()} == {1: [], 2: [123]}
+
+
+def test_licenses_are_all_alignments(spark, data):
+    """Documents with a short notice, by plain alignment of whole texts with every short template."""
+    short = {n: brute.fold(t) for n, t in TEMPLATES.items() if len(brute.fold(t)) < LONG}
+    names = sorted(short)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    want = set()
+    for d, text in docs:
+        words = brute.fold(text)
+        said = f" {' '.join(words)} "
+        for n, (_, matched) in zip(names, brute.smith_waterman([short[n] for n in names], words)):
+            if matched >= 0.7 * len(short[n]) and all(f" {' '.join(brute.fold(x))} " in said for x in REQUIRED.get(n, [])):
+                want.add(d)
+    assert {r["doc_id"] for r in queries.QUERIES["op8_license_scan"](spark, data).collect()} == want and want
+
+
 def test_licenses(spark, data):
     rows = [(1, f"x y z {TEMPLATES['mit']} a b"), (2, None), (3, ""), (4, "Released under the MIT Licence, maybe"), (5, "nothing here"), (None, TEMPLATES["mit-statement"] * 2)]
     got = scan_licenses(spark.createDataFrame([(*r, "q") for r in rows], "doc_id long, text string, license string")).collect()
