@@ -341,6 +341,21 @@ def test_neighbours(spark, data):
     assert hits >= 0.95 * total
 
 
+def test_neighbours_verify_few(spark):
+    """On the larger table the stopping test leaves at most 30 % of the rows to verify, at a recall of 0.95 or more."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = ann.nearest(rows, rows.where("vec_id % 100 = 0")).toPandas()
+    e = rows.toPandas()
+    ids, v = e["vec_id"].to_numpy(), np.stack(e["embedding"]).astype(float)
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        d = ((v - v[ids == q][0]) ** 2).sum(1)
+        d[ids == q] = np.inf
+        hits += len(set(ids[np.lexsort((ids, d))[:10]]) & set(own["vec_id"]))
+    assert hits >= 0.95 * len(got) and len(got) == 10 * sum(ids % 100 == 0)
+    assert got.groupby("query_id")["verified"].first().sum() <= 0.3 * len(ids) * sum(ids % 100 == 0)
+
+
 def test_neighbour_edges(spark):
     rnd = np.random.default_rng(1)
     v = rnd.standard_normal((3000, 16))
