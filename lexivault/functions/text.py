@@ -50,11 +50,15 @@ def page_count(tool_output: Column) -> Column:
     return F.when(n.try_cast("int") > 0, n.try_cast("int")).otherwise(F.lit(1))
 
 
+#: Entities that pages hold, the ampersand last.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+
+
 def strip_html(html: Column) -> Column:
     """Text of a page: scripts, styles, comments and tags go, the commonest entities are read, white space collapses."""
     out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
     out = F.regexp_replace(out, r"<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+    for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
@@ -127,10 +131,33 @@ def _osa(a: str, b: str) -> int:
 
 
 def edit_distance(word: str):
-    """A column function: edits between a column of words and one word; meant for distinct vocabularies."""
+    """A column function: edits between a column of words and one word; meant for few words (see ``maybe_near``)."""
 
     @F.pandas_udf(IntegerType())
     def distance(words: pd.Series) -> pd.Series:
         return words.map(lambda w: _osa(w, word), na_action="ignore")
 
     return distance
+
+
+def maybe_near(words: Column, word: str, distance: int) -> Column:
+    """True for every word within so many edits of one word, and for few others: lengths, then edits without swaps.
+
+    A swap is two edits without swaps, so twice the distance bounds them. All of it runs inside Spark.
+    """
+    close = F.abs(F.char_length(words) - len(word)) <= distance
+    return close & (F.levenshtein(words, F.lit(word), 2 * distance) >= 0)
+
+
+#: Analysers that tokenizer() knows by name; more can be registered.
+_ANALYSERS = {DEFAULT_ANALYSER: tokens}
+
+
+def register_tokenizer(name: str, analyse) -> None:
+    """Makes a column function (text -> array of terms) known by a name."""
+    _ANALYSERS[name] = analyse
+
+
+def tokenizer(name: str):
+    """The analyser of that name, or the default one."""
+    return _ANALYSERS.get(name, _ANALYSERS[DEFAULT_ANALYSER])

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import heapq
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..sources import scratch
 
 RETRY = ("error", "extracting")
 #: Fixed value: files a worker gets at a time.
@@ -40,14 +42,17 @@ def ids_for_paths(jobs: DataFrame, paths: DataFrame) -> DataFrame:
     return jobs.join(paths.select("path"), "path", "left_semi").select("id", "path")
 
 
-def upsert_pending(jobs: DataFrame, found: DataFrame) -> DataFrame:
-    """Found files become pending; known ones keep their ids, new ones get ids after the largest."""
-    top = jobs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+def upsert_pending(jobs: DataFrame, found: DataFrame, top: int | None = None) -> DataFrame:
+    """Found files become pending; known ones keep their ids, new ones get ids after the largest (top, if jobs are but some)."""
+    if top is None:
+        top = jobs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     new = found.select("path", F.col("file_modified").alias("_m"), F.col("file_size").alias("_s"), F.lit(True).alias("_f"))
     both = jobs.join(new, "path", "full_outer")
     fresh = both.where("id is null").select("path")
-    # Ids of new rows: offsets of the range partitions, then places in them; no task holds all rows.
+    # Ids of new rows: offsets of the range partitions, then places in them; no task holds all rows. The places are written
+    # down once, so a task that runs again after a loss cannot number them otherwise.
     placed = fresh.repartitionByRange("path").sortWithinPartitions("path").withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    placed = scratch.written(placed, "places")
     before = placed.groupBy("_p").count().withColumn("_before", F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
     numbered = placed.join(before.select("_p", F.coalesce("_before", F.lit(0)).alias("_before")), "_p").select("path", (F.lit(top) + 1 + F.col("_before") + F.col("_k")).alias("_new"))
     out = both.join(numbered, "path", "left")
@@ -104,6 +109,14 @@ def with_duplicates(jobs: DataFrame) -> DataFrame:
     return both.withColumn("duplicate_of", first).select(schema.JOBS.names)
 
 
+def promoted(before: DataFrame, after: DataFrame) -> DataFrame:
+    """after, with those jobs pending that were duplicates before and are originals now: the index does not hold them yet."""
+    was = before.where("status = 'done' and duplicate_of is not null").select("id", F.lit(True).alias("_was"))
+    both = after.join(was, "id", "left")
+    fresh = F.col("_was").isNotNull() & (F.col("status") == "done") & F.col("duplicate_of").isNull()
+    return both.withColumn("status", F.when(fresh, "pending").otherwise(F.col("status"))).select(schema.JOBS.names)
+
+
 def originals(rows: DataFrame, key: str = "checksum", id_col: str = "doc_id") -> DataFrame:
     """First row of every content; rows without a checksum are always originals."""
     blank = F.coalesce(F.col(key), F.lit("")) == ""
@@ -171,3 +184,26 @@ def balanced(sizes: list[tuple[int, int]], workers: int, cap: int = BATCH) -> tu
         if count + 1 < cap:
             heapq.heappush(loads, (total + size, count + 1, w))
     return out, [i for i, _ in ranked[room:]]
+
+
+def rounds(files: DataFrame, workers: int, cap: int = BATCH) -> DataFrame:
+    """(round, worker, id) of all files (id, file_size): rounds of workers * cap, the largest files first, each shared out.
+
+    Rounds come from the files' places in a distributed sort; a round is one small group.
+    """
+    room = workers * cap
+    ranked = files.select("id", F.coalesce("file_size", F.lit(0)).cast("long").alias("size")).repartitionByRange(F.desc("size"), F.asc("id")).sortWithinPartitions(F.desc("size"), F.asc("id"))
+    placed = scratch.written(ranked.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)), "places")
+    before = placed.groupBy("_p").count().withColumn("_b", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = placed.join(F.broadcast(before.select("_p", "_b")), "_p").select(F.floor((F.col("_b") + F.col("_k")) / room).cast("int").alias("round"), "id", "size")  # a row for each partition
+
+    def share(pdf: pd.DataFrame) -> pd.DataFrame:
+        shares, _ = balanced(list(zip(pdf["id"].tolist(), pdf["size"].tolist())), workers, cap)
+        return pd.DataFrame([(pdf["round"].iloc[0], w, i) for w, own in enumerate(shares) for i in own], columns=["round", "worker", "id"])
+
+    return numbered.groupBy("round").applyInPandas(share, "round int, worker int, id long")
+
+
+def distinct_polls(found: DataFrame, sent: DataFrame) -> DataFrame:
+    """Jobs of a poll that no earlier poll has sent, once each."""
+    return found.dropDuplicates(["id"]).join(sent.select("id"), "id", "left_anti")

@@ -105,8 +105,15 @@ def term_offsets(docs: DataFrame, term: str) -> DataFrame:
 
 
 def nearest_pages(pages: DataFrame, centre: Column) -> DataFrame:
-    """Pages by their distance from a viewport's centre."""
-    return pages.orderBy(F.abs(F.col("y_centre") - centre), "page")
+    """Pages (doc_id, page, y_centre) of each document with their place by distance from a viewport's centre."""
+    near = Window.partitionBy("doc_id").orderBy(F.abs(F.col("y_centre") - centre), "page")
+    return pages.withColumn("place", F.row_number().over(near))
+
+
+def ui_boxes(found: DataFrame) -> DataFrame:
+    """The words that a viewer draws: one for each box of a page, the first by offset; in order of page and offset."""
+    first = Window.partitionBy("doc_id", "page", *BOX).orderBy("word_offset")
+    return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").orderBy("doc_id", "page", "word_offset")
 
 
 def group_lines(words: DataFrame) -> DataFrame:

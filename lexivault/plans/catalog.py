@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +31,14 @@ _TOK = _D + ", tok AS (SELECT *, " + _TOKENS.format("content") + " AS toks FROM
 _POST = _TOK + ", post AS (SELECT doc_id, collection_id, path, len(toks) AS dl, unnest(toks) AS term, CAST(generate_subscripts(toks, 1) - 1 AS INTEGER) AS pos FROM tok)"
 _CONV = "cw AS (SELECT conv_id AS doc_id, turn + 1 AS page, unnest(t) AS word_text, generate_subscripts(t, 1) AS i FROM (SELECT *, " + _TOKENS.format("text") + " AS t FROM conversations)), pos AS (SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, i) - 1 AS INTEGER) AS word_offset, word_text FROM cw)"
 _GRID = _POST + ", grid AS (SELECT doc_id, pos AS word_offset, CAST(1 + pos // 250 AS INTEGER) AS page, CAST(50 + 70 * (pos % 250 % 8) AS DOUBLE) AS x_min, CAST(750 - 15 * (pos % 250 // 8) AS DOUBLE) AS y_min, term AS word_text FROM post)"
+#: Known files: one for each document. On disk all of them stand where they stood (l), or every tenth has moved (m).
 _JOBS = (
     _D
     + """, j AS (SELECT d.doc_id + 1 AS id, path, sha256(content) AS checksum, CASE doc_id % 5 WHEN 4 THEN 'error' WHEN 3 THEN 'pending' ELSE 'done' END AS status,
     n_chars < 300 AS ocr_flag, CASE WHEN doc_id % 5 = 4 THEN 'unreadable' END AS error, CAST(doc_id % 3 AS INTEGER) AS ocr_attempts, doc_id * 10 AS file_modified, n_chars AS file_size
-    FROM d JOIN documents USING (doc_id) WHERE doc_id % 10 <> 0),
- l AS (SELECT path, doc_id * 10 + CAST(doc_id % 7 = 0 AS INTEGER) AS file_modified, n_chars AS file_size FROM d JOIN documents USING (doc_id) WHERE doc_id % 17 <> 0)"""
+    FROM d JOIN documents USING (doc_id)),
+ l AS (SELECT path, doc_id * 10 + CAST(doc_id % 7 = 0 AS INTEGER) AS file_modified, n_chars AS file_size FROM d JOIN documents USING (doc_id)),
+ m AS (SELECT CASE WHEN file_modified // 10 % 10 = 0 THEN '/moved' || path ELSE path END AS path, file_modified, file_size FROM l)"""
 )
 
 
@@ -59,9 +62,9 @@ def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known files: all but every tenth document."""
+    """Known files: all documents."""
     i = F.col("doc_id")
-    rows = documents(spark, sf_dir).withColumn("n_chars", F.length("content").cast("long")).where(i % 10 != 0)
+    rows = documents(spark, sf_dir).withColumn("n_chars", F.length("content").cast("long"))
     status = F.when(i % 5 == 4, "error").when(i % 5 == 3, "pending").otherwise("done")
     null = F.lit(None)
     return rows.select(
@@ -70,11 +73,11 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files on disk: all but every seventeenth document; every seventh has been touched."""
+def listing(spark: SparkSession, sf_dir: str, moved: bool = False) -> DataFrame:
+    """Files on disk: all documents; every seventh has been touched. With moved, every tenth stands in another folder."""
     i = F.col("doc_id")
-    rows = documents(spark, sf_dir).where(i % 17 != 0)
-    return rows.select("path", (i * 10 + (i % 7 == 0).cast("int")).alias("file_modified"), F.length("content").cast("long").alias("file_size"))
+    path = F.when(i % 10 == 0, F.concat(F.lit("/moved"), "path")).otherwise(F.col("path")) if moved else F.col("path")
+    return documents(spark, sf_dir).select(path.alias("path"), (i * 10 + (i % 7 == 0).cast("int")).alias("file_modified"), F.length("content").cast("long").alias("file_size"))
 
 
 def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
@@ -91,13 +94,30 @@ _add("corpus_statistics", lambda s, d: lower.corpus_stats(documents(s, d)).selec
 _add("term_offsets", lambda s, d: P.term_offsets(documents(s, d), "license"), f"WITH {_POST} SELECT doc_id, pos AS word_offset FROM post WHERE term = 'license'")
 _add("clean_words", lambda s, d: documents(s, d).select("doc_id", F.sha2(T.clean_word(F.col("content")), 256).alias("clean_sha256")), rf"WITH {_D} SELECT doc_id, sha256(array_to_string(regexp_extract_all(content, '[\p{{L}}\p{{N}}\p{{S}}]+'), ' ')) AS clean_sha256 FROM d")
 _add("single_token_words", lambda s, d: documents(s, d).select(F.explode(F.split("content", r"[ \n]+")).alias("word")).where(F.col("word") != "").groupBy(T.is_token(F.col("word")).alias("is_token")).agg(F.count(F.lit(1)).alias("n_words")), rf"WITH {_D}, w AS (SELECT unnest(regexp_split_to_array(content, '[ \n]+')) AS word FROM d) SELECT regexp_matches(word, '^[\p{{L}}\p{{N}}\p{{S}}]+$') AS is_token, count(*) AS n_words FROM w WHERE word <> '' GROUP BY 1")
-_add("content_checksums", lambda s, d: documents(s, d).select("doc_id", T.checksum(F.col("content")).alias("checksum"), F.crc32(F.col("content").cast("binary")).alias("crc")).select("doc_id", "checksum"), f"WITH {_D} SELECT doc_id, sha256(content) AS checksum FROM d")
+_add("content_checksums", lambda s, d: documents(s, d).select("doc_id", T.checksum(F.col("content")).alias("checksum")), f"WITH {_D} SELECT doc_id, sha256(content) AS checksum FROM d")
 _add("file_names", lambda s, d: documents(s, d).select("doc_id", T.file_name(F.col("path")).alias("file_name"), T.folder(F.col("path")).alias("folder")), rf"WITH {_D} SELECT doc_id, regexp_extract(path, '([^/]+)$', 1) AS file_name, regexp_replace(path, '/?[^/]*$', '') AS folder FROM d")
 _add("page_counts", lambda s, d: documents(s, d).select("doc_id", T.page_count(F.concat(F.lit("Title: x\nPages:   "), F.col("doc_id") % 9, F.lit("\nSize: 1"))).alias("n_pages")), "SELECT doc_id, CAST(greatest(doc_id % 9, 1) AS INTEGER) AS n_pages FROM documents")
 _add("analysers", lambda s, d: table(s, d, "documents").select(F.concat("lang", F.lit("")).alias("lang")).union(s.createDataFrame([("jpn",), ("th",), ("cmn",), ("kor",)], "lang string")).groupBy(T.analyser_for(F.col("lang")).alias("analyser")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN lang IN ('ja', 'jpn') THEN 'ja' WHEN lang IN ('zh', 'cmn') THEN 'zh' WHEN lang IN ('ko', 'kor') THEN 'ko' WHEN lang IN ('th', 'tha') THEN 'th' ELSE 'multilang' END AS analyser, count(*) AS n FROM (SELECT lang FROM documents UNION ALL VALUES ('jpn'), ('th'), ('cmn'), ('kor')) GROUP BY 1")
-_add("normalize_text", lambda s, d: documents(s, d).select("doc_id", T.normalize_text("content").alias("normalized")))
-_add("detect_language", lambda s, d: documents(s, d).select("doc_id", T.detect_language("content").alias("language")))
-_add("page_texts", lambda s, d: table(s, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text")))
+_FLAT = r"regexp_replace(regexp_replace(nfc_normalize(text), '[\t\f\r\v ]+|[\x00-\x09\x0b-\x1f\x7f-\x9f]+', ' ', 'g'), ' {2,}', ' ', 'g')"
+#: SQL knows NFC only, which is the same as NFKC for texts without compatibility characters, as the table's are.
+_add("normalize_text", lambda s, d: documents(s, d).select("doc_id", T.normalize_text("content").alias("normalized")), rf"SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split({_FLAT}, chr(10)), lambda x: trim(x)), chr(10)), '^\s+|\s+$', '', 'g') AS normalized FROM documents")
+
+
+def _language_sql() -> str:
+    own = ", ".join(f"count(*) FILTER (w IN ({', '.join(repr(x) for x in words.split())})) / count(*) AS {lang}" for lang, words in T.STOP_WORDS.items())
+    shares = ", ".join(T.STOP_WORDS)
+    best = " ".join(f"WHEN {lang} = top THEN '{lang}'" for lang in T.STOP_WORDS)
+    return rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(trim(text)), '[\p{{L}}\p{{N}}_]+')) AS w FROM documents),
+ n AS (SELECT doc_id, {own} FROM w GROUP BY doc_id),
+ r AS (SELECT *, list_reverse_sort([{shares}]) AS s, greatest({shares}) AS top FROM n)
+ SELECT doc_id, CASE WHEN strlen(trim(text)) >= {T.MIN_BYTES} AND s[1] - s[2] >= {T.LEAD} THEN CASE {best} END END AS language FROM documents LEFT JOIN r USING (doc_id)"""
+
+
+_add("detect_language", lambda s, d: documents(s, d).select("doc_id", T.detect_language("content").alias("language")), _language_sql())
+_STRIPPED = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+for _entity, _char in T.ENTITIES:
+    _STRIPPED = f"replace({_STRIPPED}, '{_entity}', '{_char}')"
+_add("page_texts", lambda s, d: table(s, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text")), rf"SELECT page_id, trim(regexp_replace({_STRIPPED}, '\s+', ' ', 'g')) AS text FROM pages")
 
 # ---- search ----
 
@@ -169,7 +189,8 @@ _add_search("term_search_bm25_top10", Q.auto_phrase("license"), limit=10)
 _add_search("phrase_search", Q.auto_phrase('"of the"'))
 _add_search("auto_phrase", Q.auto_phrase("public license"))
 _add_search("bool_and", Q.boolean_phrase("license AND the"))
-_add_search("bool_or", Q.boolean_phrase("apache OR mit OR gnu"), limit=10)
+_add_search("bool_or", Q.boolean_phrase("apache OR mit OR gnu"))
+_add_search("bool_or_top10", Q.boolean_phrase("apache OR mit OR gnu"), limit=10)
 _add_search("bool_not", Q.boolean_phrase("license NOT apache"))
 _add_search("plus_minus", Q.boolean_phrase("+license -mit"))
 _add_search("nested_parens", Q.boolean_phrase("(apache OR mit) AND (the OR les) AND license"))
@@ -227,11 +248,39 @@ _add("snippets", _rich)
 
 
 def _groups(s, d):
-    rows = [(i, q, kind, str(f(q)[0])) for i, q in enumerate(["hello", "hello world", '"machine learning" AND "signal processing"', "(hello OR world) -foo", "don't stop"]) for kind, f in (("auto", Q.auto_phrase_groups), ("boolean", Q.boolean_phrase_groups))]
-    return s.createDataFrame(rows, "query_id int, query string, strategy string, phrase_groups string")
+    """Highlight groups of queries made of a quoted benchmark text and a number, by both strategies."""
+    said = F.concat(F.lit('"'), "text", F.lit('" '), F.col("item_id").cast("string")).alias("query")
+    rows = table(s, d, "benchmark").select("item_id", said)
+    auto, boolean = (F.pandas_udf(_said(f), "string") for f in (Q.auto_phrase_groups, Q.boolean_phrase_groups))
+    both = rows.select("item_id", F.lit("auto_phrase").alias("strategy"), auto("query").alias("phrase_groups")).union(rows.select("item_id", F.lit("boolean_phrase"), boolean("query")))
+    return both
+
+
+def _said(groups):
+    def run(queries: pd.Series) -> pd.Series:
+        return queries.map(lambda q: " | ".join(" ".join(g) for g in groups(q)[0]))
+
+    return run
+
+
+_PUNCTUATION = r"""[!"#$%&()*+,./:;<=>?@\[\\\]^_`{|}~-]"""
+_add(
+    "term_groups",
+    _groups,
+    rf"""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '\S+') AS t FROM benchmark),
+ b AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(lower(replace(replace(text, '(', ' '), ')', ' ')), '\S+'), lambda x: regexp_replace(x, '^{_PUNCTUATION}+|{_PUNCTUATION}+$', '', 'g')), lambda x: x <> '') AS t FROM benchmark)
+ SELECT item_id, 'auto_phrase' AS strategy, item_id || ' | ' || array_to_string(t, ' ') AS phrase_groups FROM w UNION ALL SELECT item_id, 'boolean_phrase', array_to_string(t, ' ') || ' | ' || item_id FROM b""",
+)
+
+
+def _with_positions(s, d):
+    """The best hits of a phrase with the boxes of its words."""
+    request = search.SearchInput("public license", limit=10)
+    pipe = search.SearchPipeline(search.ScanEngine(documents(s, d)), [search.TermCollector(), search.PositionEnricher(document_words(s, d))])
+    return pipe.rich(request).select("doc_id", F.round("score", 6).alias("score"), F.size("positions").cast("long").alias("n_positions"), F.element_at("positions", 1)["word_offset"].alias("first_offset"))
 
 
-_add("term_groups", _groups)
+_add("hits_with_positions", _with_positions, f"{search_sql(Q.auto_phrase('public license'))}, best AS (SELECT * FROM hits ORDER BY hits.score DESC, doc_id LIMIT 10) SELECT best.doc_id, round(best.score, 6) AS score, count(*) AS n_positions, CAST(min(p.i) - 1 AS INTEGER) AS first_offset FROM best JOIN (SELECT doc_id, unnest(toks) AS w, generate_subscripts(toks, 1) AS i FROM tok) p ON p.doc_id = best.doc_id WHERE p.w IN ('public', 'license') GROUP BY best.doc_id, best.score")
 
 # ---- positions ----
 
@@ -247,41 +296,25 @@ _add("matching_pages", lambda s, d: P.matching_pages(_found(s, d)), f"WITH {_HIT
 _add("positions_by_page", lambda s, d: P.by_page(_found(s, d)).select("doc_id", "page", F.size("words").cast("long").alias("n_words"), F.element_at("words", 1)["word_offset"].alias("first_offset")), f"WITH {_HITS} SELECT doc_id, page, count(*) AS n_words, min(word_offset) AS first_offset FROM f GROUP BY doc_id, page")
 _add("distinct_boxes", lambda s, d: P.distinct_boxes(document_words(s, d).withColumn("page", F.lit(1)), ["word_offset"]).select("doc_id", "word_offset", "word_text"), f"WITH {_GRID} SELECT doc_id, word_offset, word_text FROM grid QUALIFY row_number() OVER (PARTITION BY doc_id, x_min, y_min ORDER BY word_offset) = 1")
 _add("term_positions", lambda s, d: P.term_positions(document_words(s, d), ["public", "license", "mit"], [["public", "license"], ["mit"]]).select("doc_id", "word_offset", "page", "word_text"), f"WITH {_GRID}, st AS (SELECT a.doc_id, a.page, a.word_offset AS o FROM grid a JOIN grid b ON a.doc_id = b.doc_id AND a.page = b.page AND b.word_offset = a.word_offset + 1 WHERE a.word_text = 'public' AND b.word_text = 'license') SELECT g.doc_id, g.word_offset, g.page, g.word_text FROM st JOIN grid g ON g.doc_id = st.doc_id AND g.page = st.page AND g.word_offset BETWEEN o AND o + 1 UNION SELECT doc_id, word_offset, page, word_text FROM grid WHERE word_text = 'mit'")
+_add("ui_boxes", lambda s, d: P.ui_boxes(document_words(s, d).withColumn("page", F.lit(1))).select("doc_id", "word_offset", "word_text"), f"WITH {_GRID} SELECT doc_id, word_offset, word_text FROM grid QUALIFY row_number() OVER (PARTITION BY doc_id, x_min, y_min ORDER BY word_offset) = 1")
+_add("nearest_pages", lambda s, d: P.nearest_pages(conversation_words(s, d).groupBy("doc_id", "page").agg((F.max("word_offset") / 2.0).alias("y_centre")), F.lit(100.0)).select("doc_id", "page", "place"), f"WITH {_CONV}, y AS (SELECT doc_id, page, max(word_offset) / 2.0 AS y FROM pos GROUP BY doc_id, page) SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY abs(y - 100), page) AS INTEGER) AS place FROM y")
 _add("line_grouping", lambda s, d: P.group_lines(document_words(s, d).where("word_text = 'the'").select("doc_id", "page", F.col("y_min").cast("int").alias("top"), F.col("y_max").cast("int").alias("bottom"))), f"WITH {_GRID} SELECT doc_id, page, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY y_min) - 1 AS INTEGER) AS line, CAST(y_min AS INTEGER) AS top, CAST(y_min + 12 AS INTEGER) AS bottom, CAST(count(*) AS INTEGER) AS n_words FROM grid WHERE word_text = 'the' GROUP BY doc_id, page, y_min")
 
 
 def _chars(s, d):
-    """Characters of documents' first lines of words, 7 wide and 12 high, with a gap for every space and 60 a line."""
-    docs = documents(s, d).select("doc_id", F.substring(F.regexp_replace("content", r"[^A-Za-z .]", ""), 1, 400).alias("t"))
-    c = docs.select("doc_id", F.posexplode(F.split("t", "")).alias("i", "ch")).where("ch <> ''")
-    x, y = (F.col("i") % 60) * 7.0, F.floor(F.col("i") / 60) * 20.0
-    return c.where("ch <> ' '").select("doc_id", F.lit(1).alias("page"), "i", "ch", x.alias("left"), y.alias("top"), (x + 7.0).alias("right"), (y + 12.0).alias("bottom"))
-
-
-_CHARS = r"""c AS (SELECT doc_id, 1 AS page, CAST(i AS INTEGER) AS i, ch, (i % 60) * 7.0 AS "left", (i // 60) * 20.0 AS "top", (i % 60) * 7.0 + 7 AS "right", (i // 60) * 20.0 + 12 AS "bottom"
-  FROM (SELECT doc_id, unnest(range(length(t))) AS i, t[i + 1] AS ch FROM (SELECT doc_id, substr(regexp_replace(text, '[^A-Za-z .]', '', 'g'), 1, 400) AS t FROM documents)) WHERE ch <> ' '),
- g AS (SELECT *, lag("bottom") OVER w AS pb, lag("right") OVER w AS pr FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
- k AS (SELECT *, sum(CASE WHEN pb IS NULL OR abs("bottom" - pb) > 0.7 * 12 OR "left" - pr > 1.5 * 7 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS word_id FROM g)"""
-_CHARS = _CHARS.replace("SELECT doc_id, unnest(range(length(t))) AS i, t[i + 1] AS ch FROM (", "SELECT doc_id, i, t[i + 1] AS ch FROM (SELECT doc_id, t, unnest(range(length(t))) AS i FROM (").replace("400) AS t FROM documents)) WHERE", "400) AS t FROM documents))) WHERE")
-_boxed = lambda df: df.select("doc_id", "page", F.col("word_id").cast("long").alias("word_id"), "word_text", "x_min", "y_min", "x_max", "y_max")
-_add("char_gap_words", lambda s, d: W.words(W.segment(_chars(s, d))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.max(F.length("word_text")).cast("long").alias("longest")), f"WITH {_CHARS} SELECT doc_id, count(*) AS n_words, max(n) AS longest FROM (SELECT doc_id, word_id, count(*) AS n FROM k GROUP BY ALL) GROUP BY doc_id")
-_add("box_union", lambda s, d: _boxed(W.words(W.segment(_chars(s, d)))), f"WITH {_CHARS} SELECT doc_id, page, CAST(word_id AS BIGINT) AS word_id, string_agg(ch, '' ORDER BY i) AS word_text, CAST(min(\"left\") AS DOUBLE) AS x_min, CAST(min(\"top\") AS DOUBLE) AS y_min, CAST(max(\"right\") AS DOUBLE) AS x_max, CAST(max(\"bottom\") AS DOUBLE) AS y_max FROM k GROUP BY doc_id, page, word_id")
-
-
-
-def _whole_chars(s, d):
     """All characters of whole texts, white space among them: 7 wide and 12 high, 60 a line, 40 lines a page."""
     c = documents(s, d).select("doc_id", F.posexplode(F.regexp_extract_all("content", F.lit("(?s)."), F.lit(0))).alias("i", "ch"))
     x, y = (F.col("i") % 60) * 7.0, F.floor(F.col("i") % 2400 / 60) * 20.0
     return c.select("doc_id", F.floor(1 + F.col("i") / 2400).cast("int").alias("page"), "i", "ch", x.alias("left"), y.alias("top"), (x + 7.0).alias("right"), (y + 12.0).alias("bottom"))
 
 
-_WHOLE = r"""c AS (SELECT doc_id, generate_subscripts(t, 1) - 1 AS i, unnest(t) AS ch FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS t FROM documents)),
+_CHARS = r"""c AS (SELECT doc_id, generate_subscripts(t, 1) - 1 AS i, unnest(t) AS ch FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS t FROM documents)),
  p AS (SELECT doc_id, CAST(1 + i // 2400 AS INTEGER) AS page, i, ch, (i % 60) * 7.0 AS x, (i % 2400 // 60) * 20.0 AS y, NOT regexp_matches(ch, '^[\x09-\x0D\x20]$') AS solid FROM c),
  n AS (SELECT *, solid AND (i % 60 = 0 OR NOT lag(solid, 1, false) OVER (PARTITION BY doc_id, page ORDER BY i)) AS fresh FROM p),
  k AS (SELECT *, CAST(sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id, page ORDER BY i) AS BIGINT) AS word_id FROM n)"""
-_add("char_gap_words_whole", lambda s, d: W.words(W.segment(_whole_chars(s, d))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.max(F.length("word_text")).cast("long").alias("longest")), f"WITH {_WHOLE} SELECT doc_id, count(*) AS n_words, max(n) AS longest FROM (SELECT doc_id, page, word_id, count(*) AS n FROM k WHERE solid GROUP BY ALL) GROUP BY doc_id")
-_add("box_union_whole", lambda s, d: _boxed(W.words(W.segment(_whole_chars(s, d)))), f"WITH {_WHOLE} SELECT doc_id, page, word_id, string_agg(ch, '' ORDER BY i) AS word_text, CAST(min(x) AS DOUBLE) AS x_min, CAST(min(y) AS DOUBLE) AS y_min, CAST(max(x) + 7 AS DOUBLE) AS x_max, CAST(max(y) + 12 AS DOUBLE) AS y_max FROM k WHERE solid GROUP BY doc_id, page, word_id")
+_boxed = lambda df: df.select("doc_id", "page", F.col("word_id").cast("long").alias("word_id"), "word_text", "x_min", "y_min", "x_max", "y_max")
+_add("char_gap_words", lambda s, d: W.words(W.segment(_chars(s, d))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.max(F.length("word_text")).cast("long").alias("longest")), f"WITH {_CHARS} SELECT doc_id, count(*) AS n_words, max(n) AS longest FROM (SELECT doc_id, page, word_id, count(*) AS n FROM k WHERE solid GROUP BY ALL) GROUP BY doc_id")
+_add("box_union", lambda s, d: _boxed(W.words(W.segment(_chars(s, d)))), f"WITH {_CHARS} SELECT doc_id, page, word_id, string_agg(ch, '' ORDER BY i) AS word_text, CAST(min(x) AS DOUBLE) AS x_min, CAST(min(y) AS DOUBLE) AS y_min, CAST(max(x) + 7 AS DOUBLE) AS x_max, CAST(max(y) + 12 AS DOUBLE) AS y_max FROM k WHERE solid GROUP BY doc_id, page, word_id")
 
 # ---- geometry ----
 
@@ -316,8 +349,19 @@ _add("ui_coordinate_map", _layout, "SELECT doc_id, (doc_id % 500) * 2.0::DOUBLE
 
 # ---- files and jobs ----
 
-_add("scan_changes", lambda s, d: J.changed(listing(s, d), jobs(s, d)), f"WITH {_JOBS} SELECT l.path, l.file_modified, l.file_size FROM l LEFT JOIN j ON l.path = j.path WHERE j.path IS NULL OR l.file_modified <> j.file_modified OR l.file_size <> j.file_size OR j.status IN ('error', 'extracting')")
-_add("orphans", lambda s, d: J.orphans(jobs(s, d), listing(s, d)).select("id", "path"), f"WITH {_JOBS} SELECT id, path FROM j WHERE path NOT IN (SELECT path FROM l)")
+_add("scan_changes", lambda s, d: J.changed(listing(s, d, True), jobs(s, d)), f"WITH {_JOBS} SELECT m.path, m.file_modified, m.file_size FROM m LEFT JOIN j ON m.path = j.path WHERE j.path IS NULL OR m.file_modified <> j.file_modified OR m.file_size <> j.file_size OR j.status IN ('error', 'extracting')")
+_add("orphans", lambda s, d: J.orphans(jobs(s, d), listing(s, d, True)).select("id", "path"), f"WITH {_JOBS} SELECT id, path FROM j WHERE path NOT IN (SELECT path FROM m)")
+
+
+def _promoted(s, d):
+    """Copies that become originals when the files that have moved are dropped."""
+    known = J.with_duplicates(jobs(s, d))
+    left = J.orphans(known, listing(s, d, True))
+    left = known.join(left.select("id"), "id", "left_anti")
+    return J.promoted(left, J.with_duplicates(left)).join(known.where("status = 'done'").select("id"), "id", "left_semi").where("status = 'pending'").select("id", "checksum")
+
+
+_add("promoted_originals", _promoted, f"WITH {_JOBS}, f AS (SELECT checksum, min(id) AS first FROM j WHERE status = 'done' GROUP BY checksum), a AS (SELECT checksum, min(id) AS id FROM j WHERE status = 'done' AND path IN (SELECT path FROM m) GROUP BY checksum) SELECT id, checksum FROM a JOIN f USING (checksum) WHERE id > first")
 _add("dedup_originals", lambda s, d: J.originals(documents(s, d).withColumn("checksum", T.checksum(F.col("content")))).select("doc_id", "checksum"), f"WITH {_D} SELECT min(doc_id) AS doc_id, sha256(content) AS checksum FROM d GROUP BY 2")
 _add("duplicate_of", lambda s, d: J.with_duplicates(jobs(s, d)).select("id", "duplicate_of"), f"WITH {_JOBS}, f AS (SELECT checksum, min(id) AS first FROM j WHERE status = 'done' GROUP BY checksum) SELECT id, CASE WHEN status = 'done' AND first < id THEN first END AS duplicate_of FROM j LEFT JOIN f USING (checksum)")
 _add("original_lookup", lambda s, d: J.original_by_checksum(J.with_duplicates(jobs(s, d))), f"WITH {_JOBS} SELECT checksum, min(id) AS id, arg_min(path, id) AS path FROM j WHERE status = 'done' GROUP BY checksum")
@@ -342,32 +386,21 @@ def _events(s, d):
 
 
 _add("job_events", _events, f"WITH {_JOBS} SELECT id, CASE l.file_size % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'error' WHEN 2 THEN 'extracting' ELSE status END AS status, CASE WHEN l.path IS NULL THEN error WHEN l.file_size % 3 = 1 THEN 'broken' END AS error, CASE WHEN l.file_size % 3 = 0 THEN false ELSE ocr_flag END AS ocr_flag FROM j LEFT JOIN l ON j.path = l.path")
-_add("upsert_jobs", lambda s, d: J.upsert_pending(jobs(s, d), J.changed(listing(s, d), jobs(s, d))).select("id", "path", "status", "error", "file_modified", "file_size"), f"WITH {_JOBS}, ch AS (SELECT l.* FROM l LEFT JOIN j ON l.path = j.path WHERE j.path IS NULL OR l.file_modified <> j.file_modified OR l.file_size <> j.file_size OR j.status = 'error'), mx AS (SELECT max(id) AS m FROM j) SELECT coalesce(j.id, m + row_number() OVER (PARTITION BY j.id IS NULL ORDER BY ch.path)) AS id, coalesce(j.path, ch.path) AS path, CASE WHEN ch.path IS NULL THEN status ELSE 'pending' END AS status, CASE WHEN ch.path IS NULL THEN error END AS error, coalesce(ch.file_modified, j.file_modified) AS file_modified, coalesce(ch.file_size, j.file_size) AS file_size FROM j FULL JOIN ch ON j.path = ch.path CROSS JOIN mx")
-_add("upsert_checksums", lambda s, d: J.upsert_checksums(jobs(s, d), documents(s, d).where("doc_id % 3 = 0").select("path", F.when(F.col("doc_id") % 2 == 0, "new").otherwise(F.sha2("content", 256)).alias("checksum"))).select("id", "checksum", "status", "error"), f"WITH {_JOBS} SELECT id, CASE WHEN (id - 1) % 6 = 0 THEN 'new' ELSE checksum END AS checksum, CASE WHEN (id - 1) % 6 = 0 THEN 'pending' ELSE status END AS status, CASE WHEN (id - 1) % 6 <> 0 THEN error END AS error FROM j")
+_add("upsert_jobs", lambda s, d: J.upsert_pending(jobs(s, d), J.changed(listing(s, d, True), jobs(s, d))).select("id", "path", "status", "error", "file_modified", "file_size"), f"WITH {_JOBS}, ch AS (SELECT m.* FROM m LEFT JOIN j ON m.path = j.path WHERE j.path IS NULL OR m.file_modified <> j.file_modified OR m.file_size <> j.file_size OR j.status = 'error'), mx AS (SELECT max(id) AS m FROM j) SELECT coalesce(j.id, m + row_number() OVER (PARTITION BY j.id IS NULL ORDER BY ch.path)) AS id, coalesce(j.path, ch.path) AS path, CASE WHEN ch.path IS NULL THEN status ELSE 'pending' END AS status, CASE WHEN ch.path IS NULL THEN error END AS error, coalesce(ch.file_modified, j.file_modified) AS file_modified, coalesce(ch.file_size, j.file_size) AS file_size FROM j FULL JOIN ch ON j.path = ch.path CROSS JOIN mx")
+_add("upsert_checksums", lambda s, d: J.upsert_checksums(jobs(s, d), documents(s, d).select("path", F.when(F.col("doc_id") % 6 == 0, "new").otherwise(F.sha2("content", 256)).alias("checksum"))).select("id", "checksum", "status", "error"), f"WITH {_JOBS} SELECT id, CASE WHEN (id - 1) % 6 = 0 THEN 'new' ELSE checksum END AS checksum, CASE WHEN (id - 1) % 6 = 0 THEN 'pending' ELSE status END AS status, CASE WHEN (id - 1) % 6 <> 0 THEN error END AS error FROM j")
 _add("ids_for_paths", lambda s, d: J.ids_for_paths(jobs(s, d), listing(s, d).where("file_size < 500")), f"WITH {_JOBS} SELECT id, path FROM j WHERE path IN (SELECT path FROM l WHERE file_size < 500)")
 _add("catalog_stats", lambda s, d: documents(s, d).groupBy("collection_id").agg(F.count(F.lit(1)).alias("doc_count"), F.sum(F.length("content").cast("long")).alias("n_chars")), "SELECT source AS collection_id, count(*) AS doc_count, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY source")
 
 
-def _batches(s, d):
-    """Shares of the next round of pending files; a round is bounded by workers times batch."""
-    workers = 4
-    rows = [(r["id"], r["file_size"]) for r in J.claim(jobs(s, d), 2 * workers * J.BATCH).collect()]
-    shares, rest = J.balanced(rows, workers)
-    return s.createDataFrame([(w, i) for w, own in enumerate(shares) for i in own] + [(-1, i) for i in rest], "worker int, id long")
-
-
-_add("greedy_batches", _batches)
+_add("greedy_batches", lambda s, d: J.rounds(jobs(s, d).where("status = 'pending'"), 4))
 
 
 def _stream(s, d):
     """Documents as a stream of files, duplicates of earlier ones left out, into a versioned table; then that table."""
-    import tempfile
-    import uuid
-
+    from ..sources import scratch
     from ..sources.store import Store
 
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lexivault-")
-    base = f"{base}/stream-{uuid.uuid4().hex}"
+    base = scratch.fresh(s, "stream")
     store = Store(s, base)
     source = s.readStream.schema(table(s, d, "documents").schema).parquet(f"{d}/documents.parquet*")
     shape = table(s, d, "documents").select("doc_id", "text").withColumn("checksum", F.lit("")).schema
@@ -375,7 +408,7 @@ def _stream(s, d):
     def batch(rows, number):
         new = J.originals(rows.select("doc_id", "text", T.checksum(F.col("text")).alias("checksum")))
         old = store.read("originals", shape)
-        store.write("originals", old.unionByName(new.join(old.select("checksum"), "checksum", "left_anti").select(shape.names)))
+        store.write("originals", new.join(old.select("checksum"), "checksum", "left_anti").select(shape.names), append=True)
 
     q = source.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()

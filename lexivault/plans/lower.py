@@ -28,6 +28,15 @@ def idf(total: int, holding: int) -> float:
     return math.log(1 + (total - holding + 0.5) / (holding + 0.5))
 
 
+#: Leaves whose score is the constant 1.
+UNSCORED = (Q.Regex, Q.OneOf)
+
+
+def _is(term: Column, leaf: object) -> Column:
+    """Whether a term is one that such a leaf stands for."""
+    return term.isin(list(leaf.terms)) if isinstance(leaf, Q.OneOf) else term.rlike(f"^(?:{leaf.pattern})$")
+
+
 def _tf(leaf: object, tokens: Column) -> Column:
     """Occurrences of a leaf in a token array."""
     if isinstance(leaf, Q.Term):
@@ -40,8 +49,8 @@ def _tf(leaf: object, tokens: Column) -> Column:
         hit = lambda x: reduce(lambda a, b: a & b, [x[f"t{i}"] == t for i, t in enumerate(leaf.terms)])
         padded = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
         return F.when(padded.contains(" " + " ".join(leaf.terms) + " "), F.size(F.filter(zipped, hit))).otherwise(0)
-    if isinstance(leaf, Q.Regex):
-        return F.size(F.filter(tokens, lambda x: x.rlike(f"^(?:{leaf.pattern})$")))
+    if isinstance(leaf, UNSCORED):
+        return F.size(F.filter(tokens, lambda x: _is(x, leaf)))
     raise Q.QueryError(f"cannot count {leaf!r}")
 
 
@@ -61,12 +70,12 @@ def matches(query: object, of: dict[object, Column]) -> Column:
 
 
 def _expanded(query: object, vocabulary) -> object:
-    """Fuzzy leaves become alternatives of the terms they stand for, looked up in the vocabulary."""
+    """Fuzzy leaves become the terms they stand for; vocabulary(keep) gives distinct terms (term) that a filter keeps."""
     if isinstance(query, Q.Fuzzy):
-        words = vocabulary()
-        found = words.where(T.edit_distance(query.text)(F.col("term")) <= query.distance) if query.distance else words.where(F.col("term") == query.text)
-        near = sorted(_literal(r["term"]) for r in found.collect())  # terms within a few edits of one word
-        return Q.Regex("|".join(near)) if near else Q.Nothing()
+        maybe = vocabulary(T.maybe_near(F.col("term"), query.text, query.distance))
+        found = maybe.where(T.edit_distance(query.text)(F.col("term")) <= query.distance)
+        near = tuple(sorted(r["term"] for r in found.collect()))  # terms within two edits of one word
+        return Q.OneOf(near) if near else Q.Nothing()
     if isinstance(query, Q.Bool):
         return Q.Bool(*[tuple(_expanded(q, vocabulary) for q in side) for side in (query.must, query.should, query.must_not)])
     if isinstance(query, Q.Boost):
@@ -74,10 +83,6 @@ def _expanded(query: object, vocabulary) -> object:
     return query
 
 
-def _literal(term: str) -> str:
-    return "".join("\\" + c if not c.isalnum() else c for c in term)
-
-
 def path_filter(pattern: str | None) -> Column | None:
     """The whole path must match; no pattern, no filter."""
     if not pattern:
@@ -105,9 +110,9 @@ def scan(docs: DataFrame, query: object, path: str | None = None, per_collection
     if "collection_id" not in docs.columns:
         docs = docs.withColumn("collection_id", F.lit(None).cast("string"))
     base = docs.select("collection_id", "doc_id", "path", T.tokens(F.col("content")).alias("tokens"))
-    query = _expanded(query, lambda: base.select(F.explode("tokens").alias("term")).distinct())
+    query = _expanded(query, lambda keep: base.select(F.explode("tokens").alias("term")).where(keep).distinct())
     all_leaves = list(dict.fromkeys(Q.all_leaves(query)))
-    scored = [(x, w) for x, w in Q.leaves(query) if not isinstance(x, Q.Regex)]
+    scored = [(x, w) for x, w in Q.leaves(query) if not isinstance(x, UNSCORED)]
     terms = sorted({t for x, _ in scored for t in ([x.text] if isinstance(x, Q.Term) else x.terms)})
     counts = {x: f"_tf{i}" for i, x in enumerate(all_leaves)}
     slim = base.select("collection_id", "doc_id", "path", F.size("tokens").alias("_dl"), *[_tf(x, F.col("tokens")).alias(c) for x, c in counts.items()])
@@ -131,7 +136,7 @@ def scan(docs: DataFrame, query: object, path: str | None = None, per_collection
             own = [x.text] if isinstance(x, Q.Term) else x.terms
             out = out + F.lit(w) * score(F.col(counts[x]), F.col("_dl"), avg, reduce(lambda a, b: a + b, [weight[t] for t in own]))
     for x, w in Q.leaves(query):
-        if isinstance(x, Q.Regex):
+        if isinstance(x, UNSCORED):
             out = out + F.when(F.col(counts[x]) > 0, F.lit(float(w))).otherwise(F.lit(0.0))
     return hit.select("collection_id", "doc_id", "path", out.alias("score"))
 
@@ -157,30 +162,30 @@ def search_postings(index: DataFrame, stats: DataFrame, query: object) -> DataFr
     Only rows of the query's terms are read (the index is sorted by term); one aggregation by document follows.
     """
     _check(query)
-    query = _expanded(query, lambda: index.select("term").distinct())
+    query = _expanded(query, lambda keep: index.select("term").where(keep).distinct())
     all_leaves = list(dict.fromkeys(Q.all_leaves(query)))
     if not all_leaves:
         raise Q.QueryError("match-all needs the document table, not the index")
-    terms = sorted({t for x in all_leaves if not isinstance(x, Q.Regex) for t in ([x.text] if isinstance(x, Q.Term) else x.terms)})
+    terms = sorted({t for x in all_leaves if not isinstance(x, UNSCORED) for t in ([x.text] if isinstance(x, Q.Term) else x.terms)})
     wanted = F.col("term").isin(terms)
     for x in all_leaves:
-        if isinstance(x, Q.Regex):
-            wanted = wanted | F.col("term").rlike(f"^(?:{x.pattern})$")
+        if isinstance(x, UNSCORED):
+            wanted = wanted | _is(F.col("term"), x)
     rows = index.where(wanted)
     name = {t: i for i, t in enumerate(terms)}
     empty = F.array().cast("array<int>")
-    regexes = [x for x in all_leaves if isinstance(x, Q.Regex)]
+    regexes = [x for x in all_leaves if isinstance(x, UNSCORED)]
     by_doc = rows.groupBy("collection_id", "doc_id").agg(
         F.max("doc_length").alias("_dl"),
         *[F.coalesce(F.max(F.when(F.col("term") == t, F.col("positions"))), empty).alias(f"_p{i}") for t, i in name.items()],
-        *[F.sum(F.col("term").rlike(f"^(?:{x.pattern})$").cast("int")).alias(f"_r{i}") for i, x in enumerate(regexes)],
+        *[F.sum(F.when(_is(F.col("term"), x), F.col("tf")).otherwise(0)).alias(f"_r{i}") for i, x in enumerate(regexes)],
     )
     df = rows.groupBy("collection_id").agg(*[F.sum((F.col("term") == t).cast("long")).alias(f"_df{i}") for t, i in name.items()]) if terms else None
 
     def tf(x):
         if isinstance(x, Q.Term):
             return F.size(f"_p{name[x.text]}")
-        if isinstance(x, Q.Regex):
+        if isinstance(x, UNSCORED):
             return F.col(f"_r{regexes.index(x)}")
         starts = F.col(f"_p{name[x.terms[0]]}")
         for j, t in enumerate(x.terms[1:], 1):
@@ -194,7 +199,7 @@ def search_postings(index: DataFrame, stats: DataFrame, query: object) -> DataFr
             hit = hit.join(side.withColumnRenamed("collection_id", "_c"), F.col("collection_id").eqNullSafe(F.col("_c"))).drop("_c")
     out = F.lit(0.0)
     for x, w in Q.leaves(query):
-        if isinstance(x, Q.Regex):
+        if isinstance(x, UNSCORED):
             out = out + F.when(of[x] > 0, F.lit(float(w))).otherwise(F.lit(0.0))
             continue
         n = F.col("n_docs")

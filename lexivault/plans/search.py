@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import re
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -28,28 +29,53 @@ class SearchInput:
     clauses: list[tuple[str, str]] | None = None
 
     @classmethod
-    def from_json(cls, text: str) -> SearchInput:
-        """Unknown strategies fall back to auto_phrase."""
+    def from_json(cls, text: str, builders: tuple[str, ...] = ()) -> SearchInput:
+        """Unknown strategies fall back to auto_phrase; builders are names of further ones."""
         got = json.loads(text)
         out = cls(got.get("query", ""), int(got.get("limit", 50)), int(got.get("offset", 0)), got.get("path_filter"), got.get("strategy", "auto_phrase"), got.get("collection_id"))
-        if out.strategy not in Q.STRATEGIES:
+        if out.strategy not in Q.STRATEGIES and out.strategy not in builders:
             out.strategy = "auto_phrase"
         return out
 
-    def tree(self) -> object:
+    def tree(self, builders: dict[str, QueryBuilder] | None = None) -> object:
         if self.clauses:
             return Q.structured(self.clauses)
-        tree = Q.STRATEGIES[self.strategy](self.query)
+        builder = (builders or {}).get(self.strategy) or StrategyBuilder(self.strategy)
+        tree = builder.build(self.query)
         return Q.All() if tree == Q.Nothing() and self.path_filter and not self.query.strip() else tree
 
 
 class QueryBuilder(ABC):
-    """Turns a query string into a tree."""
+    """Turns a query string into a tree; its name is a strategy of requests."""
+
+    name = ""
 
     @abstractmethod
     def build(self, text: str) -> object: ...
 
 
+class StrategyBuilder(QueryBuilder):
+    """One of the query language's own strategies."""
+
+    def __init__(self, name: str):
+        if name not in Q.STRATEGIES:
+            raise Q.UnknownStrategy(name)
+        self.name = name
+
+    def build(self, text):
+        return Q.STRATEGIES[self.name](text)
+
+
+class KindBuilder(QueryBuilder):
+    """The viewer's kinds of queries: standard, fuzzy, regex, phrase."""
+
+    def __init__(self, kind: str):
+        self.name = kind
+
+    def build(self, text):
+        return Q.by_kind(self.name, text)
+
+
 class SearchEngine(ABC):
     """Runs a tree over a corpus."""
 
@@ -75,16 +101,20 @@ class IndexEngine(SearchEngine):
         self.docs, self.index, self.stats = docs, index, stats
 
     def search(self, tree, path_filter=None):
-        paths = self.docs.select("doc_id", "path")
+        paths = self.docs.select(*[c for c in ("collection_id", "doc_id", "path") if c in self.docs.columns])
+        if "collection_id" not in paths.columns:
+            paths = paths.withColumn("collection_id", F.lit(None).cast("string"))
         keep = lower.path_filter(path_filter)
         if keep is not None:
             paths = paths.where(keep)
-        if isinstance(tree, Q.All):
-            return paths.select(F.lit(None).cast("string").alias("collection_id"), "doc_id", "path", F.lit(0.0).alias("score"))
-        if isinstance(tree, Q.Nothing):
-            return paths.limit(0).select(F.lit(None).cast("string").alias("collection_id"), "doc_id", "path", F.lit(0.0).alias("score"))
-        hits = lower.search_postings(self.index, self.stats, tree)
-        return hits.join(paths, "doc_id").select("collection_id", "doc_id", "path", "score")
+        if isinstance(tree, (Q.All, Q.Nothing)):
+            paths = paths if isinstance(tree, Q.All) else paths.limit(0)
+            return paths.select("collection_id", "doc_id", "path", F.lit(0.0).alias("score"))
+        hits = lower.search_postings(self.index, self.stats, tree).alias("h")
+        same = F.col("h.doc_id") == F.col("p.doc_id")
+        if "collection_id" in self.docs.columns:
+            same = same & F.col("h.collection_id").eqNullSafe(F.col("p.collection_id"))
+        return hits.join(paths.alias("p"), same).select("h.collection_id", "h.doc_id", "p.path", "h.score")
 
 
 class ResultEnricher(ABC):
@@ -137,7 +167,8 @@ class Snippets(ResultEnricher):
         self.docs, self.width = docs, width
 
     def enrich(self, hits, request):
-        terms, width = [t for x in Q.all_leaves(request.tree()) for t in ([x.text] if isinstance(x, Q.Term) else getattr(x, "terms", ()))], self.width
+        tree = request.tree() if request.clauses or request.strategy in Q.STRATEGIES else Q.boolean_phrase(request.query)
+        terms, width = [t for x in Q.all_leaves(tree) for t in ([x.text] if isinstance(x, Q.Term) else getattr(x, "terms", ()))], self.width
 
         @F.pandas_udf("string")
         def cut(texts: pd.Series) -> pd.Series:
@@ -181,10 +212,11 @@ class SearchPipeline:
     engine: SearchEngine
     enrichers: list[ResultEnricher] = field(default_factory=list)
     log: Callable[[str], None] | None = None
+    builders: dict[str, QueryBuilder] = field(default_factory=dict)
 
     def hits(self, request: SearchInput) -> DataFrame:
         """All matching rows with scores."""
-        return self.engine.search(request.tree(), request.path_filter)
+        return self.engine.search(request.tree(self.builders), request.path_filter)
 
     def page(self, request: SearchInput) -> DataFrame:
         return lower.top(self.hits(request), request.limit, request.offset)
@@ -212,9 +244,25 @@ class SearchPipeline:
 def federated(docs: DataFrame, tree: object, boosts: DataFrame | None = None, limit: int = 50, offset: int = 0, path_filter: str | None = None) -> DataFrame:
     """The best hits of all collections: statistics of each its own, scores times the collection's boost (1 if it has none)."""
     hits = lower.scan(docs, tree, path_filter, per_collection=True)
-    if boosts is not None:
-        hits = hits.join(boosts, "collection_id", "left").withColumn("score", F.col("score") * F.coalesce("boost", F.lit(1.0))).drop("boost")
-    return lower.top(hits, limit, offset)
+    return lower.top(hits if boosts is None else boosted(hits, boosts), limit, offset)
+
+
+def boosted(hits: DataFrame, boosts: DataFrame) -> DataFrame:
+    """Scores times the collection's boost (collection_id, boost); 1 if it has none."""
+    return hits.join(boosts, "collection_id", "left").withColumn("score", F.col("score") * F.coalesce("boost", F.lit(1.0))).drop("boost")
+
+
+#: Fixed value: what a snippet marks.
+MARKED = r"<b>(.*?)</b>"
+
+
+def snippet_runs(snippet: str) -> list[tuple[str, bool]]:
+    """A marked snippet as runs of plain text, and whether each is marked."""
+    out, last = [], 0
+    for m in re.finditer(MARKED, snippet, re.S):
+        out += [(snippet[last : m.start()], False), (m[1], True)]
+        last = m.end()
+    return [(html.unescape(t), b) for t, b in [*out, (snippet[last:], False)] if t]
 
 
 def weighted_fields(docs: DataFrame, text: str, weights: dict[str, float], path_filter: str | None = None) -> DataFrame:

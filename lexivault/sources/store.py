@@ -1,21 +1,34 @@
-"""Versioned Parquet tables: write a new version, then move a small pointer; readers keep the version they resolved.
+"""Versioned Parquet tables made of segments: writes append, deletions are lists of keys, and small segments merge.
+
+A table's state is one small file, ``manifest.<version>``: its segments, and the lists of deleted keys with the version
+from which on they hold. A write makes its segment (and list of keys) first and the next manifest last, whole under another
+name and then renamed; so a crash at any point leaves the version before in force, and readers keep the version they
+resolved. A segment merges with the one before while that is not twice as large, so there are few, and a row is rewritten
+a logarithmic number of times. One writer at a time; a second one fails at the rename.
 
-One writer at a time. A crash before the pointer moves leaves the old version in force; the unfinished one is overwritten.
 All files are reached through Hadoop's file systems, so tables may live wherever Spark reads.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import SCHEMA_VERSION
 
+#: Versions whose files are kept for readers.
+KEPT = 3
+_EMPTY = {"version": 0, "schema": None, "sort": [], "segments": [], "gone": []}
+
 
 class Store:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
+        self._made: list[str] = []
 
     def _path(self, *parts: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.base, *parts)))
@@ -23,79 +36,153 @@ class Store:
     def _fs(self, path):
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, table: str) -> tuple[int, int | None]:
-        path = self._path(table, "CURRENT")
+    # Manifests
+
+    def _versions(self, table: str) -> list[int]:
+        path = self._path(table)
         fs = self._fs(path)
-        if not fs.exists(path):
-            return 0, None
-        stream = fs.open(path)
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n[9:]) for n in names if n.startswith("manifest.") and n[9:].isdigit())
+
+    def _manifest(self, table: str, version: int | None = None) -> dict:
+        known = [version] if version is not None else self._versions(table)
+        if not known:
+            return dict(_EMPTY)
+        path = self._path(table, f"manifest.{known[-1]}")
+        stream = self._fs(path).open(path)
         try:
-            version, shape = bytes(stream.readAllBytes()).decode().split()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
-        return int(version), int(shape)
+
+    def _commit(self, table: str, state: dict) -> int:
+        """Puts the next version in force, and removes what only versions no longer kept refer to."""
+        known = self._versions(table)
+        new, now = self._path(table, f"manifest.new-{uuid.uuid4().hex}"), self._path(table, f"manifest.{state['version']}")
+        fs = self._fs(now)
+        stream = fs.create(new, True)
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        if fs.exists(now) or not fs.rename(new, now):
+            raise RuntimeError(f"another writer put version {state['version']} of {table} in force")
+        dirs = lambda m: {x["dir"] for x in m["segments"] + m["gone"]}
+        old, kept = known[: -(KEPT - 1)], known[-(KEPT - 1) :]
+        if old:
+            used = dirs(state).union(*[dirs(self._manifest(table, v)) for v in kept])
+            for v in old:
+                for d in dirs(self._manifest(table, v)) - used:
+                    fs.delete(self._path(table, d), True)
+                fs.delete(self._path(table, f"manifest.{v}"), False)
+        return state["version"]
 
     def version(self, table: str) -> int:
         """Version in force; 0 if the table is new."""
-        return self._pointer(table)[0]
+        return (self._versions(table) or [0])[-1]
 
     def schema_version(self, table: str) -> int | None:
         """Layout that the version in force was written with; null if the table is new."""
-        return self._pointer(table)[1]
+        return self._manifest(table)["schema"]
+
+    # Reading
 
     def read(self, table: str, schema: T.StructType) -> DataFrame:
         """The table as it stands now, with the columns of schema (new ones null); empty if it is new."""
-        v = self.version(table)
-        if not v:
-            return self.spark.createDataFrame([], schema)
-        got = self.spark.read.parquet(f"{self.base}/{table}/v={v}")
-        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in got.columns]
-        return got.select("*", *missing).select([F.col(f.name).cast(f.dataType) for f in schema])
-
-    def write(self, table: str, rows: DataFrame, sort: tuple[str, ...] = (), partitions: tuple[str, ...] = ()) -> int:
-        """Writes rows as the next version and puts it in force."""
-        v = self.version(table) + 1
+        state = self._manifest(table)
+        out = self._live(table, state, state["segments"], schema)
+        return self.spark.createDataFrame([], schema) if out is None else out
+
+    def _live(self, table: str, state: dict, segments: list[dict], schema: T.StructType | None) -> DataFrame | None:
+        """Rows of the segments that no later list of keys names; segments that the same lists concern are read together."""
+        out, groups = None, {}
+        for s in segments:
+            groups.setdefault(tuple(g["dir"] for g in state["gone"] if g["version"] > s["version"]), []).append(s)
+        for gone, own in groups.items():
+            shapes = {s["schema"] for s in own}
+            got = self.spark.read.option("mergeSchema", len(shapes) > 1).parquet(*[f"{self.base}/{table}/{s['dir']}" for s in own])
+            for d in gone:
+                keys = self.spark.read.parquet(f"{self.base}/{table}/{d}")
+                got = got.join(keys.distinct(), keys.columns, "left_anti")
+            if schema is not None:
+                missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in got.columns]
+                got = got.select("*", *missing).select([F.col(f.name).cast(f.dataType) for f in schema])
+            out = got if out is None else out.unionByName(got, allowMissingColumns=True)
+        return out
+
+    # Writing
+
+    def _fresh(self, kind: str) -> str:
+        """A new folder's name, noted as made by the write at hand."""
+        self._made.append(f"{kind}-{uuid.uuid4().hex}")
+        return self._made[-1]
+
+    def _segment(self, table: str, rows: DataFrame, sort: list[str], version: int, partitions: tuple[str, ...] = ()) -> dict:
+        name = self._fresh("segment")
         out = rows.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else rows
-        writer = out.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(*partitions) if partitions else writer).parquet(f"{self.base}/{table}/v={v}")
-        self._point(table, v)
+        writer = out.write.option("compression", "zstd")
+        (writer.partitionBy(*partitions) if partitions else writer).parquet(f"{self.base}/{table}/{name}")
+        return {"dir": name, "version": version, "schema": SCHEMA_VERSION, "rows": self.spark.read.parquet(f"{self.base}/{table}/{name}").count()}
+
+    def write(self, table: str, rows: DataFrame | None, sort: tuple[str, ...] = (), partitions: tuple[str, ...] = (), gone: DataFrame | None = None, append: bool = False) -> int:
+        """Rows (if any) as the next version; with append, beside the rows in force, except those that gone (a table of keys) names."""
+        state = self._manifest(table) if append else dict(_EMPTY, version=self.version(table))
+        v = state["version"] + 1
+        sort = list(sort) or state["sort"]
+        lists = list(state["gone"])
+        self._made = []
+        if gone is not None and state["segments"]:
+            name = self._fresh("gone")
+            gone.write.option("compression", "zstd").parquet(f"{self.base}/{table}/{name}")
+            if self.spark.read.parquet(f"{self.base}/{table}/{name}").count():
+                lists.append({"dir": name, "version": v})
+        state = dict(state, version=v, schema=SCHEMA_VERSION, sort=sort, gone=lists)
+        held = state["segments"]
+        if rows is not None:
+            held = self._merged(table, state, [*held, self._segment(table, rows, sort, v, partitions)])
+        oldest = min((s["version"] for s in held), default=v)
+        final = dict(state, segments=held, gone=[g for g in lists if g["version"] > oldest])
+        self._commit(table, final)
+        used = {x["dir"] for x in final["segments"] + final["gone"]}
+        for d in set(self._made) - used:  # merged or dropped again at once: no version ever named them
+            path = self._path(table, d)
+            self._fs(path).delete(path, True)
         return v
 
-    def _point(self, table: str, v: int) -> None:
-        new, now = self._path(table, "CURRENT.new"), self._path(table, "CURRENT")
-        fs = self._fs(now)
-        stream = fs.create(new, True)
-        stream.write(bytearray(f"{v} {SCHEMA_VERSION}\n".encode()))
-        stream.close()
-        fs.delete(now, False)
-        fs.rename(new, now)
-
-    def upsert(self, table: str, rows: DataFrame, key: str, schema: T.StructType, sort: tuple[str, ...] = ()) -> int:
-        """Rows replace those with the same key."""
-        old = self.read(table, schema).join(rows.select(key).distinct(), key, "left_anti")
-        return self.write(table, old.unionByName(rows.select(schema.names)), sort)
+    def _merged(self, table: str, state: dict, held: list[dict]) -> list[dict]:
+        """Segments after merging those at the end that are of like size; their deleted rows go."""
+        a = len(held) - 1
+        size = held[a]["rows"]
+        while a and held[a - 1]["rows"] < 2 * size:
+            a -= 1
+            size += held[a]["rows"]
+        if a == len(held) - 1:
+            return held
+        return [*held[:a], self._segment(table, self._live(table, state, held[a:], None), state["sort"], state["version"])]
+
+    def upsert(self, table: str, rows: DataFrame, key: str, schema: T.StructType, sort: tuple[str, ...] = (), gone: DataFrame | None = None) -> int:
+        """Rows replace those with the same key, or those with the keys of gone, where it is given."""
+        return self.write(table, rows.select(schema.names), sort, gone=rows.select(key).distinct() if gone is None else gone.select(key), append=True)
 
     def delete(self, table: str, keys: DataFrame, key: str, schema: T.StructType, sort: tuple[str, ...] = ()) -> int:
-        return self.write(table, self.read(table, schema).join(keys.select(key).distinct(), key, "left_anti"), sort)
+        return self.write(table, None, sort, gone=keys.select(key).distinct(), append=True)
 
     def delete_where(self, table: str, condition, schema: T.StructType, sort: tuple[str, ...] = ()) -> int:
         """Deletes matching rows and returns their number."""
         rows = self.read(table, schema)
         gone = rows.where(condition).count()
-        self.write(table, rows.where(~F.coalesce(condition, F.lit(False))), sort)
+        if gone:
+            self.write(table, rows.where(~F.coalesce(condition, F.lit(False))), sort)
         return gone
 
     def files(self, table: str) -> tuple[int, int]:
         """Files and bytes of the version in force."""
-        v = self.version(table)
-        path = self._path(table, f"v={v}")
-        if not v:
-            return 0, 0
-        listing = [f for f in self._fs(path).listStatus(path) if f.getPath().getName().endswith(".parquet")]
-        return len(listing), sum(f.getLen() for f in listing)
+        sizes = []
+        for s in self._manifest(table)["segments"]:
+            path = self._path(table, s["dir"])
+            sizes += [f.getLen() for f in self._fs(path).listStatus(path) if f.getPath().getName().endswith(".parquet")]
+        return len(sizes), sum(sizes)
 
     def compact(self, table: str, schema: T.StructType, sort: tuple[str, ...] = (), file_bytes: int = 256 << 20) -> tuple[int, int]:
-        """Rewrites a table into files of about file_bytes; files before and after."""
+        """Rewrites a table into one segment with files of about file_bytes; files before and after."""
         before, size = self.files(table)
         rows = self.read(table, schema)
         n = max(1, -(-size // file_bytes))

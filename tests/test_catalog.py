@@ -40,6 +40,6 @@ def test_words_of_whole_texts(spark, data, tmp_path):
     """Every character of a long text is in a word: lines, digits, accented letters and what lies after 400 characters."""
     text = "Élan 12\nnaïve 🙂 œuvre\t" + "word7 " * 1000 + "\nfin"
     spark.read.parquet(f"{data}/documents.parquet").limit(1).selectExpr("* except (text)").withColumn("text", F.lit(text)).write.parquet(f"{tmp_path}/documents.parquet")
-    found = catalog.QUERIES["box_union_whole"](spark, str(tmp_path)).orderBy("page", "word_id").collect()
+    found = catalog.QUERIES["box_union"](spark, str(tmp_path)).orderBy("page", "word_id").collect()
     assert "".join(r["word_text"] for r in found) == "".join(text.split())
     assert [r["word_text"] for r in found[:5]] == ["Élan", "12", "naïve", "🙂", "œuvre"] and found[-1]["page"] == 3
