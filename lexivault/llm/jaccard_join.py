@@ -269,14 +269,15 @@ def jaccard_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
     return out
 
 
-def crossing(keys: DataFrame, now: DataFrame) -> DataFrame:
+def crossing(prefixes: DataFrame, now: DataFrame) -> DataFrame:
     """What is still to be compared: (key, band, chunk, block, side, doc) for pairs that share a prefix shingle and no label.
 
-    keys: prefix shingles (key, doc); now: (doc, label, n). Shingles with the same documents count once. In a shingle's
+    prefixes: prefix shingles (doc, prefix); now: (doc, label, n). Shingles with the same documents count once. In a shingle's
     group only documents outside its most frequent label are compared with the others, and only with those whose sizes
     allow a link (bands of sizes, neighbours included). Large groups are cut into chunks times blocks.
     """
-    held = keys.join(now, "doc").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
+    band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int").alias("band")
+    held = prefixes.join(now, "doc").select("doc", "label", band, F.explode("prefix").alias("key"))
     group = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("docs"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("mark"))
     group = group.where("low <> high").groupBy("docs", "mark").agg(F.min("key").alias("key")).select("key")
     held = held.join(group, "key")
@@ -322,7 +323,7 @@ def linked(sets: DataFrame) -> DataFrame:
     now = wide.join(labels, wide["doc"] == labels["node"], "left").select("doc", F.coalesce("label", "doc").alias("label"), "n", "entries")
     now = shared.written(now.dropDuplicates(["doc"]), "labelled")
     # What those two rounds left apart, shingle by shingle.
-    tasks = shared.written(crossing(keys.join(hub, "key").select("key", "doc"), now.select("doc", "label", "n")), "crossing")
+    tasks = shared.written(crossing(may.select("doc", "prefix"), now.select("doc", "label", "n")), "crossing")
     third = _run(tasks.join(now, "doc").select(*TASK, "side", "doc", "label", "n", "entries"), TASK, _across).select("a", "b")
     out = graph.components(stars.union(second).union(third))
     shared.remove(placed, group, many, hub, now, tasks)
