@@ -119,16 +119,21 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as byte planes of their deltas, without the planes that hold only zeros."""
+    """Sorted 64-bit keys as byte planes of their deltas, without the outer planes that hold only zeros."""
     d = np.diff(keys, prepend=np.uint64(0))
-    width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
-    return struct.pack("<IB", len(d), width) + np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    held = int(np.bitwise_or.reduce(d)) if len(d) else 0
+    low = 0
+    while low < 7 and held and not held >> 8 * low & 255:
+        low += 1
+    width = max(1, (held.bit_length() + 7) // 8 - low)
+    planes = d.view(np.uint8).reshape(-1, 8)[:, low : low + width]
+    return struct.pack("<IBB", len(d), low, width) + np.ascontiguousarray(planes.T).tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    n, width = struct.unpack_from("<IB", blob)
+    n, low, width = struct.unpack_from("<IBB", blob)
     out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(blob, np.uint8, n * width, 5).reshape(width, n).T
+    out[:, low : low + width] = np.frombuffer(blob, np.uint8, n * width, 6).reshape(width, n).T
     return np.cumsum(out.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexivault.llm import graph, hashing, jaccard_join, parts, queries, shared
 from lexivault.llm.line_dedup import line_dedup
 from lexivault.llm.substring_dedup import substring_dedup
-from lexivault.llm.suffix_dedup import SuffixIndex, suffix_dedup
+from lexivault.llm.suffix_dedup import GRAM, SuffixIndex, suffix_dedup
 
 from . import brute
 
@@ -116,8 +116,8 @@ def test_many_runs_with_one_lead(spark):
     rnd = random.Random(6)
     letters = "abcdefghijklmnopqrstuvwxyz"
     some = lambda n: "".join(rnd.choices(letters, k=n))
-    lead = lambda g: int(hashing.byte_windows(np.frombuffer(g.encode(), np.uint8), 24)[0])
-    gram = min((some(24) for _ in range(5000)), key=lead)  # sampled in every window that holds it
+    lead = lambda g: int(hashing.byte_windows(np.frombuffer(g.encode(), np.uint8), GRAM)[0])
+    gram = min((some(GRAM) for _ in range(5000)), key=lead) + some(24 - GRAM)  # sampled in every window that holds it
     rows = [(i, some(26) + gram + some(26)) for i in range(100_000)]
     rows += [(100_000, rows[77][1]), (100_001, "-" + rows[500][1][5:])]
     got = suffix_dedup(frame(spark, rows), part_bytes=1 << 20).where("n_removed > 0").select("doc_id", "n_removed").collect()
@@ -236,6 +236,12 @@ def test_runs_that_differ_late(spark):
     assert [r[2] for r in run1(spark, rows)] == [0, 0]
 
 
+@given(st.lists(st.integers(0, (1 << 64) - 1), max_size=50), st.integers(0, 48))
+def test_pack(numbers, low):
+    keys = np.sort(np.array(numbers, np.uint64) >> np.uint64(low) << np.uint64(low))
+    assert (parts.unpack(parts.pack(keys)) == keys).all()
+
+
 starts = st.sampled_from(["the same beginning of 24!", "another one, as long: 24"])
 tails = st.text("ab \n", max_size=90)
 
@@ -294,8 +300,7 @@ def test_unlinked_chain(spark, monkeypatch):
         rows = [(i, f"{say(i)} {say(i + 1)} {say(i + 2)}") for i in range(n)]
         sets = jaccard_join.jaccard_sets(frame(spark, rows))
         may = sets.where("entries is not null")
-        keys = may.select(F.explode("prefix").alias("key"), "doc")
-        tasks = jaccard_join.crossing(keys, may.select("doc", F.col("doc").alias("label"), "n"))
+        tasks = jaccard_join.crossing(may.select("doc", "prefix"), may.select("doc", F.col("doc").alias("label"), "n"))
         per_doc.append(tasks.count() / n)
     assert per_doc[1] <= 1.2 * per_doc[0]
     got = run3(spark, rows)
