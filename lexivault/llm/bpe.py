@@ -252,7 +252,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     buckets = min(max(tasks, -(-size // BUCKET_BYTES)), BUCKETS)
     # Both uses read the same exchange; each passes over the rows of the other kind.
     dealt = rows.mapInArrow(parts.lean(_split(ranks_path, pattern, buckets, batch_bytes)), ROWS).repartition(max(tasks, buckets), "key")
-    replies = dealt.sortWithinPartitions("key").select("key", "batch", "words").mapInArrow(parts.lean(_encode(ranks_path, pattern)), ANSWERS)
+    replies = dealt.sortWithinPartitions("key").mapInArrow(parts.lean(_encode(ranks_path, pattern)), ANSWERS)  # all columns, so the exchange is the same
     return dealt.groupBy("key").cogroup(replies.groupBy("key")).applyInArrow(parts.lean(_assemble), "doc_id long, ids array<int>")
 
 
