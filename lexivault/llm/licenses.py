@@ -99,6 +99,22 @@ TEMPLATES = {
         distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
         either express or implied. See the License for the specific language governing permissions and limitations under the
         License.""",
+    "bsl-1.0": """Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person
+        or organization obtaining a copy of the software and accompanying documentation covered by this license (the
+        "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative
+        works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the
+        following: The copyright notices in the Software and this entire statement, including the above license grant, this
+        restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and
+        all derivative works of the Software, unless such copies or derivative works are solely in the form of
+        machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+        WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR
+        A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE
+        SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF
+        OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "epl-1.0-header": """This program and the accompanying materials are made available under the terms of the Eclipse Public License
+        v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html""",
+    "epl-2.0-header": """This program and the accompanying materials are made available under the terms of the Eclipse Public License
+        2.0 which is available at https://www.eclipse.org/legal/epl-2.0/""",
     "mpl-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
         MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "mit-statement": "Released under the MIT License.",
@@ -110,7 +126,11 @@ REQUIRED = {
     "bsd-3-clause": ["neither the name"],
     "bsd-4-clause": ["all advertising materials"],
     "apache-2.0-header": ["apache license", "version 2 0"],
+    "epl-1.0-header": ["eclipse public license v1 0"],
+    "epl-2.0-header": ["eclipse public license 2 0"],
     "mpl-2.0-header": ["mozilla public license", "2 0"],
+    "gpl-3.0": ["use with the gnu affero general public license"],
+    "agpl-3.0": ["remote network interaction"],
     "mit-statement": ["mit"],
     "apache-2.0-statement": ["apache", "2 0"],
     "unlicense-statement": ["unlicense"],
@@ -125,6 +145,22 @@ def _notice(name: str, text: str, *required: str) -> None:
 for _path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
     TEMPLATES[_path.stem] = _path.read_text(encoding="utf-8")
 
+#: Fixed value: the section that the AGPL has in place of the GPL's thirteenth; the rest differs by name.
+_AGPL_13 = """13. Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this License,
+    if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a
+    computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your
+    version by providing access to the Corresponding Source from a network server at no charge, through some standard or
+    customary means of facilitating copying of software. This Corresponding Source shall include the Corresponding Source for
+    any work covered by version 3 of the GNU General Public License that is incorporated pursuant to the following paragraph.
+    Notwithstanding any other provision of this License, you have permission to link or combine any covered work with a work
+    licensed under version 3 of the GNU General Public License into a single combined work, and to convey the resulting work.
+    The terms of this License will continue to apply to the part which is the covered work, but the work with which it is
+    combined will remain governed by version 3 of the GNU General Public License. """
+_gpl = TEMPLATES["gpl-3.0"]
+_head, _tail = _gpl[: _gpl.index("13. Use with")], _gpl[_gpl.index("14. Revised Versions") :]
+_affero = lambda x: x.replace("GNU General Public License", "GNU Affero General Public License").replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE")
+TEMPLATES["agpl-3.0"] = _affero(_head) + _AGPL_13 + _affero(_tail)
+
 for _id, _full, _versions in (
     ("gpl", "GNU General Public License", ("1", "2", "3")),
     ("lgpl", "GNU Library General Public License", ("2",)),
