@@ -63,16 +63,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Tasks contract bounded shares of the edges first (a small table is done then); rounds of stars join the shares.
     """
-    e, (n, _) = _write(edges.select("a", "b").where("a <> b"), "edges")
-    e, state = _write(e.coalesce(-(-n // PART_EDGES) or 1).mapInArrow(parts.lean(_contract), "a long, b long"), "edges")
+    raw, (n, _) = _write(edges.select("a", "b").where("a <> b"), "edges")
+    e, state = _write(raw.coalesce(-(-n // PART_EDGES) or 1).mapInArrow(parts.lean(_contract), "a long, b long"), "edges")
+    shared.remove(raw)
     while state[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         least = shared.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         large = shared.written(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))  # a node keeps few smaller neighbours, so no key is hot here
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-        before = state
+        before, old = state, e
         e, state = _write(small.where("a <> b").distinct(), "edges")
+        shared.remove(old, least, large)
         if state == before:
             break
     return e.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -41,7 +41,7 @@ LEVEL = "lead long, run long, suffix binary, before binary"
 GRAM = 20
 #: Kinds of keys: hashes of runs, of leading bytes, of windows.
 RUNS, LEADS, WINDOWS = 0, 1, 2
-#: Rows of a level that are packed into one round of messages at most.
+#: Numbers of a level that are packed into one round of messages, about.
 PACK_ROWS = 1 << 20
 _LOW = np.uint64((1 << 18) - 1)
 
@@ -255,12 +255,25 @@ def _level_part() -> int:
     return parts.BEFORE - TaskContext.get().partitionId()
 
 
+def _packs(batches, numbers):
+    """What numbers(batch) gives (arrays of 64-bit numbers), gathered over batches up to PACK_ROWS."""
+    held, size = [], 0
+    for b in batches:
+        own = numbers(b)
+        held.append(own)
+        size += len(own[0])
+        if size >= PACK_ROWS:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held, size = [], 0
+    if size:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def _level_runs(layout: parts.Layout):
     """A level's hashes of runs and of leading bytes, as messages from before the batch."""
 
     def run(batches):
-        for b in batches:
-            lead, full = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+        for lead, full in _packs(batches, lambda b: [b.column(i).to_numpy().view(np.uint64) for i in (0, 1)]):
             yield from parts.send(layout, _level_part(), np.unique(full), kind=RUNS).to_batches()
             leads, first, place = np.unique(lead, return_index=True, return_inverse=True)
             several = np.zeros(len(leads), bool)
@@ -273,11 +286,13 @@ def _level_runs(layout: parts.Layout):
 def _level_windows(layout: parts.Layout, length: int):
     """All windows of a level's runs, as messages from before the batch."""
 
+    def windows(b):
+        own = [hashing.byte_windows(np.frombuffer(x + y, np.uint8), length) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        return [np.concatenate(own) if own else np.zeros(0, np.uint64)]
+
     def run(batches):
-        for b in batches:
-            held = [hashing.byte_windows(np.frombuffer(x + y, np.uint8), length) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            if held:
-                yield from parts.send(layout, _level_part(), np.unique(np.concatenate(held)), kind=WINDOWS).to_batches()
+        for (keys,) in _packs(batches, windows):
+            yield from parts.send(layout, _level_part(), np.unique(keys), kind=WINDOWS).to_batches()
 
     return run
 
