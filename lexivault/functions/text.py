@@ -161,3 +161,33 @@ def register_tokenizer(name: str, analyse) -> None:
 def tokenizer(name: str):
     """The analyser of that name, or the default one."""
     return _ANALYSERS.get(name, _ANALYSERS[DEFAULT_ANALYSER])
+
+
+#: What the exit codes of crashed workers mean.
+EXIT_CODES = {
+    0xC0000005: "ACCESS_VIOLATION (segfault)",
+    0xC0000017: "NO_MEMORY — probable OOM",
+    0xC000009A: "INSUFFICIENT_RESOURCES — probable OOM",
+    0xC00000D5: "COMMITMENT_LIMIT — probable OOM",
+    0xC000013A: "CONTROL_C_EXIT (user interrupted)",
+    0xC0000142: "DLL_INIT_FAILED",
+    0xC0000409: "STACK_BUFFER_OVERRUN",
+}
+
+
+def exit_code_name(code: int) -> str:
+    """An exit code as the log shows it: codes with the high bit set are status codes, with their meaning if known."""
+    bits = code & 0xFFFFFFFF
+    if bits < 0x80000000:
+        return f"exited({code})"
+    return f"exited({' '.join(filter(None, (f'0x{bits:08X}', EXIT_CODES.get(bits))))})"
+
+
+def uptime(seconds: float) -> str:
+    whole = int(seconds)
+    return f"{whole}s" if whole < 60 else f"{whole // 60}m{whole % 60:02}s"
+
+
+def shares(sizes: list[int]) -> str:
+    """Files of each worker, as the log shows them."""
+    return "[" + "/".join(map(str, sizes)) + "]"

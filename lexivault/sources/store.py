@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,9 +118,15 @@ class Store:
     def _segment(self, table: str, rows: DataFrame, sort: list[str], version: int, partitions: tuple[str, ...] = ()) -> dict:
         name = self._fresh("segment")
         out = rows.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else rows
-        writer = out.write.option("compression", "zstd")
-        (writer.partitionBy(*partitions) if partitions else writer).parquet(f"{self.base}/{table}/{name}")
-        return {"dir": name, "version": version, "schema": SCHEMA_VERSION, "rows": self.spark.read.parquet(f"{self.base}/{table}/{name}").count()}
+        return {"dir": name, "version": version, "schema": SCHEMA_VERSION, "rows": self._written(out, f"{self.base}/{table}/{name}", partitions)}
+
+    @staticmethod
+    def _written(rows: DataFrame, path: str, partitions: tuple[str, ...] = ()) -> int:
+        """Writes rows and counts them in the same job."""
+        seen = Observation()
+        writer = rows.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd")
+        (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+        return seen.get["n"]
 
     def write(self, table: str, rows: DataFrame | None, sort: tuple[str, ...] = (), partitions: tuple[str, ...] = (), gone: DataFrame | None = None, append: bool = False) -> int:
         """Rows (if any) as the next version; with append, beside the rows in force, except those that gone (a table of keys) names."""
@@ -131,8 +137,7 @@ class Store:
         self._made = []
         if gone is not None and state["segments"]:
             name = self._fresh("gone")
-            gone.write.option("compression", "zstd").parquet(f"{self.base}/{table}/{name}")
-            if self.spark.read.parquet(f"{self.base}/{table}/{name}").count():
+            if self._written(gone, f"{self.base}/{table}/{name}"):
                 lists.append({"dir": name, "version": v})
         state = dict(state, version=v, schema=SCHEMA_VERSION, sort=sort, gone=lists)
         held = state["segments"]

@@ -1,15 +1,22 @@
 """PDF files, OCR by tools, images and frames."""
 
+import hashlib
 import io
 import os
+import random
 import stat
+import struct
+import subprocess
 import zlib
 
 import numpy as np
 import pytest
 
+from lexivault.functions import text as T
 from lexivault.operators import jobs as J
-from lexivault.sources import files, pdf
+from lexivault.plans import query as Q
+from lexivault.plans import search
+from lexivault.sources import files, pages, pdf
 
 FONT = b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding>>"
 
@@ -157,6 +164,92 @@ def test_frames(tmp_path):
     assert files.read_pgm(str(tmp_path / "a.pgm")).tolist() == image.tolist() and os.path.getsize(tmp_path / "a.pgm") > 6
 
 
+def unpacked(data):
+    """Pixels of a PNG without filters."""
+    width, height = struct.unpack(">II", data[16:24])
+    raw = zlib.decompress(data[data.index(b"IDAT") + 4 : data.index(b"IEND") - 8])
+    rows = np.frombuffer(raw, np.uint8).reshape(height, -1)
+    assert (rows[:, 0] == 0).all()
+    return rows[:, 1:].reshape(height, width, -1)
+
+
+def test_pages(spark, tools):
+    gray = np.full((20, 30), 200, np.uint8)
+    assert (unpacked(pages.png(gray))[:, :, 0] == 200).all()
+    marked = pages.highlighted(gray, [(2, 1, 5, 4), (3, 1, 6, 4)], 2.0)
+    assert unpacked(pages.png(marked)).tolist() == marked.tolist()
+    assert marked[3, 5].tolist() == marked[3, 11].tolist() == [222, 208, 120] and marked[0, 0].tolist() == marked[8, 5].tolist() == [200] * 3
+    assert pages.highlighted(gray, [], 1.0, inverted=True)[0, 0].tolist() == [55] * 3
+    assert pages.thumbnail(gray, 15).shape == (10, 15) and pages.thumbnail(gray, 60) is gray
+    files.tool_available.cache_clear()
+    tools("pdftoppm", f"case $(head -c 3 $4) in bad) exit 1;; esac; {PAGE} > $5-1.pgm; {PAGE} > $5-2.pgm\n")
+    both = pages.page_images(b"%PDF")
+    assert [x.shape for x in both] == [(2, 4)] * 2 and both[0].tolist() == [[0, 255, 0, 255]] * 2
+    with pytest.raises(subprocess.CalledProcessError):
+        pages.page_images(b"bad")
+    # Workers of this session know no tools: an error for each file, never a failed job.
+    found = spark.createDataFrame([("a", bytearray(b"%PDF")), ("b", None)], "path string, content binary")
+    assert sorted((r["path"], r["page"], "installed" in r["error"]) for r in pages.render_pages(found).collect()) == [("a", 0, True), ("b", 0, True)]
+
+
+def test_caches(tmp_path):
+    made = []
+    make = lambda k: lambda: made.append(k) or np.full((3, 4), k, np.uint8)
+    cache = pages.Thumbnails(str(tmp_path / "t"), kept=2)
+    for k in (1, 2, 1, 3, 2, 1):
+        assert cache.get(f"p{k}", 7, make(k))[0, 0] == k
+    assert made == [1, 2, 3] and len(cache.held) == 2  # dropped from memory, found in the folder
+    assert cache.get("p1", 8, make(9))[0, 0] == 9 and cache.key("p", 1) == hashlib.sha256(b"p|1").hexdigest().upper()
+    key = cache.key("p2", 7)
+    old = tmp_path / "t" / f"{key}.thumb"
+    data = old.read_bytes()
+    assert data[:8] == b"PXT1\x02\0\0\0"
+    for bad in (b"nothing", data[:4] + b"\x01" + data[5:], data[:-1]):
+        old.write_bytes(bad)
+        assert cache.load(key) is None and not old.exists()
+    recent = pages.Recent(2)
+    assert [recent.get(k, lambda k=k: made.append(k) or k) for k in "abacb"] == list("abacb") and made[-4:] == ["a", "b", "c", "b"]
+
+
+def test_render_queue():
+    q = pages.RenderQueue()
+    for i in range(200):
+        q.put(i, i)
+    for i in range(20):
+        q.put(i, -i, urgent=True)
+    got = [q.take() for _ in range(16 + 128 + 1)]
+    assert got[0] == (4, -4) and got[16] == (72, 72) and got[-2] == (199, 199) and got[-1] is None
+    q.put(1, 1)
+    q.cancel()
+    q.put(2, 2)
+    assert q.take() is None
+
+
+def test_log_strings():
+    assert [T.uptime(x) for x in (0, 59.9, 60, 3725)] == ["0s", "59s", "1m00s", "62m05s"]
+    assert T.shares([3, 1]) == "[3/1]" and T.shares([]) == "[]"
+    assert T.exit_code_name(-1073741819) == "exited(0xC0000005 ACCESS_VIOLATION (segfault))" and T.exit_code_name(9) == "exited(9)"
+    assert T.exit_code_name(0xC0000999) == "exited(0xC0000999)"
+
+
+def test_snippets():
+    """Snippets against all stretches tried one by one, and read back as runs."""
+    rnd = random.Random(3)
+    for _ in range(200):
+        text = " ".join(rnd.choice(["alpha", "beta", "x<y", "Gamma", "mu", "delta&"]) for _ in range(rnd.randrange(1, 60)))
+        terms = rnd.sample(["alpha", "beta", "gamma", "y", "delta"], 3)
+        snippet = search.snippet_of(text, terms, 50)
+        runs = search.snippet_runs(snippet)
+        said = "".join(t for t, _ in runs)
+        assert said in text and len(said) <= 50 and all(t.lower() in terms for t, b in runs if b)
+        hits = [(m.start(), m.end(), m[0].lower()) for m in Q._token.finditer(text) if m[0].lower() in terms]
+        assert bool(hits) == bool(snippet)
+        most = max((len({w for a, b, w in hits if a >= h[0] and b <= h[0] + 50}) for h in hits), default=0)
+        first = next((h for h in hits if len({w for a, b, w in hits if a >= h[0] and b <= h[0] + 50}) == most), None)
+        if first and first[0] - 20 <= 0 or first and first[1] <= max(0, first[0] - 20) + 50:
+            assert any(b and t.lower() == first[2] for t, b in runs)
+
+
 def test_rounds(spark):
     """Rounds over all files are the greedy shares of consecutive slices, the largest files first."""
     rows = [(i, (i * 7919) % 101) for i in range(333)]
