@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from . import parts
 
 #: Bytes of text whose distinct words are gathered in one task at a time.
@@ -248,6 +249,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     parts.small_batches(docs.sparkSession)
     tasks = parts.partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    dealt = scratch.spread(rows, "id")
+    rows = rows if dealt is rows else dealt.sortWithinPartitions("id", F.xxhash64("text"))  # in one order, so batches are the same again
     size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     buckets = min(max(tasks, -(-size // BUCKET_BYTES)), BUCKETS)
     # Both uses read the same exchange; each passes over the rows of the other kind.

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from . import hashing, parts
 from .align import align, clusters
 from .decontaminate import word_hashes
@@ -304,4 +305,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32()))], names=["doc_id", "license", "coverage", "start_word", "end_word"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(parts.lean(run), OUT)
+    rows = scratch.spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
+    return rows.mapInArrow(parts.lean(run), OUT)

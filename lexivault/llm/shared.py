@@ -3,23 +3,11 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[int, str] = {}  # folders of sessions on one machine
-
-
-def folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; on one machine (tests), where it is unset, one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own.setdefault(id(spark.sparkContext), "file://" + tempfile.mkdtemp(prefix="lexivault-"))
-
+from ..sources.scratch import folder
 
 def fresh_name(name: str) -> str:
     return f"{name}-{uuid.uuid4().hex}"
