@@ -17,6 +17,7 @@ from ..functions import text as T
 from ..operators import jobs as J
 from ..operators import positions as P
 from ..operators import words as W
+from ..sources import scratch
 from . import lower, search
 from . import query as Q
 
@@ -48,7 +49,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("collection_id"), path.alias("path"), F.col("text").alias("content"))
+    rows = scratch.spread(table(spark, sf_dir, "documents"), "doc_id")
+    return rows.select("doc_id", F.col("source").alias("collection_id"), path.alias("path"), F.col("text").alias("content"))
 
 
 def conversation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,6 +247,8 @@ def _rich(s, d):
 
 
 _add("snippets", _rich)
+_BOTH = Q.boolean_phrase('released "mit license"')
+_add("rich_hits", lambda s, d: _rich(s, d).select("doc_id", "path", "score", "terms", "n_groups"), f"{search_sql(_BOTH)} SELECT {_ROW}, 'released mit license' AS terms, 2 AS n_groups FROM hits ORDER BY hits.score DESC, doc_id LIMIT 10")
 
 
 def _groups(s, d):
@@ -397,7 +401,6 @@ _add("greedy_batches", lambda s, d: J.rounds(jobs(s, d).where("status = 'pending
 
 def _stream(s, d):
     """Documents as a stream of files, duplicates of earlier ones left out, into a versioned table; then that table."""
-    from ..sources import scratch
     from ..sources.store import Store
 
     base = scratch.fresh(s, "stream")

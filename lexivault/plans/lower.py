@@ -42,13 +42,17 @@ def _tf(leaf: object, tokens: Column) -> Column:
     if isinstance(leaf, Q.Term):
         return F.size(F.filter(tokens, lambda x: x == leaf.text))
     if isinstance(leaf, Q.Phrase):
-        n = len(leaf.terms)
-        # Neighbouring tokens side by side, in one pass; the cheap test first keeps most rows out of it.
+        n, terms = len(leaf.terms), leaf.terms
+        if not any(terms[:k] == terms[-k:] for k in range(1, n)):
+            # No occurrence overlaps another: what is left of the text without them tells their number. Every token has its
+            # own space on both sides, so neighbours share none.
+            said, phrase = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" ")), f" {'  '.join(terms)} "
+            gone = F.octet_length(said) - F.octet_length(F.replace(said, F.lit(phrase), F.lit("")))
+            return F.floor(gone / len(phrase.encode())).cast("int")
+        # Neighbouring tokens side by side, in one pass.
         shifted = [F.slice(tokens, i + 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0))) for i in range(n)]
         zipped = F.arrays_zip(*[s.alias(f"t{i}") for i, s in enumerate(shifted)])
-        hit = lambda x: reduce(lambda a, b: a & b, [x[f"t{i}"] == t for i, t in enumerate(leaf.terms)])
-        padded = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-        return F.when(padded.contains(" " + " ".join(leaf.terms) + " "), F.size(F.filter(zipped, hit))).otherwise(0)
+        return F.size(F.filter(zipped, lambda x: reduce(lambda a, b: a & b, [x[f"t{i}"] == t for i, t in enumerate(terms)])))
     if isinstance(leaf, UNSCORED):
         return F.size(F.filter(tokens, lambda x: _is(x, leaf)))
     raise Q.QueryError(f"cannot count {leaf!r}")

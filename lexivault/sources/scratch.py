@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a table that is small.
+SMALL = 256 << 20
 _own: dict[int, str] = {}  # folders of sessions on one machine
 
 
@@ -20,6 +22,16 @@ def folder(spark: SparkSession) -> str:
     return _own.setdefault(id(spark.sparkContext), "file://" + tempfile.mkdtemp(prefix="lexivault-"))
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """A small table of fewer files than there are cores, dealt to all of them by a hash of columns; any other as it is.
+
+    Files of one row group are one task each, however many cores wait.
+    """
+    plan, cores = df._jdf, df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *cols) if size <= SMALL and 0 < len(plan.inputFiles()) < cores else df
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 

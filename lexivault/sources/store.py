@@ -3,8 +3,9 @@
 A table's state is one small file, ``manifest.<version>``: its segments, and the lists of deleted keys with the version
 from which on they hold. A write makes its segment (and list of keys) first and the next manifest last, whole under another
 name and then renamed; so a crash at any point leaves the version before in force, and readers keep the version they
-resolved. A segment merges with the one before while that is not twice as large, so there are few, and a row is rewritten
-a logarithmic number of times. One writer at a time; a second one fails at the rename.
+resolved. Once there are more than a few segments, the last one merges with the one before while that is not twice as
+large, so there are never many, and a row is rewritten a logarithmic number of times. One writer at a time; a second one
+fails at the rename.
 
 All files are reached through Hadoop's file systems, so tables may live wherever Spark reads.
 """
@@ -20,8 +21,10 @@ from pyspark.sql import types as T
 
 from ..schema import SCHEMA_VERSION
 
-#: Versions whose files are kept for readers.
-KEPT = 3
+#: Versions whose files are kept for readers, segments that may stand beside each other unmerged.
+KEPT, SEGMENTS = 3, 6
+#: The column that says in which version a row, or a deleted key, was written.
+VERSION = "_version"
 _EMPTY = {"version": 0, "schema": None, "sort": [], "segments": [], "gone": []}
 
 
@@ -92,21 +95,23 @@ class Store:
         return self.spark.createDataFrame([], schema) if out is None else out
 
     def _live(self, table: str, state: dict, segments: list[dict], schema: T.StructType | None) -> DataFrame | None:
-        """Rows of the segments that no later list of keys names; segments that the same lists concern are read together."""
-        out, groups = None, {}
-        for s in segments:
-            groups.setdefault(tuple(g["dir"] for g in state["gone"] if g["version"] > s["version"]), []).append(s)
-        for gone, own in groups.items():
-            shapes = {s["schema"] for s in own}
-            got = self.spark.read.option("mergeSchema", len(shapes) > 1).parquet(*[f"{self.base}/{table}/{s['dir']}" for s in own])
-            for d in gone:
-                keys = self.spark.read.parquet(f"{self.base}/{table}/{d}")
-                got = got.join(keys.distinct(), keys.columns, "left_anti")
-            if schema is not None:
-                missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in got.columns]
-                got = got.select("*", *missing).select([F.col(f.name).cast(f.dataType) for f in schema])
-            out = got if out is None else out.unionByName(got, allowMissingColumns=True)
-        return out
+        """Rows of the segments that no later list of keys names: one scan, and one join if there are any lists."""
+        if not segments:
+            return None
+        shapes = {s["schema"] for s in segments}
+        got = self.spark.read.option("mergeSchema", len(shapes) > 1).parquet(*[f"{self.base}/{table}/{s['dir']}" for s in segments])
+        oldest = min(s["version"] for s in segments)
+        gone = [g["dir"] for g in state["gone"] if g["version"] > oldest]
+        if gone:
+            keys = self.spark.read.parquet(*[f"{self.base}/{table}/{d}" for d in gone])
+            key = [c for c in keys.columns if c != VERSION]
+            last = keys.groupBy(*key).agg(F.max(VERSION).alias("_gone"))
+            got = got.join(last, key, "left").where(F.col("_gone").isNull() | (F.col(VERSION) >= F.col("_gone"))).drop("_gone")
+        got = got.drop(VERSION)
+        if schema is not None:
+            missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in got.columns]
+            got = got.select("*", *missing).select([F.col(f.name).cast(f.dataType) for f in schema])
+        return got
 
     # Writing
 
@@ -118,13 +123,13 @@ class Store:
     def _segment(self, table: str, rows: DataFrame, sort: list[str], version: int, partitions: tuple[str, ...] = ()) -> dict:
         name = self._fresh("segment")
         out = rows.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else rows
-        return {"dir": name, "version": version, "schema": SCHEMA_VERSION, "rows": self._written(out, f"{self.base}/{table}/{name}", partitions)}
+        return {"dir": name, "version": version, "schema": SCHEMA_VERSION, "rows": self._written(out, version, f"{self.base}/{table}/{name}", partitions)}
 
     @staticmethod
-    def _written(rows: DataFrame, path: str, partitions: tuple[str, ...] = ()) -> int:
-        """Writes rows and counts them in the same job."""
+    def _written(rows: DataFrame, version: int, path: str, partitions: tuple[str, ...] = ()) -> int:
+        """Writes rows with their version and counts them in the same job."""
         seen = Observation()
-        writer = rows.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd")
+        writer = rows.withColumn(VERSION, F.lit(version)).observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd")
         (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
         return seen.get["n"]
 
@@ -137,7 +142,7 @@ class Store:
         self._made = []
         if gone is not None and state["segments"]:
             name = self._fresh("gone")
-            if self._written(gone, f"{self.base}/{table}/{name}"):
+            if self._written(gone, v, f"{self.base}/{table}/{name}"):
                 lists.append({"dir": name, "version": v})
         state = dict(state, version=v, schema=SCHEMA_VERSION, sort=sort, gone=lists)
         held = state["segments"]
@@ -153,7 +158,9 @@ class Store:
         return v
 
     def _merged(self, table: str, state: dict, held: list[dict]) -> list[dict]:
-        """Segments after merging those at the end that are of like size; their deleted rows go."""
+        """Segments after merging those at the end that are of like size, if there are many; their deleted rows go."""
+        if len(held) <= SEGMENTS:
+            return held
         a = len(held) - 1
         size = held[a]["rows"]
         while a and held[a - 1]["rows"] < 2 * size:

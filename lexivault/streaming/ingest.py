@@ -122,8 +122,9 @@ class Ingest:
         stale = after.where("status <> 'done' or duplicate_of is not null").select(F.col("id").alias("doc_id"))
         drop = self.store.read("documents", schema.DOCUMENTS).select("doc_id").join(docs.select("doc_id").union(stale).distinct(), "doc_id", "left_semi").persist()
         made = {"documents": docs, "postings": lower.postings(docs), "positions": positions_of(rows)}
+        gone = None if drop.isEmpty() else drop
         for table, (shape, sort) in INDEX.items():
-            self.store.upsert(table, made[table].select(shape.names), "doc_id", shape, sort, gone=drop)
+            self.store.write(table, made[table].select(shape.names), sort, gone=gone, append=True)
         equal = F.expr(" and ".join(f"(a.{c} <=> b.{c})" for c in schema.JOBS.names))
         changed = after.alias("a").join(was.alias("b"), F.col("a.id") == F.col("b.id"), "left").where(~equal).select("a.*")
         self.store.upsert("jobs", changed, "id", schema.JOBS)

@@ -140,7 +140,7 @@ def test_store_segments(spark, tmp_path):
             store.delete("t", spark.createDataFrame([(gone,)], "path string"), "path", schema.LISTING)
         assert sorted(map(tuple, store.read("t", schema.LISTING).collect())) == sorted(want.values())
     state = store._manifest("t")
-    assert len(state["segments"]) <= 5
+    assert len(state["segments"]) <= 6
     dirs = {p.name for p in (tmp_path / "s" / "t").iterdir() if p.is_dir()}
     used = set().union(*[{x["dir"] for x in m["segments"] + m["gone"]} for m in (store._manifest("t", v) for v in store._versions("t"))])
     assert len(store._versions("t")) == 3 and not dirs - used

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexivault.functions import text as T
 from lexivault.plans import lower, search
 from lexivault.plans import query as Q
 
@@ -143,3 +144,16 @@ def test_groups(run, text, want):
 
 def test_pages():
     assert [search.page_number(o, n) for o, n in ((0, 50), (50, 50), (99, 50), (10, 0))] == [1, 2, 2, 1]
+
+
+def test_phrase_counts(spark):
+    """Phrases that overlap themselves or follow each other closely count every place where they begin."""
+    import random
+
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choices(["a", "b", "ab", "é"], k=rnd.randrange(30))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, f"/{i}", t) for i, t in enumerate(texts)], "doc_id long, path string, content string")
+    for terms in (("a", "b"), ("a", "a"), ("a", "b", "a"), ("é", "ab"), ("b", "b", "b"), ("a", "b", "ab")):
+        want = {i: sum(tuple(w[k : k + len(terms)]) == terms for k in range(len(w))) for i, t in enumerate(texts) for w in [t.split()]}
+        got = {r["doc_id"]: r["n"] for r in docs.select("doc_id", lower._tf(Q.Phrase(terms), T.tokens(F.col("content"))).alias("n")).collect()}
+        assert got == want
