@@ -218,11 +218,11 @@ class SearchPipeline:
         """All matching rows with scores."""
         return self.engine.search(request.tree(self.builders), request.path_filter)
 
-    def page(self, request: SearchInput) -> DataFrame:
-        return lower.top(self.hits(request), request.limit, request.offset)
+    def page(self, request: SearchInput, hits: DataFrame | None = None) -> DataFrame:
+        return lower.top(self.hits(request) if hits is None else hits, request.limit, request.offset)
 
-    def rich(self, request: SearchInput) -> DataFrame:
-        out = self.page(request)
+    def rich(self, request: SearchInput, hits: DataFrame | None = None) -> DataFrame:
+        out = self.page(request, hits)
         for e in in_order(self.enrichers):
             out = e.enrich(out, request)
         return out.orderBy(F.desc("score"), "doc_id")
@@ -234,8 +234,12 @@ class SearchPipeline:
 
     def response(self, request: SearchInput) -> dict:
         """The whole answer; total counts with the same filters as the search."""
-        rows = [r.asDict(recursive=True) for r in self.rich(request).collect()]  # one page
-        total = self.hits(request).count()
+        hits = self.hits(request).persist()  # ids, paths and scores, found once for the page and for the total
+        try:
+            rows = [r.asDict(recursive=True) for r in self.rich(request, hits).collect()]  # one page
+            total = hits.count()
+        finally:
+            hits.unpersist()
         if self.log:
             self.log(f"search {request.query!r}: {total} hits")
         return {"success": True, "total_count": total, "page": page_number(request.offset, request.limit), "page_size": request.limit, "query": request.query, "strategy": request.strategy, "results": rows, "metadata": {}}
