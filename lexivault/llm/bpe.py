@@ -249,7 +249,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     parts.small_batches(docs.sparkSession)
     tasks = parts.partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = scratch.spread(rows, "id")
+    dealt = scratch.spread(rows)
     rows = rows if dealt is rows else dealt.sortWithinPartitions("id", F.xxhash64("text"))  # in one order, so batches are the same again
     size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     buckets = min(max(tasks, -(-size // BUCKET_BYTES)), BUCKETS)

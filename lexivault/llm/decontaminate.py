@@ -150,7 +150,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.45
     """The documents' rows with a column ``hits``: the items each holds copies of, with score and place (in words)."""
     spark = docs.sparkSession
     parts.small_batches(spark)
-    docs = scratch.spread(docs.drop(out_col), text_col)
+    docs = scratch.spread(docs.drop(out_col))
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).distinct()
     n, size = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     blocks = max(-(-n // BLOCK_ITEMS), -(-int(size or 0) // BLOCK_BYTES))

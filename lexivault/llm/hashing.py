@@ -2,7 +2,8 @@
 
 A window's hash is built by doubling: pieces of one length are combined two by two, the last two overlapping, and every
 combination goes through a non-linear mix. So no algebraic pattern (as of polynomials modulo a power of two) makes
-different strings of any length share a hash; two of them do with a probability near 2**-64.
+different strings of any length share a hash; two of them do with a probability near 2**-64. ``rabin_karp`` is the
+polynomial hash itself, modulo a prime.
 """
 
 from __future__ import annotations
@@ -89,6 +90,50 @@ def windows(values: np.ndarray, length: int) -> np.ndarray:
     return doubled(mix(values + _GOLD), 1, length)
 
 
+#: Rabin-Karp: values of a polynomial at a fixed point modulo a Mersenne prime, which no regular pattern defeats.
+PRIME = (1 << 61) - 1
+POINT = 0x0B5297A4D1E3C68F
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**64 modulo the prime."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.minimum(x, x - np.uint64(PRIME))  # below the prime, the difference wraps to a large number
+
+
+def _times(a: np.ndarray, factor: int) -> np.ndarray:
+    """Products modulo the prime, from halves of 31 and 30 bits; what exceeds 61 bits counts again from the first."""
+    low = np.uint64((1 << 31) - 1)
+    ah, al, bh, bl = a >> np.uint64(31), a & low, np.uint64(factor >> 31), np.uint64(factor & ((1 << 31) - 1))
+    middle = ah * bl + al * bh
+    out = (ah * bh) << np.uint64(1)
+    out += middle >> np.uint64(30)
+    out += (middle & np.uint64((1 << 30) - 1)) << np.uint64(31)
+    out += al * bl
+    return _reduced(out)
+
+
+def rabin_karp(values: np.ndarray, length: int) -> np.ndarray:
+    """Rabin-Karp hash of every window of so many 64-bit values, scrambled: one for each start.
+
+    The hash of a window is that of its first part times a power of the point, plus that of the rest; so windows grow by
+    doubling, and any length is put together from powers of two.
+    """
+    n = len(values) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    power, span, at, out = _reduced(values), 1, length, None
+    while True:
+        if length & span:  # from the right: the parts before have the higher powers
+            at -= span
+            part = power[at : at + n]
+            out = part if out is None else _reduced(_times(part, pow(POINT, length - at - span, PRIME)) + out)
+        if span * 2 > length:
+            return mix(out)
+        power = _reduced(_times(power[:-span], pow(POINT, span, PRIME)) + power[span:])
+        span *= 2
+
+
 def byte_windows(buf: np.ndarray, length: int) -> np.ndarray:
     """Hash of every window of so many bytes: one for each start."""
     n = len(buf) - length + 1

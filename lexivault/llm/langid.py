@@ -112,7 +112,7 @@ def _sum(table: pa.Table) -> pa.Table:
 def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", alpha: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages (sorted), log priors, and log probabilities by hash bucket and language, from all rows with a language."""
     parts.small_batches(labelled.sparkSession)
-    rows = scratch.spread(labelled, text_col).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null")
+    rows = scratch.spread(labelled).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null")
     buckets = BUCKETS
     if rows.select("lang").distinct().count() > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
@@ -131,7 +131,7 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", a
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", out_cols: tuple[str, str, str] = ("lang_pred", "score", "fit")) -> DataFrame:
     """Adds the language, its posterior probability and its fit to the rows; takes nothing but the text into account."""
     parts.small_batches(docs.sparkSession)
-    docs = scratch.spread(docs.drop(*out_cols), text_col)
+    docs = scratch.spread(docs.drop(*out_cols))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, k) for c, k in zip(out_cols, kinds))])

@@ -305,5 +305,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32()))], names=["doc_id", "license", "coverage", "start_word", "end_word"])
 
-    rows = scratch.spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
+    rows = scratch.spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     return rows.mapInArrow(parts.lean(run), OUT)

@@ -4,9 +4,9 @@ Each part sends the distinct hashes of its windows to buckets; a bucket tells ea
 holds. With the part's own earlier documents that gives every window that also starts in a document of a smaller id;
 the windows' intervals merge into maximal removal intervals.
 
-Cost: text is shuffled once, window hashes once (about 6 bytes for each distinct window of a part). A window's hash
-rolls over the hashes of its words by doubling instead of a polynomial, whose values modulo a power of two collide on
-regular patterns. Keys have 64 bits: two different windows are taken for one with a probability near n * 2**-64 a window.
+Cost: text is shuffled once, window hashes once (about 6 bytes for each distinct window of a part). A window's hash is a
+polynomial of its words' 64-bit hashes modulo the prime 2**61 - 1: two different windows are taken for one with a
+probability near n * 2**-61 a window.
 
 Defined cases: null text has no words; ids may repeat (rows of one id never remove each other's words); a null id
 counts as 2**63 - 1, larger than all others; an empty table gives an empty result.
@@ -29,7 +29,7 @@ def _windows(p: parts.Part, length: int):
     doc = hashing.owners(p.starts, start)
     at = np.searchsorted(start, p.starts)  # first word of each document
     bounds = np.append(at, len(start))
-    h = hashing.windows(value, length)
+    h = hashing.rabin_karp(value, length)
     whole = np.flatnonzero(doc[: len(h)] == doc[length - 1 :][: len(h)])
     return start, end, doc, bounds, whole, h[whole]
 

@@ -230,6 +230,16 @@ def test_regular_patterns_do_not_collide(spark):
             assert hashing.words(x + 48)[2][0] != hashing.words(y + 48)[2][0] or (x + 48 == y + 48).all()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, (1 << 64) - 1), min_size=1, max_size=60), st.integers(1, 40))
+def test_rabin_karp(numbers, length):
+    """Windows have the values of their polynomials, in whole numbers."""
+    own = [sum(x * pow(hashing.POINT, length - 1 - k, hashing.PRIME) for k, x in enumerate(numbers[i : i + length])) % hashing.PRIME for i in range(len(numbers) - length + 1)]
+    assert hashing.rabin_karp(np.array(numbers, np.uint64), length).tolist() == hashing.mix(np.array(own, np.uint64)).tolist()
+    x, y = (np.array(v, np.uint64) for v in morse(4096, 1, 2))
+    assert hashing.rabin_karp(x, 4096)[0] != hashing.rabin_karp(y, 4096)[0]
+
+
 def test_runs_that_differ_late(spark):
     """Documents of 50 bytes with the same 24 first bytes are not the same."""
     rows = [(1, "bkzijforzjwgisitokziforsjqzgusfekominbztqjxlxmjcqj"), (2, "bkzijforzjwgisitokziforsqiramqiudjskjcevnorchsteei")]
