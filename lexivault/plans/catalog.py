@@ -49,7 +49,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    rows = scratch.spread(table(spark, sf_dir, "documents"), "doc_id")
+    rows = scratch.spread(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.col("source").alias("collection_id"), path.alias("path"), F.col("text").alias("content"))
 
 

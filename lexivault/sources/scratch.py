@@ -22,14 +22,15 @@ def folder(spark: SparkSession) -> str:
     return _own.setdefault(id(spark.sparkContext), "file://" + tempfile.mkdtemp(prefix="lexivault-"))
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """A small table of fewer files than there are cores, dealt to all of them by a hash of columns; any other as it is.
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of fewer files than there are cores, dealt to all of them in turn; any other as it is.
 
-    Files of one row group are one task each, however many cores wait.
+    Files of one row group are one task each, however many cores wait. Spark sorts rows before it deals them in turn, so a
+    task that runs again deals them alike.
     """
     plan, cores = df._jdf, df.sparkSession.sparkContext.defaultParallelism
     size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *cols) if size <= SMALL and 0 < len(plan.inputFiles()) < cores else df
+    return df.repartition(cores) if size <= SMALL and 0 < len(plan.inputFiles()) < cores else df
 
 
 def fresh(spark: SparkSession, name: str) -> str:
