@@ -13,17 +13,19 @@ from lexivault.llm import bpe, decontaminate, jaccard_join, langid, line_dedup,
 
 #: SQL can express neither the classifier, the alignment nor the tokenizer; a test holds the rows against brute force.
 ORACLE_SQL = None
+#: An n-gram of a text must be so much likelier than by chance, on average (a natural logarithm: e times).
+MIN_FIT = 1.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the labelled languages: text goes that is null, holds no letter, or that the best language
-    explains no better than chance (``langid``: fit below 0). Without any labelled row nothing but the letters is judged."""
+    explains hardly better than chance (``langid``: fit below MIN_FIT). Without any label only letters are judged."""
     name = lambda c: parts.free_name(c, docs.columns)
     lang, score, fit = name("lang_pred"), name("score"), name("fit")
     model = langid.train(docs.select("lang", "text"))
     if not model[0]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return langid.predict(docs, model, out_cols=(lang, score, fit)).where(F.col(fit) >= 0).select(docs.columns)
+    return langid.predict(docs, model, out_cols=(lang, score), fit_col=fit).where(F.col(fit) >= MIN_FIT).select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,9 +5,9 @@ by key, and only the finished table (at most ``MAX_LANGS`` languages x ``BUCKETS
 of log probabilities is broadcast; texts are scored in numpy, a batch of texts and ``LANGS`` languages at a time, over
 whole texts.
 
-Besides the posterior, which is near 1 for any longer text, ``fit`` says how much better than chance the best language
-explains a text: the mean over its n-grams of the log of their probability times the number of buckets. Text of no known
-language, or noise, is below 0.
+Besides the posterior, which is near 1 for any longer text, a fit can be asked for: how much better than chance the best
+language explains a text, as the mean over its n-grams without digits of the log of their probability times the number of
+buckets. Text of no known language, or noise, is below 0; numbers, which belong to no language, do not count.
 
 Defined cases: text that is null or has no letter is ``und`` with score 0 and null fit; with no labelled row every text
 is; ties go to the smaller language name; more than ``MAX_LANGS`` languages are an error; ids may repeat or be null;
@@ -128,13 +128,28 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", a
     return names, np.log(docs / max(docs.sum(), 1)), np.log(smooth / smooth.sum(0)).astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", out_cols: tuple[str, str, str] = ("lang_pred", "score", "fit")) -> DataFrame:
-    """Adds the language, its posterior probability and its fit to the rows; takes nothing but the text into account."""
+def _digits(codes: np.ndarray) -> np.ndarray:
+    """Running count of the digits among code points, one longer than those."""
+    distinct, place = np.unique(codes, return_inverse=True)
+    digit = np.array([c > 0 and chr(c).isnumeric() for c in distinct.tolist()], bool)
+    return np.concatenate([[0], np.cumsum(digit[place])])
+
+
+def _sums(table: np.ndarray, h: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows h between cuts, as differences of running sums."""
+    run = np.zeros((len(h) + 1, table.shape[1]))
+    np.cumsum(table[h], axis=0, out=run[1:])
+    return run[cut[1:]] - run[cut[:-1]]
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", out_cols: tuple[str, str] = ("lang_pred", "score"), fit_col: str | None = None) -> DataFrame:
+    """Adds the language and its posterior probability to the rows, and the fit if it has a name; takes nothing but the
+    text into account."""
     parts.small_batches(docs.sparkSession)
-    docs = scratch.spread(docs.drop(*out_cols))
+    names_out = [*out_cols, *([fit_col] if fit_col else [])]
+    docs = scratch.spread(docs.drop(*names_out))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, k) for c, k in zip(out_cols, kinds))])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, k) for c, k in zip(names_out, (T.StringType(), T.DoubleType(), T.DoubleType())))])
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -142,29 +157,32 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
         letter = regex.compile(r"\p{L}").search
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
-            logs, grams = np.zeros((len(texts), len(names))), np.zeros(len(texts))
+            logs, plain, grams = np.zeros((len(texts), len(names))), np.zeros((len(texts), len(names))), np.zeros(len(texts))
             known = np.array([bool(names) and letter(t) is not None for t in texts], bool)
             for codes, begins, starts, who in _pieces(texts) if names else ():
-                for h, place in _grams(codes, begins, len(table)):
+                digits = _digits(codes) if fit_col else None
+                for n, (h, place) in zip(ORDERS, _grams(codes, begins, len(table))):
                     if not len(h):
                         continue
                     cut = np.append(np.searchsorted(place, starts), len(h))
-                    np.add.at(grams, who, np.diff(cut))
+                    bare = digits[place + n] == digits[place] if fit_col else None
+                    if fit_col:
+                        own, own_cut = h[bare], np.concatenate([[0], np.cumsum(bare)])[cut]
+                        np.add.at(grams, who, np.diff(own_cut))
                     for a in range(0, len(names), LANGS):
-                        # Sums of each text's rows, as differences of running sums.
-                        own = table[h, a : a + LANGS]
-                        run_sum = np.zeros((len(h) + 1, own.shape[1]))
-                        np.cumsum(own, axis=0, out=run_sum[1:])
-                        np.add.at(logs[:, a : a + LANGS], who, run_sum[cut[1:]] - run_sum[cut[:-1]])
+                        part = table[:, a : a + LANGS]
+                        np.add.at(logs[:, a : a + LANGS], who, _sums(part, h, cut))
+                        if fit_col:
+                            np.add.at(plain[:, a : a + LANGS], who, _sums(part, own, own_cut))
             if names:
-                fit = logs.max(1) / np.maximum(grams, 1) + np.log(len(table))
+                fit = plain.max(1) / np.maximum(grams, 1) + np.log(len(table))
                 logs += prior
                 best = logs.argmax(1)
                 score = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
-            pred = [names[best[i]] if known[i] else "und" for i in range(len(texts))]
-            value = [float(score[i]) if known[i] else 0.0 for i in range(len(texts))]
-            how = [float(fit[i]) if known[i] else None for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(value, pa.float64()), pa.array(how, pa.float64())], names=[*b.schema.names, *out_cols])
+            pred = pa.array([names[best[i]] if known[i] else "und" for i in range(len(texts))], pa.string())
+            value = pa.array([float(score[i]) if known[i] else 0.0 for i in range(len(texts))], pa.float64())
+            how = [pa.array([float(fit[i]) if known[i] else None for i in range(len(texts))], pa.float64())] if fit_col else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pred, value, *how], names=[*b.schema.names, *names_out])
 
     return docs.mapInArrow(parts.lean(run), schema)
 

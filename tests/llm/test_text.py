@@ -109,7 +109,7 @@ def test_language_is_plain_bayes(spark, data, monkeypatch):
     want = dict(zip([i for i, _ in ask], brute.bayes(known, [t for _, t in ask], langid.BUCKETS)))
     monkeypatch.setattr(langid, "LANGS", 3)
     model = langid.train(docs.where(~langid.held_out("doc_id")))
-    out = langid.predict(asked, model)
+    out = langid.predict(asked, model, fit_col="fit")
     assert out.columns == ["doc_id", "text", "lang_pred", "score", "fit"]
     for r in out.collect():
         assert r["lang_pred"] == want[r["doc_id"]][0] and r["score"] == pytest.approx(want[r["doc_id"]][1], abs=1e-3)
@@ -119,12 +119,17 @@ def test_language_is_plain_bayes(spark, data, monkeypatch):
 
 
 def test_language_fit(spark, data):
-    """Texts of the languages fit better than chance, noise and other scripts worse."""
+    """Texts of the languages fit much better than chance, noise and other scripts hardly or worse."""
     docs = spark.read.parquet(f"{data}/documents.parquet")
     model = langid.train(docs.select("lang", "text"))
-    assert langid.predict(docs, model).where("fit < 0 or fit is null").count() == 0
+    assert langid.predict(docs, model, fit_col="fit").where("fit < 2 or fit is null").count() == 0
     odd = ["".join(chr(33 + (i * i * 7919 + i * 31) % 90) for i in range(300)), "это русский текст о погоде и природе", "日本語の文章です"]
-    assert [r["fit"] < 0 for r in langid.predict(spark.createDataFrame([(t,) for t in odd], "text string"), model).collect()] == [True] * 3
+    assert [r["fit"] < 1 for r in langid.predict(spark.createDataFrame([(t,) for t in odd], "text string"), model, fit_col="fit").collect()] == [True] * 3
+    # Numbers are of no language: they neither help nor harm.
+    text = docs.where("length(text) > 500").first()["text"]
+    both = spark.createDataFrame([(text,), (text + " 4397110767823743 20.118.157.107" * 50,)], "text string")
+    a, b = (r["fit"] for r in langid.predict(both, model, fit_col="fit").collect())
+    assert b > 2 and b > a - 2.5
 
 
 def test_chat(spark, data):
