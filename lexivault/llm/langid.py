@@ -31,7 +31,7 @@ MAX_LANGS, LANGS = 1024, 16
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Code points counted or scored at a time.
-PIECE = 1 << 18
+PIECE = 1 << 16
 SLICES = 16
 
 
@@ -165,15 +165,17 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
                     if not len(h):
                         continue
                     cut = np.append(np.searchsorted(place, starts), len(h))
-                    bare = digits[place + n] == digits[place] if fit_col else None
-                    if fit_col:
-                        own, own_cut = h[bare], np.concatenate([[0], np.cumsum(bare)])[cut]
-                        np.add.at(grams, who, np.diff(own_cut))
-                    for a in range(0, len(names), LANGS):
-                        part = table[:, a : a + LANGS]
-                        np.add.at(logs[:, a : a + LANGS], who, _sums(part, h, cut))
-                        if fit_col:
-                            np.add.at(plain[:, a : a + LANGS], who, _sums(part, own, own_cut))
+                    kinds = [(h, cut, None)]
+                    if fit_col:  # n-grams without digits, and the others
+                        bare = digits[place + n] == digits[place]
+                        kinds = [(h[own], np.concatenate([[0], np.cumsum(own)])[cut], to) for own, to in ((bare, plain), (~bare, None))]
+                        np.add.at(grams, who, np.diff(kinds[0][1]))
+                    for own, bounds, to in kinds:
+                        for a in range(0, len(names), LANGS):
+                            sums = _sums(table[:, a : a + LANGS], own, bounds)
+                            np.add.at(logs[:, a : a + LANGS], who, sums)
+                            if to is not None:
+                                np.add.at(to[:, a : a + LANGS], who, sums)
             if names:
                 fit = plain.max(1) / np.maximum(grams, 1) + np.log(len(table))
                 logs += prior
