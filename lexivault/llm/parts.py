@@ -17,7 +17,7 @@ number of messages grows with the number of parts, never with parts times bucket
 Parts of one range have no order among themselves. A key that several of them hold first is a tie, which a second, small
 exchange decides by the smallest id (``earlier``).
 
-No step holds more than a part, a region's share of a coarse bucket, or a bucket's share of the distinct keys of parts.
+Rows that are equal in id and text are in one part. No step holds more than a part, a region's share of a coarse bucket, or a bucket's share of the distinct keys of parts.
 Rows of one id never count as earlier than each other; a null id counts as 2**63 - 1, larger than all others.
 """
 
@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text in a part.
-PART_BYTES = 4 << 20
+#: Bytes of text in a part; what a row counts besides, so rows without text are bounded too.
+PART_BYTES, ROW_BYTES = 4 << 20, 64
 #: Text a bucket of keys stands for; keys of all parts in one bucket are held by one task.
 BUCKET_BYTES = 8 << 20
 #: Ranges of ids at most; coarse buckets, and parts of a region, at most.
@@ -78,7 +78,8 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     """Rows as (part, id, body, rest) dealt by part, and the layout. With whole_ids, all rows of an id are in one part."""
     spark = docs.sparkSession
     small_batches(spark)
-    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text_col)))).first()
+    weight = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + ROW_BYTES
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(weight)).first()
     tasks, size = partitions(spark), int(size or 0)
     want = min(max(-(-size // part_bytes), min(tasks, n // 16 + 1)), RANGES)
     cuts: list[float] = []
@@ -96,8 +97,8 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
     sizes = np.zeros(len(edges) + 1, np.int64)
     if len(edges):
-        for r, b in docs.groupBy(range_of(key)).agg(F.sum(F.octet_length(F.col(text_col)))).collect():  # RANGES rows at most
-            sizes[r] = b or 0
+        for r, b in docs.groupBy(range_of(key)).agg(F.sum(weight)).collect():  # RANGES rows at most
+            sizes[r] = b
     split = np.where(sizes > 2 * part_bytes, -(-sizes // part_bytes), 1)
     base = np.cumsum(split) - split
 
