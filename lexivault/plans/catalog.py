@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -305,11 +306,16 @@ _add("nearest_pages", lambda s, d: P.nearest_pages(conversation_words(s, d).grou
 _add("line_grouping", lambda s, d: P.group_lines(document_words(s, d).where("word_text = 'the'").select("doc_id", "page", F.col("y_min").cast("int").alias("top"), F.col("y_max").cast("int").alias("bottom"))), f"WITH {_GRID} SELECT doc_id, page, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY y_min) - 1 AS INTEGER) AS line, CAST(y_min AS INTEGER) AS top, CAST(y_min + 12 AS INTEGER) AS bottom, CAST(count(*) AS INTEGER) AS n_words FROM grid WHERE word_text = 'the' GROUP BY doc_id, page, y_min")
 
 
-def _chars(s, d):
-    """All characters of whole texts, white space among them: 7 wide and 12 high, 60 a line, 40 lines a page."""
-    c = documents(s, d).select("doc_id", F.posexplode(F.regexp_extract_all("content", F.lit("(?s)."), F.lit(0))).alias("i", "ch"))
-    x, y = (F.col("i") % 60) * 7.0, F.floor(F.col("i") % 2400 / 60) * 20.0
-    return c.select("doc_id", F.floor(1 + F.col("i") / 2400).cast("int").alias("page"), "i", "ch", x.alias("left"), y.alias("top"), (x + 7.0).alias("right"), (y + 12.0).alias("bottom"))
+def _pages(s, d):
+    """Whole texts cut into pages of 2,400 characters, white space among them."""
+    c = documents(s, d).select("doc_id", F.posexplode(F.regexp_extract_all("content", F.lit("(?s).{1,2400}"), F.lit(0))).alias("i", "text"))
+    return c.select("doc_id", (F.col("i") + 1).alias("page"), "text")
+
+
+def _typed(i: np.ndarray):
+    """Characters 7 wide and 12 high, 60 a line, 40 lines a page."""
+    x, y = (i % 60) * 7.0, (i // 60) * 20.0
+    return x, y, x + 7.0, y + 12.0
 
 
 _CHARS = r"""c AS (SELECT doc_id, generate_subscripts(t, 1) - 1 AS i, unnest(t) AS ch FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS t FROM documents)),
@@ -317,8 +323,8 @@ _CHARS = r"""c AS (SELECT doc_id, generate_subscripts(t, 1) - 1 AS i, unnest(t)
  n AS (SELECT *, solid AND (i % 60 = 0 OR NOT lag(solid, 1, false) OVER (PARTITION BY doc_id, page ORDER BY i)) AS fresh FROM p),
  k AS (SELECT *, CAST(sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id, page ORDER BY i) AS BIGINT) AS word_id FROM n)"""
 _boxed = lambda df: df.select("doc_id", "page", F.col("word_id").cast("long").alias("word_id"), "word_text", "x_min", "y_min", "x_max", "y_max")
-_add("char_gap_words", lambda s, d: W.words(W.segment(_chars(s, d))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.max(F.length("word_text")).cast("long").alias("longest")), f"WITH {_CHARS} SELECT doc_id, count(*) AS n_words, max(n) AS longest FROM (SELECT doc_id, page, word_id, count(*) AS n FROM k WHERE solid GROUP BY ALL) GROUP BY doc_id")
-_add("box_union", lambda s, d: _boxed(W.words(W.segment(_chars(s, d)))), f"WITH {_CHARS} SELECT doc_id, page, word_id, string_agg(ch, '' ORDER BY i) AS word_text, CAST(min(x) AS DOUBLE) AS x_min, CAST(min(y) AS DOUBLE) AS y_min, CAST(max(x) + 7 AS DOUBLE) AS x_max, CAST(max(y) + 12 AS DOUBLE) AS y_max FROM k WHERE solid GROUP BY doc_id, page, word_id")
+_add("char_gap_words", lambda s, d: W.page_words(_pages(s, d), _typed).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.max(F.length("word_text")).cast("long").alias("longest")), f"WITH {_CHARS} SELECT doc_id, count(*) AS n_words, max(n) AS longest FROM (SELECT doc_id, page, word_id, count(*) AS n FROM k WHERE solid GROUP BY ALL) GROUP BY doc_id")
+_add("box_union", lambda s, d: _boxed(W.page_words(_pages(s, d), _typed)), f"WITH {_CHARS} SELECT doc_id, page, word_id, string_agg(ch, '' ORDER BY i) AS word_text, CAST(min(x) AS DOUBLE) AS x_min, CAST(min(y) AS DOUBLE) AS y_min, CAST(max(x) + 7 AS DOUBLE) AS x_max, CAST(max(y) + 12 AS DOUBLE) AS y_max FROM k WHERE solid GROUP BY doc_id, page, word_id")
 
 # ---- geometry ----
 

@@ -43,3 +43,10 @@ def test_words_of_whole_texts(spark, data, tmp_path):
     found = catalog.QUERIES["box_union"](spark, str(tmp_path)).orderBy("page", "word_id").collect()
     assert "".join(r["word_text"] for r in found) == "".join(text.split())
     assert [r["word_text"] for r in found[:5]] == ["Élan", "12", "naïve", "🙂", "œuvre"] and found[-1]["page"] == 3
+
+
+@pytest.mark.parametrize("name", ["box_union", "char_gap_words"])
+def test_characters_are_no_rows(spark, data, name):
+    """Texts go whole to the pages' words: no window, and no sort of characters."""
+    plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan

@@ -87,6 +87,23 @@ def test_segments(spark):
     assert W.page_text(seg).first()["text"] == "ab.c def g"
 
 
+def test_words_of_pages(spark):
+    """Pages in one row give the words that their characters give as rows, whatever boxes and white space there are."""
+    rng = np.random.default_rng(7)
+    texts = ["", " \t\n", "word", "é🙂\u00a0x\u2003y\x00z \x1fq"] + ["".join(rng.choice(list("abé🙂 \n\t\r.\x1c"), n)) for n in (1, 60, 400)]
+    table = np.cumsum(rng.choice([1.0, 7.0, 30.0], 400)), np.repeat(rng.choice([0.0, 5.0, 40.0], 20), 20), rng.choice([-3.0, 0.0, 7.0, 9.5], 400), rng.choice([0.0, 9.0, 12.1], 400)
+    left, top = np.where(rng.random(400) < 0.1, np.nan, table[0]), np.where(rng.random(400) < 0.1, np.nan, table[1])
+    right, bottom = np.where(rng.random(400) < 0.1, np.nan, table[0] + table[2]), np.where(rng.random(400) < 0.1, np.nan, table[1] + table[3])
+    places = [[None if np.isnan(v) else float(v) for v in x] for x in (left, top, right, bottom)]
+    pages = spark.createDataFrame([(1, n, t) for n, t in enumerate(texts)] + [(None, 0, "a b"), (2, 0, None)], "doc_id long, page int, text string")
+    chars = [(k, n, i, c, *[x[i] for x in places]) for k, n, t in [(r["doc_id"], r["page"], r["text"] or "") for r in pages.collect()] for i, c in enumerate(t)]
+    rows = spark.createDataFrame(chars, "doc_id long, page int, i int, ch string, left double, top double, right double, bottom double")
+    want = W.words(W.segment(rows))
+    got = W.page_words(pages, lambda i: (left[i], top[i], right[i], bottom[i]))
+    order = lambda df: sorted(map(repr, df.select(want.columns).collect()))
+    assert dict(got.dtypes) == dict(want.dtypes) and order(got) == order(want) and got.count() > 150
+
+
 def test_lines(spark):
     rows = [(1, 1, 0, 10), (1, 1, 2, 12), (1, 1, 30, 40), (1, 1, 31, 42)]
     got = P.group_lines(spark.createDataFrame(rows, "doc_id long, page int, top int, bottom int")).collect()
