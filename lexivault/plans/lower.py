@@ -217,7 +217,10 @@ def _back(places: int):
     return lambda p: p - F.lit(places)
 
 
-def top(hits: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """A page of the best hits; ties by collection and id."""
-    order = [F.desc("score"), *([F.asc("collection_id")] if "collection_id" in hits.columns else []), F.asc("doc_id")]
-    return hits.orderBy(*order).offset(max(offset, 0)).limit(max(limit, 0))
+def top(hits: DataFrame, limit: int, offset: int = 0, ties: tuple[str, ...] = ("collection_id", "doc_id")) -> DataFrame:
+    """A page of the best hits; ties by collection and id, or in the order named."""
+    return best_first(hits, ties).offset(max(offset, 0)).limit(max(limit, 0))
+
+
+def best_first(hits: DataFrame, ties: tuple[str, ...]) -> DataFrame:
+    return hits.orderBy(F.desc("score"), *[F.asc(c) for c in ties if c in hits.columns])

@@ -9,6 +9,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from graphlib import CycleError, TopologicalSorter
+from typing import ClassVar
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -213,19 +214,21 @@ class SearchPipeline:
     enrichers: list[ResultEnricher] = field(default_factory=list)
     log: Callable[[str], None] | None = None
     builders: dict[str, QueryBuilder] = field(default_factory=dict)
+    #: Hits of like score stand by id; what ids of several collections share is told apart last.
+    TIES: ClassVar[tuple[str, ...]] = ("doc_id", "collection_id")
 
     def hits(self, request: SearchInput) -> DataFrame:
         """All matching rows with scores."""
         return self.engine.search(request.tree(self.builders), request.path_filter)
 
     def page(self, request: SearchInput, hits: DataFrame | None = None) -> DataFrame:
-        return lower.top(self.hits(request) if hits is None else hits, request.limit, request.offset)
+        return lower.top(self.hits(request) if hits is None else hits, request.limit, request.offset, self.TIES)
 
     def rich(self, request: SearchInput, hits: DataFrame | None = None) -> DataFrame:
         out = self.page(request, hits)
         for e in in_order(self.enrichers):
             out = e.enrich(out, request)
-        return out.orderBy(F.desc("score"), "doc_id")
+        return lower.best_first(out, self.TIES)
 
     def json_hits(self, request: SearchInput) -> DataFrame:
         """The page with one JSON object a hit."""

@@ -50,3 +50,15 @@ def test_characters_are_no_rows(spark, data, name):
     """Texts go whole to the pages' words: no window, and no sort of characters."""
     plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("name", ["hits_with_positions"])
+def test_ties_against_sql(spark, tmp_path, name):
+    """More hits of one score than a page holds, in other collections: those of the smallest ids, as in SQL."""
+    rows = [(i, "released public license mit license", "en", f"src{30 - i}", 10) for i in range(1, 21)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want) and len(want) == 10

@@ -157,3 +157,14 @@ def test_phrase_counts(spark):
         want = {i: sum(tuple(w[k : k + len(terms)]) == terms for k in range(len(w))) for i, t in enumerate(texts) for w in [t.split()]}
         got = {r["doc_id"]: r["n"] for r in docs.select("doc_id", lower._tf(Q.Phrase(terms), T.tokens(F.col("content"))).alias("n")).collect()}
         assert got == want
+
+
+@pytest.mark.parametrize("limit,offset,want", [(3, 0, [1, 2, 3]), (3, 2, [3, 4, 5])])
+def test_ties_by_id(spark, limit, offset, want):
+    """Hits of like score come by id, whatever their collections; federated ones by collection first."""
+    docs = spark.createDataFrame([(i, f"/{i}", "alpha beta", f"c{9 - i}") for i in range(1, 7)], "doc_id long, path string, content string, collection_id string")
+    request = search.SearchInput("alpha", limit=limit, offset=offset)
+    pipe = search.SearchPipeline(search.ScanEngine(docs), [search.TermCollector(), search.Snippets(docs)])
+    assert [r["doc_id"] for r in pipe.rich(request).collect()] == want
+    assert [r["doc_id"] for r in pipe.response(request)["results"]] == want
+    assert [r["doc_id"] for r in search.federated(docs, request.tree(), None, 3).collect()] == [6, 5, 4]
