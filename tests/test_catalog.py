@@ -52,7 +52,7 @@ def test_characters_are_no_rows(spark, data, name):
     assert "Window" not in plan and "MapInArrow" in plan
 
 
-@pytest.mark.parametrize("name", ["hits_with_positions"])
+@pytest.mark.parametrize("name", ["hits_with_positions", "rich_hits"])
 def test_ties_against_sql(spark, tmp_path, name):
     """More hits of one score than a page holds, in other collections: those of the smallest ids, as in SQL."""
     rows = [(i, "released public license mit license", "en", f"src{30 - i}", 10) for i in range(1, 21)]
