@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,26 +116,53 @@ def ui_boxes(found: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").orderBy("doc_id", "page", "word_offset")
 
 
+def _lines(heights: list[int], boxes: list[tuple[int, int, int]]) -> list[list[int]]:
+    """Sum of centres, words, top and bottom of a page's lines; boxes (centre, top, bottom) are in order.
+
+    Centres rise, so a line that was too far above one word is too far above all later ones: only the last line is open.
+    """
+    heights.sort()
+    limit = -(-heights[len(heights) // 2] // 2)
+    found: list[list[int]] = []
+    for c, top, bottom in boxes:
+        line = found[-1] if found else None
+        if line and abs(c - line[0] // line[1]) <= limit:
+            line[:] = [line[0] + c, line[1] + 1, min(line[2], top), max(line[3], bottom)]
+        else:
+            found.append([c, 1, top, bottom])
+    return found
+
+
 def group_lines(words: DataFrame) -> DataFrame:
     """(doc_id, page, line, top, bottom, n_words) of highlighted words with whole-number boxes (doc_id, page, top, bottom).
 
     A word joins the first line whose mean centre lies within half the median height; the mean moves with every word, so
-    each page is one sequence.
+    each page is one sequence. Pages come sorted and a task reads them one after the other, a page at a time.
     """
 
-    def lines(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(c=(pdf["top"] + pdf["bottom"]) // 2).sort_values(["c", "top", "bottom"], kind="stable")
-        heights = sorted((pdf["bottom"] - pdf["top"]).tolist())
-        limit = -(-heights[len(heights) // 2] // 2)
-        found: list[list] = []  # sum of centres, words, top, bottom
-        for c, top, bottom in zip(pdf["c"].tolist(), pdf["top"].tolist(), pdf["bottom"].tolist()):
-            for line in found:
-                if abs(c - line[0] // line[1]) <= limit:
-                    line[:] = [line[0] + c, line[1] + 1, min(line[2], top), max(line[3], bottom)]
-                    break
-            else:
-                found.append([c, 1, top, bottom])
-        key = pdf.iloc[0]
-        return pd.DataFrame([(key["doc_id"], key["page"], i, x[2], x[3], x[1]) for i, x in enumerate(found)], columns=["doc_id", "page", "line", "top", "bottom", "n_words"])
-
-    return words.select("doc_id", "page", "top", "bottom").groupBy("doc_id", "page").applyInPandas(lines, "doc_id long, page int, line int, top int, bottom int, n_words int")
+    def run(batches):
+        key, heights, boxes, made = None, [], [], []
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), types)], names=names)
+
+        for batch in batches:
+            for doc, page, c, top, bottom in zip(*[x.to_pylist() for x in batch.columns]):
+                if key != (doc, page):
+                    if boxes:
+                        made += [(*key, i, x[2], x[3], x[1]) for i, x in enumerate(_lines(heights, boxes))]
+                    key, heights, boxes = (doc, page), [], []
+                heights.append(bottom - top)
+                boxes.append((c, top, bottom))
+            if made:
+                yield out()
+                made = []
+        if boxes:
+            made = [(*key, i, x[2], x[3], x[1]) for i, x in enumerate(_lines(heights, boxes))]
+            yield out()
+
+    names, types = ["doc_id", "page", "line", "top", "bottom", "n_words"], [pa.int64(), *[pa.int32()] * 5]
+    centre = F.shiftright(F.col("top").cast("long") + F.col("bottom").cast("long"), 1).alias("c")
+    placed = words.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), centre, "top", "bottom")
+    dealt = placed.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "c", "top", "bottom")
+    return dealt.mapInArrow(run, "doc_id long, page int, line int, top int, bottom int, n_words int")

@@ -110,6 +110,28 @@ def test_lines(spark):
     assert [(r["line"], r["top"], r["bottom"], r["n_words"]) for r in got] == [(0, 0, 12, 2), (1, 30, 42, 2)]
 
 
+def test_lines_page_by_page(spark):
+    """Lines found by looking at the open one are those found by looking at all; no Python call for every page."""
+    rng = np.random.default_rng(3)
+    rows = [(int(d), int(p), int(t), int(t + h)) for d, p, t, h in zip(rng.integers(0, 40, 4000), rng.integers(1, 4, 4000), rng.integers(-80, 400, 4000), rng.choice([-4, 0, 3, 12, 40], 4000))]
+    rows += [(None, 1, 5, 9), (None, 1, 6, 9), (99, 1, 7, 19)]
+    want, pages = [], {}
+    for d, p, top, bottom in rows:
+        pages.setdefault((d, p), []).append(((top + bottom) // 2, top, bottom))
+    for key, boxes in pages.items():
+        limit, found = -(-sorted(b - t for _, t, b in boxes)[len(boxes) // 2] // 2), []
+        for c, top, bottom in sorted(boxes):
+            near = next((x for x in found if abs(c - x[0] // x[1]) <= limit), None)
+            if near:
+                near[:] = [near[0] + c, near[1] + 1, min(near[2], top), max(near[3], bottom)]
+            else:
+                found.append([c, 1, top, bottom])
+        want += [(*key, i, x[2], x[3], x[1]) for i, x in enumerate(found)]
+    df = P.group_lines(spark.createDataFrame(rows, "doc_id long, page int, top int, bottom int"))
+    assert "FlatMapGroups" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
 def test_images():
     img = np.full((40, 40), 200, np.uint8)
     img[10:20] = 30
