@@ -41,19 +41,41 @@ def at_offsets(positions: DataFrame, offsets: DataFrame) -> DataFrame:
     return positions.join(offsets, ["doc_id", "word_offset"], "left_semi")
 
 
-def phrase(positions: DataFrame, terms: list[str]) -> DataFrame:
-    """Words of every occurrence of a phrase on one page, with start_offset and j, the word's place in the phrase.
+def occurrences(positions: DataFrame, groups: list[list[str]]) -> DataFrame:
+    """Words of every occurrence of each group on one page, with group_no, start_offset and j, the word's place in its group.
 
-    An equi-join on (document, page, offset - place) for each further word; both sides hold only the phrase's own terms.
+    One pass over the positions whatever the groups: only the groups' own terms are kept, and each page's are brought
+    together by offset, all the words of one offset in one row. A row that starts an occurrence holds the rows after it.
     """
-    own = positions.select("*", F.lower("word_text").alias("_w")).where(F.col("_w").isin([t.lower() for t in terms]))
-    found = own.where(F.col("_w") == terms[0].lower()).select("doc_id", "page", F.col("word_offset").alias("start_offset"))
-    for j, t in enumerate(terms[1:], 1):
-        nxt = own.where(F.col("_w") == t.lower()).select("doc_id", "page", (F.col("word_offset") - j).alias("start_offset"))
-        found = found.join(nxt, ["doc_id", "page", "start_offset"])
-    return found.select("doc_id", "page", "start_offset", F.posexplode(F.array(*[F.lit(t.lower()) for t in terms])).alias("j", "_t")).withColumn("word_offset", F.col("start_offset") + F.col("j")).join(
-        positions, ["doc_id", "page", "word_offset"]
-    ).drop("_t")
+    groups = [[t.lower() for t in g] for g in groups]
+    own = positions.select("*", F.lower("word_text").alias("_w")).where(F.col("_w").isin(sorted({t for g in groups for t in g}))).repartition("doc_id", "page")
+    cells = own.groupBy("doc_id", "page", "word_offset").agg(F.collect_list(F.struct("_w", *positions.columns)).alias("_r"))
+    by_offset = Window.partitionBy("doc_id", "page").orderBy("word_offset")
+    for j in range(1, max(map(len, groups))):
+        follows = F.lead("word_offset", j).over(by_offset) == F.col("word_offset") + j
+        cells = cells.withColumn(f"_r{j}", F.when(follows, F.lead("_r", j).over(by_offset)))
+    at = lambda j: F.col(f"_r{j}" if j else "_r")
+    found = []
+    for n, group in enumerate(groups):
+        known = F.lit(len(group) == 1) | (F.col("doc_id").isNotNull() & F.col("page").isNotNull())  # what is unknown has no neighbours
+        holds = reduce(lambda a, b: a & b, [known, *[F.coalesce(F.exists(at(j), _is(t)), F.lit(False)) for j, t in enumerate(group)]])
+        rows = F.flatten(F.array(*[F.transform(F.filter(at(j), _is(t)) if len(group) == 1 else at(j), _placed(n, j)) for j, t in enumerate(group)]))
+        found.append(F.when(holds, rows))
+    out = cells.select("doc_id", "page", F.col("word_offset").alias("start_offset"), F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("_o"))
+    return out.select("start_offset", "_o.group_no", "_o.j", *[c if c in ("doc_id", "page") else F.col(f"_o.word.{c}").alias(c) for c in positions.columns])
+
+
+def _is(term: str):
+    return lambda x: x["_w"] == term
+
+
+def _placed(group: int, place: int):
+    return lambda x: F.struct(F.lit(group).alias("group_no"), F.lit(place).alias("j"), x.alias("word"))
+
+
+def phrase(positions: DataFrame, terms: list[str]) -> DataFrame:
+    """Words of every occurrence of a phrase on one page, with start_offset and j, the word's place in the phrase."""
+    return occurrences(positions, [terms]).drop("group_no")
 
 
 def distinct_boxes(found: DataFrame, order: list[str]) -> DataFrame:
@@ -66,14 +88,7 @@ def term_positions(positions: DataFrame, matched_terms: list[str], groups: list[
     """Boxes to highlight: groups of one word anywhere, longer ones only as phrases on one page; without repeats."""
     if not matched_terms or not groups:
         return positions.limit(0)
-    parts = []
-    for n, group in enumerate(groups):
-        if len(group) == 1:
-            own = single_term(positions, group[0]).withColumn("start_offset", F.col("word_offset")).withColumn("j", F.lit(0))
-        else:
-            own = phrase(positions, group)
-        parts.append(own.select("doc_id", "word_offset", "page", *BOX, "word_text", "start_offset", "j", F.lit(n).alias("group_no")))
-    found = reduce(DataFrame.unionByName, parts)
+    found = occurrences(positions, groups)
     return distinct_boxes(found, ["group_no", "start_offset", "j"]).orderBy("doc_id", "group_no", "start_offset", "j").select("doc_id", "word_offset", "page", *BOX, "word_text")
 
 

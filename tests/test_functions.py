@@ -71,6 +71,28 @@ def test_phrase_positions(placed):
     assert P.term_positions(placed, ["COOL"], [["COOL"]]).count() == 1
 
 
+def test_phrases_in_one_pass(spark):
+    """All groups come from one read of the positions and one exchange of the groups' own terms; repeats, overlaps and
+    pages count as in a plain search."""
+    rng = np.random.default_rng(5)
+    texts = {(d, p): list(rng.choice(["A", "a", "b", "c", "x"], 60)) for d in range(4) for p in (1, 2)}
+    rows = [(d, p, (p - 1) * 60 + i, float(i), 0.0, float(i) + 1, 1.0, str(w)) for (d, p), t in texts.items() for i, w in enumerate(t)]
+    rows += [(None, 1, 0, 0.0, 0.0, 1.0, 1.0, "a"), (None, 1, 1, 1.0, 0.0, 2.0, 1.0, "b"), (None, 1, 2, 2.0, 0.0, 3.0, 1.0, "c")]
+    table = spark.createDataFrame(rows, "doc_id long, page int, word_offset int, x_min double, y_min double, x_max double, y_max double, word_text string")
+    groups = [["a", "B", "a"], ["a", "a"], ["C"]]
+    want = []
+    for n, g in enumerate(groups):
+        for (d, p), t in texts.items():
+            at = [i for i in range(len(t) - len(g) + 1) if [w.lower() for w in t[i : i + len(g)]] == [w.lower() for w in g]]
+            want += [(n, d, p, (p - 1) * 60 + i, j, (p - 1) * 60 + i + j, t[i + j]) for i in at for j in range(len(g))]
+    want.append((2, None, 1, 2, 0, 2, "c"))
+    found = P.occurrences(table, groups)
+    got = [tuple(r) for r in found.select("group_no", "doc_id", "page", "start_offset", "j", "word_offset", "word_text").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(*x[:6], str(x[6])) for x in want]))
+    plan = P.term_positions(table, ["a"], groups)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_starts(placed):
     hits = placed.where(F.col("word_text").isin("machine", "learning"))
     got = {r["word_offset"]: r["is_start"] for r in P.phrase_starts(hits, 2).collect()}
