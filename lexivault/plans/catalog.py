@@ -92,7 +92,7 @@ def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | No
 # ---- tokens and vocabulary ----
 
 _add("tokenize_counts", lambda s, d: documents(s, d).select("doc_id", T.tokens(F.col("content")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms")), f"WITH {_TOK} SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens, CAST(len(list_distinct(toks)) AS BIGINT) AS n_terms FROM tok")
-_add("vocabulary_df", lambda s, d: lower.postings(documents(s, d)).groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("total_freq")), f"WITH {_POST} SELECT term, count(DISTINCT doc_id) AS doc_freq, count(*) AS total_freq FROM post GROUP BY term")
+_add("vocabulary_df", lambda s, d: lower.vocabulary(documents(s, d)), f"WITH {_POST} SELECT term, count(DISTINCT doc_id) AS doc_freq, count(*) AS total_freq FROM post GROUP BY term")
 _add("corpus_statistics", lambda s, d: lower.corpus_stats(documents(s, d)).select("collection_id", "n_docs", F.round("avg_length", 6).alias("avg_length")), f"WITH {_TOK} SELECT collection_id, count(*) AS n_docs, round(avg(len(toks)), 6) AS avg_length FROM tok GROUP BY collection_id")
 _add("term_offsets", lambda s, d: P.term_offsets(documents(s, d), "license"), f"WITH {_POST} SELECT doc_id, pos AS word_offset FROM post WHERE term = 'license'")
 _add("clean_words", lambda s, d: documents(s, d).select("doc_id", F.sha2(T.clean_word(F.col("content")), 256).alias("clean_sha256")), rf"WITH {_D} SELECT doc_id, sha256(array_to_string(regexp_extract_all(content, '[\p{{L}}\p{{N}}\p{{S}}]+'), ' ')) AS clean_sha256 FROM d")

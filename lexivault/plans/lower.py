@@ -155,6 +155,14 @@ def postings(docs: DataFrame) -> DataFrame:
     return grouped.select("collection_id", "term", "doc_id", F.size("positions").alias("tf"), "doc_length", "positions")
 
 
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(term, doc_freq, total_freq) of documents (content): each task sums its own terms, and only the sums are exchanged."""
+    toks = docs.select(T.tokens(F.col("content")).alias("t"))
+    once = lambda first: lambda x: F.struct(x.alias("term"), F.lit(first).alias("first"))
+    said = toks.select(F.inline(F.concat(F.transform("t", once(0)), F.transform(F.array_distinct("t"), once(1)))))
+    return said.groupBy("term").agg(F.sum("first").alias("doc_freq"), F.sum(1 - F.col("first")).alias("total_freq"))
+
+
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """One row for each collection: documents and mean length in tokens."""
     return docs.groupBy("collection_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(T.tokens(F.col("content")))).alias("avg_length"))

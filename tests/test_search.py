@@ -168,3 +168,11 @@ def test_ties_by_id(spark, limit, offset, want):
     assert [r["doc_id"] for r in pipe.rich(request).collect()] == want
     assert [r["doc_id"] for r in pipe.response(request)["results"]] == want
     assert [r["doc_id"] for r in search.federated(docs, request.tree(), None, 3).collect()] == [6, 5, 4]
+
+
+def test_vocabulary(spark):
+    """Terms are summed where they are read: no positions and no rows of documents are exchanged."""
+    df = lower.vocabulary(spark.createDataFrame([(1, "a b A"), (2, "b"), (3, ""), (4, None)], "doc_id long, content string"))
+    plan = df._jdf.queryExecution().executedPlan().toString()  # before it has run, so each step stands in it once
+    assert sorted(tuple(r) for r in df.collect()) == [("a", 1, 2), ("b", 2, 2)]
+    assert plan.count("Exchange hashpartitioning") == 1 and "collect_list" not in plan and "partial_sum" in plan
