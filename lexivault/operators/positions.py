@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..functions import text as T
 
@@ -32,6 +35,12 @@ def grid_boxes(words: DataFrame) -> DataFrame:
     return words.select("doc_id", "word_offset", (1 + F.floor(i / 250)).cast("int").alias("page"), x.alias("x_min"), y.alias("y_min"), (x + 60).cast("float").alias("x_max"), (y + 12).cast("float").alias("y_max"), "word_text")
 
 
+def grid_places(i: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Page and box of words at such offsets, as grid_boxes gives them."""
+    x, y = (50 + 70 * (i % 250 % 8)).astype(np.float32), (750 - 15 * (i % 250 // 8)).astype(np.float32)
+    return (1 + i // 250).astype(np.int32), x, y, x + np.float32(60), y + np.float32(12)
+
+
 def single_term(positions: DataFrame, term: str) -> DataFrame:
     return positions.where(F.lower("word_text") == term.lower())
 
@@ -84,6 +93,59 @@ def distinct_boxes(found: DataFrame, order: list[str]) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+#: Words that document_boxes looks at together, or one document's.
+CHUNK = 1 << 16
+
+
+def starts(x_min: np.ndarray, y_min: np.ndarray, x_max: np.ndarray, y_max: np.ndarray) -> list[np.ndarray]:
+    """What distinct_boxes tells boxes apart by."""
+    return [np.trunc(v * np.float32(100)).astype(np.int64) for v in (x_min, y_min)]
+
+
+def edges(*box: np.ndarray) -> list[np.ndarray]:
+    """What ui_boxes tells boxes apart by."""
+    return list(box)
+
+
+def document_boxes(docs: DataFrame, layout: Callable[[np.ndarray], tuple[np.ndarray, ...]], apart: Callable[..., list[np.ndarray]]) -> DataFrame:
+    """(doc_id, word_offset, page, box, word_text) of documents whose words are in one row (doc_id, words): the first word
+    by offset of each box of a page, in order of page and offset.
+
+    ``distinct_boxes`` (apart: starts) and ``ui_boxes`` (apart: edges) of the documents' words, without a row for each word
+    and without an exchange. layout gives page and box of the words at such offsets.
+    """
+
+    def first(doc: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        page, *box = layout(offset)
+        keys = [doc, page, *apart(*box)]
+        by_key = np.lexsort((offset, *keys[::-1]))
+        new = np.ones(len(by_key), bool)
+        if len(new) > 1:
+            new[1:] = reduce(np.logical_or, [k[by_key[1:]] != k[by_key[:-1]] for k in keys])
+        kept = by_key[new]
+        return kept[np.lexsort((offset[kept], page[kept], doc[kept]))]
+
+    def run(batches):
+        for batch in batches:
+            words = batch.column(1)
+            sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat, ends = words.flatten(), np.concatenate(([0], np.cumsum(sizes)))
+            row = 0
+            while row < len(sizes):
+                until = max(row + 1, int(np.searchsorted(ends, ends[row] + CHUNK, "right")) - 1)
+                doc = np.repeat(np.arange(row, until), sizes[row:until])
+                offset = (np.arange(ends[row], ends[until]) - ends[doc]).astype(np.int32)
+                if len(doc):
+                    kept = first(doc, offset)
+                    page, *box = layout(offset[kept])
+                    own = [batch.column(0).take(pa.array(doc[kept])), pa.array(offset[kept]), pa.array(page.astype(np.int32)), *[pa.array(v.astype(np.float32)) for v in box]]
+                    yield pa.RecordBatch.from_arrays([*own, flat.take(pa.array(kept + ends[row]))], names=schema.names)
+                row = until
+
+    schema = S.StructType([S.StructField("doc_id", docs.schema["doc_id"].dataType), S.StructField("word_offset", S.IntegerType()), S.StructField("page", S.IntegerType()), *[S.StructField(b, S.FloatType()) for b in BOX], S.StructField("word_text", S.StringType())])
+    return docs.select("doc_id", "words").mapInArrow(run, schema)
+
+
 def term_positions(positions: DataFrame, matched_terms: list[str], groups: list[list[str]]) -> DataFrame:
     """Boxes to highlight: groups of one word anywhere, longer ones only as phrases on one page; without repeats."""
     if not matched_terms or not groups:

@@ -62,3 +62,11 @@ def test_ties_against_sql(spark, tmp_path, name):
     df = catalog.QUERIES[name](spark, str(tmp_path))
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
     assert sorted(tuple(r) for r in df.collect()) == sorted(want) and len(want) == 10
+
+
+def test_boxes_in_order(spark, data):
+    """ui_boxes gives its rows by document and offset; only the texts are exchanged for it."""
+    df = catalog.QUERIES["ui_boxes"](spark, data)
+    got = [(r["doc_id"], r["word_offset"]) for r in df.collect()]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert got == sorted(got) and "Window" not in plan and "Generate" not in plan

@@ -93,6 +93,31 @@ def test_phrases_in_one_pass(spark):
     assert plan.count("Scan ExistingRDD") == 1 and plan.count("Exchange hashpartitioning") == 1
 
 
+def _scattered(i):
+    """Pages and boxes that go back and forth, some in the same place or within the same hundredth."""
+    x, y = ((i * 7919) % 11 / 8).astype(np.float32), ((i * 104729) % 5 + i % 3 * 0.001).astype(np.float32)
+    return ((i * 31) % 4 + 1).astype(np.int32), x, y, x + np.float32(1), y + (i % 2).astype(np.float32)
+
+
+@pytest.mark.parametrize("chunk", [1, 50, 1 << 16])
+@pytest.mark.parametrize("layout", [P.grid_places, _scattered])
+def test_boxes_of_documents(spark, monkeypatch, layout, chunk):
+    """Documents in one row give the boxes that their words give as rows, without an exchange."""
+    monkeypatch.setattr(P, "CHUNK", chunk)
+    docs = spark.createDataFrame([(3, list("abc")), (1, [f"w{i}" for i in range(600)]), (2, []), (4, None), (5, [f"v{i}" for i in range(90)]), (None, ["x", "y"])], "doc_id long, words array<string>").coalesce(1)
+    page, *box = layout(np.arange(600))
+    places = spark.createDataFrame([(i, int(page[i]), *[float(v[i]) for v in box]) for i in range(600)], "word_offset int, page int, x_min float, y_min float, x_max float, y_max float")
+    rows = docs.select("doc_id", F.posexplode("words").alias("word_offset", "word_text")).join(places, "word_offset")
+    if layout is P.grid_places:
+        assert sorted(map(repr, P.grid_boxes(rows).select(rows.columns).collect())) == sorted(map(repr, rows.collect()))
+    for apart, want in ((P.starts, P.distinct_boxes(rows, ["word_offset"])), (P.edges, P.ui_boxes(rows))):
+        got = P.document_boxes(docs, layout, apart)
+        assert dict(got.dtypes) == dict(want.dtypes) and "Exchange" not in got._jdf.queryExecution().executedPlan().toString().replace("Coalesce", "")
+        assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    own = [(r["page"], r["word_offset"]) for r in P.document_boxes(docs, layout, P.edges).collect() if r["doc_id"] == 1]
+    assert own == sorted(own)
+
+
 def test_starts(placed):
     hits = placed.where(F.col("word_text").isin("machine", "learning"))
     got = {r["word_offset"]: r["is_start"] for r in P.phrase_starts(hits, 2).collect()}
