@@ -309,7 +309,7 @@ _add("phrase_starts", lambda s, d: P.phrase_starts(_found(s, d), 2).select("doc_
 _add("match_navigation", lambda s, d: P.neighbours(_found(s, d)).select("doc_id", "page", "word_offset", "previous_offset", "next_offset"), f"WITH {_HITS} SELECT doc_id, page, word_offset, lag(word_offset) {_OVER} AS previous_offset, lead(word_offset) {_OVER} AS next_offset FROM f")
 _add("matching_pages", lambda s, d: P.matching_pages(_found(s, d)), f"WITH {_HITS} SELECT DISTINCT doc_id, page - 1 AS page_index FROM f WHERE page >= 1")
 _add("positions_by_page", lambda s, d: P.by_page(_found(s, d)).select("doc_id", "page", F.size("words").cast("long").alias("n_words"), F.element_at("words", 1)["word_offset"].alias("first_offset")), f"WITH {_HITS} SELECT doc_id, page, count(*) AS n_words, min(word_offset) AS first_offset FROM f GROUP BY doc_id, page")
-_add("distinct_boxes", lambda s, d: P.distinct_boxes(document_words(s, d).withColumn("page", F.lit(1)), ["word_offset"]).select("doc_id", "word_offset", "word_text"), f"WITH {_GRID} SELECT doc_id, word_offset, word_text FROM grid QUALIFY row_number() OVER (PARTITION BY doc_id, x_min, y_min ORDER BY word_offset) = 1")
+_add("distinct_boxes", lambda s, d: P.document_boxes(document_tokens(documents(s, d)), _one_page, P.starts).select("doc_id", "word_offset", "word_text"), f"WITH {_GRID} SELECT doc_id, word_offset, word_text FROM grid QUALIFY row_number() OVER (PARTITION BY doc_id, x_min, y_min ORDER BY word_offset) = 1")
 _add("term_positions", lambda s, d: P.term_positions(document_words(s, d), ["public", "license", "mit"], [["public", "license"], ["mit"]]).select("doc_id", "word_offset", "page", "word_text"), f"WITH {_GRID}, st AS (SELECT a.doc_id, a.page, a.word_offset AS o FROM grid a JOIN grid b ON a.doc_id = b.doc_id AND a.page = b.page AND b.word_offset = a.word_offset + 1 WHERE a.word_text = 'public' AND b.word_text = 'license') SELECT g.doc_id, g.word_offset, g.page, g.word_text FROM st JOIN grid g ON g.doc_id = st.doc_id AND g.page = st.page AND g.word_offset BETWEEN o AND o + 1 UNION SELECT doc_id, word_offset, page, word_text FROM grid WHERE word_text = 'mit'")
 _add("ui_boxes", lambda s, d: P.document_boxes(document_tokens(documents(s, d).orderBy("doc_id")), _one_page, P.edges).select("doc_id", "word_offset", "word_text"), f"WITH {_GRID} SELECT doc_id, word_offset, word_text FROM grid QUALIFY row_number() OVER (PARTITION BY doc_id, x_min, y_min ORDER BY word_offset) = 1")
 _add("nearest_pages", lambda s, d: P.nearest_pages(conversation_words(s, d).groupBy("doc_id", "page").agg((F.max("word_offset") / 2.0).alias("y_centre")), F.lit(100.0)).select("doc_id", "page", "place"), f"WITH {_CONV}, y AS (SELECT doc_id, page, max(word_offset) / 2.0 AS y FROM pos GROUP BY doc_id, page) SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY abs(y - 100), page) AS INTEGER) AS place FROM y")
