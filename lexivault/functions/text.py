@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
@@ -73,9 +76,22 @@ def normalize(text: str) -> str:
     return "\n".join(line.strip() for line in flat.split("\n")).strip()
 
 
-@F.pandas_udf(StringType())
-def normalize_text(texts: pd.Series) -> pd.Series:
-    return texts.map(normalize, na_action="ignore")
+def _each(texts: pa.Array, f: Callable[[str], str | None]) -> pa.Array:
+    """f of each text that is not null. One text at a time is a Python string; the rest stays UTF-8 bytes, each once."""
+    data, ends, known = bytearray(), np.zeros(len(texts) + 1, np.int32), np.zeros(len(texts), bool)
+    for i, text in enumerate(texts):
+        out = f(text.as_py()) if text.is_valid else None
+        if out is not None:
+            data += out.encode()
+            known[i] = True
+        ends[i + 1] = len(data)
+    valid = pa.py_buffer(np.packbits(known, bitorder="little"))
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(data), valid)
+
+
+@F.arrow_udf(StringType())
+def normalize_text(texts: pa.Array) -> pa.Array:
+    return _each(texts, normalize)
 
 
 #: Frequent words by ISO 639-3 code.
@@ -106,9 +122,9 @@ def language_of(text: str) -> str | None:
     return share[0][1] if share[0][0] - share[1][0] >= LEAD else None
 
 
-@F.pandas_udf(StringType())
-def detect_language(texts: pd.Series) -> pd.Series:
-    return texts.map(language_of, na_action="ignore")
+@F.arrow_udf(StringType())
+def detect_language(texts: pa.Array) -> pa.Array:
+    return _each(texts, language_of)
 
 
 def analyser_for(lang: Column) -> Column:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +31,24 @@ def test_tokens(spark):
     assert one(T.file_name, "/a/b/c.pdf") == "c.pdf" and one(T.folder, "/a/b/c.pdf") == "/a/b"
 
 
+def test_normalize_by_text(spark):
+    """A batch of texts is normalised one by one: beyond the result's bytes, one text at a time is held."""
+    rows = [(1, "a  b\u00e9 \U0001f600"), (2, None), (3, ""), (4, " \n ")]
+    df = spark.createDataFrame(rows, "i long, t string").select("i", T.normalize_text("t").alias("n"), T.detect_language("t").alias("l"))
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "a b\u00e9 \U0001f600", None), (2, None, None), (3, "", None), (4, "", None)]
+    import tracemalloc
+
+    texts = pa.array(["wörd \U0001f600 " * 800] * 2000 + [None])
+    tracemalloc.start()
+    try:
+        got = T.normalize_text.func(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.null_count == 1 and got[0].as_py() == texts[0].as_py().strip() and peak < 1.5 * texts.nbytes
+    assert T.normalize_text.func(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_language():
     assert T.language_of("The quick brown fox jumps over the lazy dog. This is a longer sentence that should be reliably detected.") == "eng"
     assert T.language_of("Hello") is None and T.language_of("") is None
